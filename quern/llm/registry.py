@@ -1,11 +1,12 @@
 """Queries of this folder, and SQL where it can express them."""
 
-from quern.llm import mixing
+from quern.llm import mixing, quality_rules
 from quern.llm.mixing import op5_mixing
 from quern.llm.packing import op9_packing
+from quern.llm.quality_rules import op3_quality_rules
 from quern.llm.simhash_dedup import op7_simhash_dedup
 from quern.llm.suffix_dedup import op1_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_mixing, op7_simhash_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_quality_rules, op5_mixing, op7_simhash_dedup, op9_packing)}
 
-ORACLES = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}

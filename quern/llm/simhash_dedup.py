@@ -5,7 +5,7 @@ tiles by the bit counts of their two halves; the counts of two fingerprints with
 radius differ by at most the radius, so tile pairs beyond it are never formed.  In a tile
 pair, blocks ordered by the bit counts of their quarters are skipped in the same way.
 
-A pair of tiles sends on only a spanning forest of its links, so that large groups of near
+Tiles travel as packed rows.  A pair of tiles sends on only a spanning forest of its links, so that large groups of near
 copies stay linear; components() joins the forests.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import chunks, components, table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE, BLOCK = 4096, 256
+TILE, BLOCK = 8192, 256
 
 
 def _shingle_hashes(raw: bytes, width: int) -> list[int]:
@@ -89,11 +89,18 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view("<u2").reshape(-1, 4)).astype(np.int16)
 
 
+def _tile(key: tuple, rows: pa.Table) -> pa.Table:
+    """A tile as one row: its fingerprints and representatives as bytes."""
+    fp, rep = (rows.column(x).to_numpy().astype("<i8").tobytes() for x in ("fp", "rep"))
+    return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([key[1].as_py()], pa.int32()), "near": rows.column("near").slice(0, 1), "fp": pa.array([fp], pa.binary()), "rep": pa.array([rep], pa.binary())})
+
+
 def _compare(radius: int):
-    """A pair of tiles (a tile with itself if side is always 0): forest edges (a, b) between representatives."""
+    """A pair of tiles (one row if a tile meets itself): forest edges (a, b) between representatives."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        fp, rep, side = (rows.column(x).to_numpy() for x in ("fp", "rep", "side"))
+        fp, rep = (np.frombuffer(b"".join(rows.column(x).to_pylist()), "<i8") for x in ("fp", "rep"))
+        side = np.repeat(np.arange(rows.num_rows), [len(x) // 8 for x in rows.column("fp").to_pylist()])
         fp = fp.view(np.uint64)
         quarter = _quarters(np.ascontiguousarray(fp))
         order = np.lexsort((*quarter.T, side))
@@ -157,11 +164,12 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     rows = [(lo, hi, t, tiles[t]["slots"], [(j, tiles[j]["slots"]) for j in partners[t]]) for (lo, hi), t in where.items()]
     plan = spark.createDataFrame(rows, "low int, high int, t int, slots int, near array<struct<j int, k int>>")
     slot = F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int")
-    dealt = celled.join(F.broadcast(plan), ["low", "high"]).select("fp", "rep", "t", slot.alias("s"), F.explode("near").alias("p"))
-    dealt = dealt.select("fp", "rep", "t", "s", "p.j", F.explode(F.sequence(F.lit(0), F.col("p.k") - 1)).alias("v"))
+    dealt = celled.join(F.broadcast(plan), ["low", "high"]).select("fp", "rep", "near", "t", slot.alias("s"))
+    packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, near array<struct<j int, k int>>, fp binary, rep binary"))
+    pairs = packed.select("fp", "rep", "t", "s", F.explode("near").alias("p")).select("fp", "rep", "t", "s", "p.j", F.explode(F.sequence(F.lit(0), F.col("p.k") - 1)).alias("v"))
     own, other = F.struct("t", "s"), F.struct(F.col("j").alias("t"), F.col("v").alias("s"))
-    dealt = dealt.select("fp", "rep", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own > other).cast("int").alias("side"))
-    return dealt.groupBy("x", "y").applyInArrow(_compare(radius), "a long, b long")
+    pairs = pairs.select("fp", "rep", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
+    return pairs.groupBy("x", "y").applyInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
