@@ -56,7 +56,7 @@ def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn(f"{_P}at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop(f"{_P}o")
     at = F.col(f"{_P}at")
     covered = F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - p, F.lit(WINDOW))))
-    return out.withColumn(f"{_P}n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(f"{_P}at")
+    return out.withColumn(f"{_P}n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(f"{_P}at").withColumn(f"{_P}row", F.monotonically_increasing_id())
 
 
 def _of(name: str) -> Column:
@@ -64,7 +64,8 @@ def _of(name: str) -> Column:
 
 
 def base_failed() -> Column:
-    return (_of("n_words") < LEAST_WORDS) | (100 * _of("n_repeat_words") > MOST_REPEATED * _of("n_words"))
+    """The row number, which is not deterministic, keeps filters above the counts; pushed below, they would repeat each of them."""
+    return (_of("row") < 0) | (_of("n_words") < LEAST_WORDS) | (100 * _of("n_repeat_words") > MOST_REPEATED * _of("n_words"))
 
 
 def measures() -> dict[str, Column]:
@@ -139,7 +140,8 @@ def keep_good(df: DataFrame, text_col: str = "text", lang: str = "lang", source:
     """The rows of df that the rules keep, in df's columns; texts are counted twice and never shuffled."""
     slim = df.select(F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     limits = written(thresholds(written(sketches(counts(slim).drop("text")))))
-    return judged(counts(df, text_col), limits, lang, source).where(_of("kept")).select(*(F.col(f"`{c}`") for c in df.columns))
+    rows = judged(counts(df, text_col), limits, lang, source)
+    return rows.where(_of("kept")).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
