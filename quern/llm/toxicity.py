@@ -103,8 +103,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[byt
     About `sample` rows of each label are used.  To the driver come stems that pass the
     shares (each takes part of a bounded sample's texts) and one row of figures for each text.
     """
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    chosen = bounded_sample(known, ["toxic"], "doc_id", sample)
+    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    chosen = F.broadcast(written(bounded_sample(known, ["toxic"], "doc_id", sample)))  # about `sample` ids for each of two labels
     rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["text"]))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
