@@ -12,13 +12,13 @@ from quern.sources.tables import read
 QUERIES, ORACLES, query = registry()
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_TOKENS = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '{TOKEN}'), lambda t: t NOT IN ({_STOP}))"
-_CORPUS = f"""d AS (SELECT doc_id, {_TOKENS('text')} AS t FROM documents),
+TOKENS = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '{TOKEN}'), lambda t: t NOT IN ({_STOP}))"
+_CORPUS = f"""d AS (SELECT doc_id, {TOKENS('text')} AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 c AS (SELECT doc_id, len(t) AS size, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 i AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) AS idf FROM f, st),
-q AS (SELECT DISTINCT item_id, unnest({_TOKENS('text')}) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest({TOKENS('text')}) AS term FROM benchmark),
 s AS (SELECT item_id, c.doc_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / greatest(1.0, avgdl)))) AS score
       FROM c JOIN q USING (term) JOIN i USING (term), st GROUP BY item_id, c.doc_id)"""
 
@@ -46,8 +46,8 @@ def bm25_normalized(spark, d):
     return s.select("item_id", "doc_id", F.round(F.least(F.col("score") / 15, F.lit(1.0)), 6).alias("capped"), F.round(F.col("score") / F.col("top"), 6).alias("relative"))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT item_id, unnest({_TOKENS('text')}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
-t AS (SELECT DISTINCT doc_id, unnest({_TOKENS('text')}) AS term FROM documents),
+@query(f"""WITH q AS (SELECT DISTINCT item_id, unnest({TOKENS('text')}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+t AS (SELECT DISTINCT doc_id, unnest({TOKENS('text')}) AS term FROM documents),
 s AS (SELECT item_id, doc_id, round(count(*) / greatest(max(n), 1)::DOUBLE, 6) AS overlap FROM q JOIN t USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, overlap FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) <= 5""")
 def lexical_overlap_topk(spark, d):
@@ -87,13 +87,13 @@ def knn_allowed_semijoin(spark, d):
     return _nearest(spark, d, 20).join(allowed, "vec_id", "left_semi").select("query_id", "vec_id", "cos")
 
 
-_HYBRID = f"""WITH {_CORPUS}, b AS (SELECT item_id, s.doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, s.doc_id) AS rank FROM s),
-h AS (SELECT item_id, b.doc_id, b.rank, documents.source, score, round(-0.25::DOUBLE * least(score / 15, 1) - CASE lang WHEN 'en' THEN 0.12::DOUBLE ELSE 0.06::DOUBLE END
+HYBRID = f"""WITH {_CORPUS}, b AS (SELECT item_id, s.doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, s.doc_id) AS rank FROM s),
+h AS (SELECT item_id, b.doc_id, b.rank, documents.source, documents.lang, quality, score, round(-0.25::DOUBLE * least(score / 15, 1) - CASE lang WHEN 'en' THEN 0.12::DOUBLE ELSE 0.06::DOUBLE END
    - CASE WHEN quality IS NULL THEN 0::DOUBLE WHEN quality = 1 THEN 0.07::DOUBLE ELSE -0.05::DOUBLE END, 6) AS final
    FROM b JOIN documents USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) WHERE rank <= 30)"""
 
 
-def _reranked(spark, d):
+def reranked(spark, d):
     """Fused lexical score less bonuses for language (as granularity) and quality; smaller is better."""
     hits = top_k(_scores(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 30)
     labels = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -102,20 +102,20 @@ def _reranked(spark, d):
     return h.withColumn("final", F.round(-0.25 * F.least(F.col("score") / 15, F.lit(1.0)) - bonus, 6))
 
 
-@query(f"{_HYBRID} SELECT item_id, doc_id, final FROM h")
+@query(f"{HYBRID} SELECT item_id, doc_id, final FROM h")
 def rerank_additive(spark, d):
-    return _reranked(spark, d).select("item_id", "doc_id", "final")
+    return reranked(spark, d).select("item_id", "doc_id", "final")
 
 
-@query(f"{_HYBRID}, o AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY final, doc_id) AS nth FROM h) SELECT item_id, source, doc_id, final, nth FROM o WHERE nth <= 2")
+@query(f"{HYBRID}, o AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY final, doc_id) AS nth FROM h) SELECT item_id, source, doc_id, final, nth FROM o WHERE nth <= 2")
 def diversify_cap(spark, d):
     """At most two hits of a source for each question."""
-    return top_k(_reranked(spark, d), ["item_id", "source"], [F.asc("final"), F.asc("doc_id")], 2, "nth").select("item_id", "source", "doc_id", "final", F.col("nth").cast("long").alias("nth"))
+    return top_k(reranked(spark, d), ["item_id", "source"], [F.asc("final"), F.asc("doc_id")], 2, "nth").select("item_id", "source", "doc_id", "final", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"{_HYBRID}, g AS (SELECT item_id, source, count(*) AS n, round(avg(least(score / 15, 1)), 6) AS mean FROM h GROUP BY ALL) SELECT item_id, source, n, mean FROM g WHERE mean >= 0.5 OR n >= 3")
+@query(f"{HYBRID}, g AS (SELECT item_id, source, count(*) AS n, round(avg(least(score / 15, 1)), 6) AS mean FROM h GROUP BY ALL) SELECT item_id, source, n, mean FROM g WHERE mean >= 0.5 OR n >= 3")
 def density_gate(spark, d):
-    g = _reranked(spark, d).groupBy("item_id", "source").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("score") / 15, F.lit(1.0))), 6).alias("mean"))
+    g = reranked(spark, d).groupBy("item_id", "source").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("score") / 15, F.lit(1.0))), 6).alias("mean"))
     return g.where("mean >= 0.5 or n >= 3")
 
 

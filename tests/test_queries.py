@@ -53,3 +53,13 @@ def test_entry_is_the_flagship(spark):
 
     assert e.entry(spark).columns == ["item_id", "doc_id", "score", "rank"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_paragraphs_merge_forward_and_the_tail_joins_the_last_chunk(spark):
+    from pyspark.sql import functions as F
+
+    from quern.plans.papers import _starts
+
+    rows = [([90, 300, 85],), ([90],), ([160, 10, 20],), ([100, 100, 200],), ([],)]
+    got = spark.createDataFrame(rows, "n array<int>").select(_starts(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in got] == [[1, 4], [1, 2], [1, 4], [1, 3, 4], [1]]
