@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.jaccard_dedup import similar_texts
 from quern.llm.mixing import mix
 from quern.llm.packing import pack
 from quern.llm.pii import learn, redact
 from quern.llm.quality_rules import keep_good
 from quern.llm.shared import WORD, table, written
-from quern.llm.simhash_dedup import near_duplicates
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -31,9 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group; of rows repeated under its id, one."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of similar texts (five-word shingles, Jaccard 0.8 or more), the row of the smallest id stays.
+
+    Rows are told apart by a key of their own: texts that differ all stay, also under one id, and rows
+    without an id stay unless their group has one with an id, or another row.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = similar_texts(keyed, "__row").join(keyed.select(F.col("__row").alias("row"), "doc_id"), "row")
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return keyed.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
