@@ -48,9 +48,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is repeated for each epoch that takes it whole; where a budget ends inside one, its first words are kept."""
-    taken = mix(docs).where("taken > 0").select("doc_id", "size", "taken")
-    both = docs.join(taken, "doc_id")
+    """A document is repeated for each epoch that takes it whole; where a budget ends inside one, its first words are kept.
+
+    Rows meet their shares by a key of their own, so null and repeated ids lose and add nothing.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = mix(keyed, row_col="__row").where("taken > 0").select("__row", "size", "taken")
+    both = keyed.join(taken, "__row")
     part = F.col("taken") % F.col("size")
     copies = F.explode(F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.filter(F.array(part), lambda x: x > 0)))
     rows = both.select(*docs.columns, "size", copies.alias("__words"))

@@ -46,15 +46,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
-    """One row for each row of df: (doc_id, size, source_size, target, taken, source).
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, row_col: str | None = None) -> DataFrame:
+    """One row for each row of df: (doc_id, size, source_size, target, taken, source), and `row_col` where given.
 
     Null texts have size 0; null sources are one source, the last; rows with one id and
     source (repeated rows) have one key and follow each other by size.  An empty table
-    gives no rows.
+    gives no rows.  `row_col`, a unique key of the rows, orders those of equal size and gives rows
+    without an id keys of their own.
     """
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"#{seed}")))
-    rows = written(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), key.alias("key")))
+    more = [row_col] if row_col else []
+    no_id = F.concat(F.lit("row "), F.col(row_col).cast("string")) if row_col else F.lit("")
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), no_id), F.lit(f"#{seed}")))
+    rows = written(df.select(*more, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), key.alias("key")))
     rows = rows.withColumn("range", F.substring("key", 1, DIGITS))
     sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("n")))
     sizes = sums.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -62,8 +65,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     in_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.select("source", "range", F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("offset"))
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.select("doc_id", "source", "range", "size", F.coalesce(F.sum("size").over(in_range), F.lit(0)).alias("inner"))
+    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(*more, "doc_id", "source", "range", "size", F.coalesce(F.sum("size").over(in_range), F.lit(0)).alias("inner"))
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
     placed = placed.join(ranges, same(placed, ranges, "source", "range")).select(placed["*"], (F.col("inner") + F.col("offset")).alias("prefix"))
     out = placed.join(goals, same(placed, goals, "source")).select(placed["*"], goals["source_size"], goals["target"])
@@ -71,7 +74,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prefix")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return out.select(*more, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_verification_in_many_blocks(spark, monkeypatch):
 
 def test_near_dedup_of_nothing(spark):
     assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").collect() == []
+
+
+def test_null_and_shared_ids_keep_their_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(9)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[4]), (8, texts[4]), (None, texts[5]), (None, texts[5]), (1, texts[6])]
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[5]), (1, texts[6])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_mixing_takes_rows_of_null_and_shared_ids_once_an_epoch(spark):
+    from quern.llm.mixing import mix
+
+    rows = [(None, "a b c"), (None, "d e f g"), (5, "h i"), (5, "j k l"), (6, "m n o")]
+    got = corpus_pipeline.mixing(spark, frame(spark, rows), "").collect()
+    budget = int(mix(frame(spark, rows)).collect()[0]["target"] + 0.5)
+    assert sum(len(r["text"].split()) for r in got) == budget >= 15
+    assert {t for _, t in rows} <= {r["text"] for r in got}
+    assert sorted({str(r["doc_id"]) for r in got}) == ["5", "6", "None"]
