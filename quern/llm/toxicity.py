@@ -83,14 +83,16 @@ def _features(toxic: bytes, ordinary: bytes, size: int):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, spread, weights with the constant last) by Newton's method."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, spread, weights with the constant last) by Newton's method; `counts` says how many rows each stands for."""
+    counts = np.ones(len(x)) if counts is None else counts * (len(x) / counts.sum())
+    mean = np.average(x, axis=0, weights=counts)
+    spread = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=counts)) + 1e-9
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * len(z) * 1e-2 * np.eye(len(w)) + 1e-9 * np.eye(len(w)), z.T @ (y - p) - ridge * len(z) * 1e-2 * w)
+        step = np.linalg.solve((z * (counts * p * (1 - p))[:, None]).T @ z + ridge * len(z) * 1e-2 * np.eye(len(w)) + 1e-9 * np.eye(len(w)), z.T @ (counts * (y - p)) - ridge * len(z) * 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -100,12 +102,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes, bytes, tuple | None]:
     """(toxic dictionary, ordinary dictionary, curve) from docs (doc_id, text) and labels (doc_id, toxic).
 
-    About `sample` rows of each label are used.  To the driver come stems that pass the
+    About `sample` rows of each label are used; in the curve each stands for as many as its label has
+    rows for one in the sample, so that the share of toxic rows is that of all labels at any size.  To the driver come stems that pass the
     shares (each takes part of a bounded sample's texts) and one row of figures for each text.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = F.broadcast(written(bounded_sample(known, ["toxic"], "doc_id", sample)))  # about `sample` ids for each of two labels
     rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["text"]))
+    drawn = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -118,7 +123,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[byt
     ordinary = b"".join(b" " + bytes(r["stem"]) for r in reversed(common))[-ORDINARY_BYTES:]
     toxic = b"".join(b" " + s for s in reversed(special)) + ordinary
     x = rows.select("doc_id", "text").mapInArrow(_features(toxic, ordinary, WINDOW), "doc_id long, x array<double>").join(chosen, "doc_id").select("x", "toxic").collect()
-    return toxic, ordinary, fit_logistic(np.array([r["x"] for r in x]), np.array([r["toxic"] for r in x], float))
+    stands_for = np.array([totals[r["toxic"]] / drawn[r["toxic"]] for r in x])
+    return toxic, ordinary, fit_logistic(np.array([r["x"] for r in x]), np.array([r["toxic"] for r in x], float), stands_for)
 
 
 def score(df: DataFrame, model: tuple[bytes, bytes, tuple | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
