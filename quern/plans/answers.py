@@ -82,10 +82,13 @@ def eval_pivot(spark, d):
 @query("""SELECT lang, source, count(*) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS low, max(n_chars) AS high, (list_sort(list(n_chars)))[count(*) // 2 + 1] AS upper_median
 FROM documents WHERE n_chars > 0 GROUP BY GROUPING SETS ((lang), (source), ())""")
 def eval_report(spark, d):
-    """Means and upper medians by language, by source and over all, in one pass of grouping sets."""
-    read(spark, d, "documents").where("n_chars > 0").select("lang", "source", "n_chars").createOrReplaceTempView("__report")
-    return spark.sql("""SELECT lang, source, count(*) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS low, max(n_chars) AS high, sort_array(collect_list(n_chars)) AS v
-        FROM __report GROUP BY GROUPING SETS ((lang), (source), ())""").select("lang", "source", "n", "mean", "low", "high", F.get("v", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
+    """Means and upper medians by language, by source and over all, from counts of each length; no group gathers its rows."""
+    read(spark, d, "documents").where("n_chars > 0").groupBy("lang", "source", "n_chars").agg(F.count("*").alias("c")).createOrReplaceTempView("__report")
+    return spark.sql("""WITH g AS (SELECT grouping(lang) AS gl, grouping(source) AS gs, lang, source, v, sum(c) AS c FROM (SELECT *, n_chars AS v FROM __report)
+            GROUP BY GROUPING SETS ((lang, v), (source, v), (v))),
+        r AS (SELECT *, sum(c) OVER (PARTITION BY gl, gs, lang, source ORDER BY v) AS upto, sum(c) OVER (PARTITION BY gl, gs, lang, source) AS n FROM g)
+        SELECT lang, source, max(n) AS n, round(sum(v * c) / sum(c), 4) AS mean, min(v) AS low, max(v) AS high, min(CASE WHEN upto > n DIV 2 THEN v END) AS upper_median
+        FROM r GROUP BY gl, gs, lang, source""")
 
 
 @query("""WITH k AS (SELECT item_id, unnest(string_split(lower(text), '. ')) AS kp FROM benchmark), h AS (SELECT item_id, kp FROM k WHERE length(kp) > 20)
