@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,14 +15,24 @@ from pyspark.sql import functions as F
 #: The white space that separates words everywhere in this folder (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most rows of a table that is sent whole to every task.
+BROADCAST_ROWS = 20_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder below the cluster's spark.checkpoint.dir.
+
+    Only a session of one machine may leave that unset; it gets a temporary folder, which goes when Python ends.
+    """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = spark.conf.get("quern.local.dir", None)
         if not top:
             top = tempfile.mkdtemp(prefix="quern-")
+            atexit.register(shutil.rmtree, top, ignore_errors=True)
             spark.conf.set("quern.local.dir", top)
     return f"{top}/quern-{uuid.uuid4().hex}"
 
@@ -30,13 +42,39 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quern_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.quern_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sent_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcasting if it has at most `rows` rows, which are counted; else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn labels from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -49,7 +87,7 @@ def bounded_sample(df: DataFrame, by: list[str], id_col: str, cap: int) -> DataF
     """
     share = df.groupBy(*by).agg(F.least(F.lit(1.0), F.lit(float(cap)) / F.count("*")).alias("__share"))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(share), by).where(unit < F.col("__share")).drop("__share")
+    return df.join(sent_whole(share), by).where(unit < F.col("__share")).drop("__share")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -70,23 +108,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             at = to
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the undirected edges (a, b): the smallest id it reaches.
 
     Labels fall to the smallest neighbour's and then jump to their label's label, which
-    halves long chains; each round is written out.  Joins are plain equi-joins, whose hot
-    keys adaptive execution splits.
+    halves long chains; each round is written out and the one before deleted, until nothing moves.  Joins are plain
+    equi-joins, whose hot keys adaptive execution splits.  Edges with a null end join nothing.
     """
-    both = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l"))
-    for _ in range(rounds):
+    ends = edges.where("a <> b")
+    both = written(ends.select("a", "b").union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l", F.lit(True).alias("moved")))
+    while labels.where("moved").limit(1).count():
         seen = both.join(labels.select(F.col("id").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m")).withColumnRenamed("a", "id")
         lower = labels.join(seen, "id").select("id", "l", F.least("l", "m").alias("n"))
         jump = labels.select(F.col("id").alias("n"), F.col("l").alias("j"))
         new = written(lower.join(jump, "n").select("id", F.least("n", "j").alias("l"), (F.least("n", "j") < F.col("l")).alias("moved")))
-        labels = new.select("id", "l")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        discard(labels)
+        labels = new
+    discard(both)
     return labels.select("id", F.col("l").alias("component"))

@@ -1,20 +1,22 @@
 """Removal of repeated passages by suffix order and longest previous factors.
 
-The corpus is cut into window starts: position p stands for the suffix that begins
-there, truncated to `min_len` bytes.  p is repeated if the longest match of its suffix
-with any other one reaches `min_len`; with `keep_first`, only earlier positions count
-(the longest previous factor).
-
-1. Anchors (suffix_anchors) gather window starts in runs; runs whose anchor is unique
-   are out at once.  Runs whose whole bytes recur are repeated throughout.
-2. The others are cut into slices at fixed distances from the anchor.  Equal windows lie
-   in slices with an equal core (the bytes all windows of the slice share), so unique
-   cores are out, and slices whose whole bytes recur are repeated.
-3. For what is left, each task sorts its suffixes (prefix doubling), takes their common
-   prefixes in suffix order, and sends one row for each suffix and task; equal ones meet by a
-   128-bit key under partial aggregation, so that no key gathers rows in one task.
-
-Null and empty texts, and texts below `min_len`, lose nothing.
+The corpus is cut into window starts: position p stands for the suffix that begins there,
+truncated to `min_len` bytes.  Its longest previous factor is the longest match that starts
+earlier; in suffix order that match is with the previous or the next entry of smaller
+position.  With `keep_first`, p is repeated if that factor reaches `min_len`; without it, a
+match that starts later (the same array over reversed places) counts as well.
+
+1. Anchors (suffix_anchors) gather window starts in runs.  Equal windows lie in runs of an
+   equal anchor, so runs whose anchor is unique are out at once.
+2. Runs with all bytes equal are one entry of the order: its later members' previous factors
+   cover them.  The first of each goes on if its anchor has runs of other bytes too.
+3. Runs of one anchor meet in one task, which puts their suffixes in order (prefix doubling),
+   takes the common prefixes of neighbours, and the arrays above.
+4. An anchor with more than LIMIT different runs (a passage that a great part of all
+   documents hold) would be too much for a task.  Its runs are cut into slices at fixed distances from
+   the anchor; equal windows lie in slices with an equal core (the bytes that all windows of
+   a slice share), so steps 2 and 3 apply to slices, by core.  Where a core has more
+   than LIMIT different slices in turn, its windows are counted one by one under a 128-bit key.
 """
 
 from __future__ import annotations
@@ -29,75 +31,108 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import chunks, table, written
+from quern.llm.shared import chunks, discard, table, written
 from quern.llm.suffix_anchors import BLOCK, KGRAM, runs_of
 
 MIN_LEN = 200
 SLICE = 8
+LIMIT = 256  # different runs of an anchor, or slices of a core, that one task orders
+
+
+# --- suffix order and longest previous factors in one task --------------------------------
+
+
+class SuffixRanks:
+    """Ranks of the positions of `data` by their first 1, 2, 4, ... bytes (prefix doubling), up to `depth`."""
+
+    def __init__(self, data: np.ndarray, depth: int):
+        self.data, self.depth = data, depth
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        n, whole = len(data), np.zeros(len(data), np.uint64)
+        self.levels: list[tuple[int, np.ndarray]] = []
+        for i in range(8):
+            whole = (whole << np.uint64(8)) | padded[i : i + n]
+            if i in (0, 1, 3):
+                self.levels.append((i + 1, whole))
+        self.levels.append((8, self._dense(whole)))
+        while 2 * self.levels[-1][0] <= depth:
+            d, rank = self.levels[-1]
+            self.levels.append((2 * d, self._dense(self._joined(rank, d))))
+
+    @staticmethod
+    def _dense(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].astype(np.uint32)
+
+    @staticmethod
+    def _joined(rank: np.ndarray, d: int, starts: np.ndarray | None = None) -> np.ndarray:
+        """Keys of twice the depth; beyond the end stands a rank below all others."""
+        after = np.concatenate([rank[d:].astype(np.uint64) + np.uint64(1), np.zeros(min(d, len(rank)), np.uint64)])
+        first = rank.astype(np.uint64)
+        if starts is not None:
+            first, after = first[starts], after[starts]
+        return (first << np.uint64(32)) | after
+
+    def keys(self, starts: np.ndarray) -> np.ndarray:
+        """Keys of `depth` bytes: they order the suffixes and are equal where those are."""
+        d, rank = self.levels[-1]
+        return self._joined(rank, self.depth - d, starts) if d < self.depth else rank[starts].astype(np.uint64)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of the suffixes at a and b, up to `depth`."""
+        length, n = np.zeros(len(a), np.int64), len(self.data)
+        for d, rank in reversed(self.levels):
+            p, q = a + length, b + length
+            equal = (p < n) & (q < n) & (rank[np.minimum(p, n - 1)] == rank[np.minimum(q, n - 1)])
+            length += d * equal
+        return np.minimum(length, self.depth)
+
+
+def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For entries in suffix order: the common prefix with the nearest entry before that has a smaller place, 0 if none.
+
+    common[i] is that of entries i-1 and i.  Every entry jumps back over larger places, taking over the jumps that
+    those have made, and carries the least common prefix on its way.
+    """
+    jump, least = np.arange(len(place)) - 1, common.copy()
+    going = np.flatnonzero((jump >= 0) & (place[jump] > place))
+    while len(going):
+        over = jump[going]
+        further, lower = jump[over], np.minimum(least[going], least[over])
+        jump[going], least[going] = further, lower
+        going = going[(further >= 0) & (place[further] > place[going])]
+    return np.where(jump >= 0, least, 0)
 
 
-# --- suffix order in one task ------------------------------------------------------------
-
-
-def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The entries of `starts` in the order of the `depth` bytes that begin there; ties keep their order."""
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, depth)[starts])
-    return np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")
-
-
-def previous_in_order(order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """For entries in suffix order, the place in `order` of each tie's first member.
-
-    same[i] says that entries i and i-1 share the full depth.  Ties stand by position, so
-    the previous smaller position of a later member is inside its tie, and its first
-    member is the earliest match.
-    """
-    return np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+def longest_previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each entry in suffix order, from both neighbours of smaller place."""
+    if not len(place):
+        return np.zeros(0, np.int64)
+    after = np.append(common[1:], 0)[::-1]
+    return np.maximum(previous_factors(place, common), previous_factors(place[::-1], after)[::-1])
 
 
 def longest_previous_factor(data: np.ndarray) -> np.ndarray:
-    """For each position, the length of the longest match that starts earlier.
-
-    In suffix order, the longest earlier match of p is with the previous or the next entry
-    of smaller position; a stack finds both, carrying the least common prefix between.
-    """
-    n, raw = len(data), data.tobytes()
-    order = np.array(sorted(range(n), key=lambda p: raw[p:]), np.int64)
-    lcp = common_prefixes(data, order)
-    out = np.zeros(n, np.int64)
-    for entries, gaps in ((range(n), lcp), (range(n - 1, -1, -1), np.append(lcp[1:], 0))):
-        stack: list[list[int]] = []
-        for i in entries:
-            least = int(gaps[i])
-            while stack and stack[-1][0] > order[i]:
-                least = min(least, stack.pop()[1])
-            if stack:
-                out[order[i]] = max(out[order[i]], least)
-            stack.append([int(order[i]), least])
+    """For each position of `data`, the length of the longest match that starts earlier."""
+    out = np.zeros(len(data), np.int64)
+    if len(data):
+        ranks, starts = SuffixRanks(data, 1 << max(3, int(len(data)).bit_length())), np.arange(len(data))
+        order = np.argsort(ranks.keys(starts), kind="stable")
+        common = np.zeros(len(data), np.int64)
+        common[1:] = [_match(data, int(a), int(b)) for a, b in zip(order[:-1], order[1:], strict=True)]
+        out[order] = longest_previous_factors(order, common)
     return out
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Kasai's array: the common prefix of each entry in suffix order with the one before."""
-    n, raw = len(data), data.tobytes()
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    lcp, h = np.zeros(n, np.int64), 0
-    for p in range(n):
-        if place[p]:
-            q = int(order[place[p] - 1])
-            while p + h < n and q + h < n and raw[p + h] == raw[q + h]:
-                h += 1
-            lcp[place[p]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return lcp
+def _match(data: np.ndarray, a: int, b: int) -> int:
+    n = len(data) - max(a, b)
+    unequal = np.flatnonzero(data[a : a + n] != data[b : b + n])
+    return int(unequal[0]) if len(unequal) else n
 
 
 # --- 1: runs of windows with an anchor ---------------------------------------------------
 
-_RUNS = "doc_id long, s long, n int, a int, k long, h long"
+_PLACE = "id long, row long, s long"
+_RUNS = f"{_PLACE}, n int, a int, k long, h long"
 
 
 def _signed(values) -> pa.Array:
@@ -109,136 +144,172 @@ def _hashes(raw: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(first))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed: they are stored, read three times and shuffled twice."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in chunks(batches, "raw", BLOCK):
+        yield pa.record_batch([*batch.columns[:2], pa.array([None if x is None else pack(x) for x in batch.column(2).to_pylist()], pa.binary())], ["id", "row", "z"])
+
+
 def _runs(min_len: int):
     def blocks(batch: pa.RecordBatch):
-        """(ids, first positions, bytes) of about BLOCK bytes; long texts in pieces that overlap."""
-        ids, starts, parts, size = [], [], [], 0
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is None or raw is None:
-                continue
+        """(ids, rows, first positions, bytes) of about BLOCK bytes; long texts in pieces that overlap."""
+        unzip = zstandard.ZstdDecompressor().decompress
+        keys, starts, parts, size = [], [], [], 0
+        for i, row, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = unzip(z) if z else b""
             for at in range(0, len(raw) - min_len + 1, BLOCK):
                 piece = raw[at : at + BLOCK + min_len - 1]
                 if size + len(piece) > BLOCK and parts:
-                    yield ids, starts, parts
-                    ids, starts, parts, size = [], [], [], 0
-                ids.append(i), starts.append(at), parts.append(piece)
+                    yield keys, starts, parts
+                    keys, starts, parts, size = [], [], [], 0
+                keys.append((NO_ID if i is None else i, row)), starts.append(at), parts.append(piece)
                 size += len(piece)
         if parts:
-            yield ids, starts, parts
+            yield keys, starts, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "raw", BLOCK):
-            for ids, starts, parts in blocks(batch):
+        for batch in chunks(batches, "z", BLOCK // 4):
+            for keys, starts, parts in blocks(batch):
                 raw = b"".join(parts)
                 offsets = np.cumsum([0, *map(len, parts)])
                 doc, first, last, at, anchor = runs_of(np.frombuffer(raw, np.uint8), offsets, min_len)
                 s = first - offsets[doc] + np.array(starts, np.int64)[doc]
-                columns = [np.array(ids, np.int64)[doc], s, (last - first + 1).astype(np.int32), (at - first).astype(np.int32), anchor]
-                yield pa.record_batch([*map(pa.array, columns), _signed(_hashes(raw, first, last + min_len))], ["doc_id", "s", "n", "a", "k", "h"])
+                key = np.array(keys, np.int64)[doc]
+                columns = [key[:, 0], key[:, 1], s, (last - first + 1).astype(np.int32), (at - first).astype(np.int32), anchor]
+                yield pa.record_batch([*(pa.array(np.ascontiguousarray(x)) for x in columns), _signed(_hashes(raw, first, last + min_len))], ["id", "row", "s", "n", "a", "k", "h"])
 
     return run
 
 
-def _known(rows: DataFrame, *more: str) -> DataFrame:
-    """rows (doc_id, s, n, k, h) whose k recurs.
+#: Rows without an id come after all others.
+NO_ID = (1 << 63) - 1
 
-    `same`: the whole (k, h) recurs; `first`: no equal row begins earlier; `mixed`: rows
-    of this k differ, so a further look may find what they share.
-    """
-    equal = rows.groupBy("k", "h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "s")).alias("m"))
-    often = equal.groupBy("k").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("all > 1").drop("all")
-    first = (F.col("m.doc_id") == F.col("doc_id")) & (F.col("m.s") == F.col("s"))
-    return rows.join(equal.join(often, "k"), ["k", "h"]).select("doc_id", "s", "n", "k", *more, (F.col("c") > 1).alias("same"), first.alias("first"), (F.col("kinds") > 1).alias("mixed"))
 
+# --- 2: classes of equal runs (or slices) --------------------------------------------------
 
-# --- 2: slices at fixed distances from the anchor ----------------------------------------
 
+def _known(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows (id, row, s, n, k, h) whose k recurs, as a table.
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in chunks(batches, "raw", BLOCK):
-        yield pa.record_batch([batch.column(0), pa.array([None if x is None else pack(x) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
+    `same`: the whole (k, h) recurs; `first`: no equal row begins earlier; `kinds`: the different h of k.
+    """
+    often = written(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
+    some = written(rows.join(often, "k"))
+    equal = some.groupBy("k", "h").agg(F.count("*").alias("c"), F.min(F.struct("id", "row", "s")).alias("m"))
+    kinds = written(equal.groupBy("k").agg(F.count("*").alias("kinds")))
+    equal = written(equal.join(kinds, "k").where("c > 1 or kinds > 1"))
+    first = (F.col("m.row") == F.col("row")) & (F.col("m.s") == F.col("s"))
+    known = some.join(equal, ["k", "h"]).select("id", "row", "s", "n", "k", "h", *more, (F.col("c") > 1).alias("same"), first.alias("first"), "kinds")
+    out = written(known)
+    discard(often, some, kinds, equal)
+    return out
+
+
+# --- 3 and 4: pieces that one task orders, slices and windows --------------------------------
 
 
 def _segments(min_len: int):
-    """From (doc_id, z, runs): the bytes of each run."""
+    """From (id, row, z, runs): the bytes of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for batch in chunks(batches, "z", BLOCK):
+        for batch in chunks(batches, "z", BLOCK // 4):
             out: list[tuple] = []
-            for i, z, runs in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+            for i, row, z, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = unzip(z)
-                out += [(i, r["s"], r["n"], r["a"], r["k"], raw[r["s"] : r["s"] + r["n"] + min_len - 1]) for r in runs]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "s", "n", "a", "k", "b"])
+                out += [(NO_ID if i is None else i, row, r["s"], r["n"], r["a"], r["k"], r["hot"], raw[r["s"] : r["s"] + r["n"] + min_len - 1]) for r in runs]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["id", "row", "s", "n", "a", "k", "hot", "b"])
 
     return run
 
 
 def _slices(min_len: int, width: int):
-    """From segments: slices (doc_id, s, n, k, h, r), r the run's start."""
+    """From (id, row, s, n, a, k, b): slices (id, row, s, n, k, h, r), r the run's start."""
     digest, all_bits = xxhash.xxh3_64_intdigest, (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "b", BLOCK):
-            ids, starts, sizes, keys, wholes, origin = [], [], [], [], [], []
-            for i, s, n, anchor, k, b in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
+            ids, rows, starts, sizes, keys, wholes, origin = [], [], [], [], [], [], []
+            for i, row, s, n, anchor, k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a = 0
                 while a < n:
                     j = (anchor - a) // width  # windows at distances j*width to j*width+width-1 before the anchor
                     top = anchor - j * width - width + 1  # the first of them, maybe before the run
                     z = min(n, top + width)
-                    ids.append(i), starts.append(s + a), sizes.append(z - a), origin.append(s)
+                    ids.append(i), rows.append(row), starts.append(s + a), sizes.append(z - a), origin.append(s)
                     keys.append(digest(b[top + width - 1 : top + min_len], (k ^ j * 0x9E3779B97F4A7C15) & all_bits))
                     wholes.append(digest(b[a : z + min_len - 1], a - top))
                     a = z
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), _signed(keys), _signed(wholes), pa.array(origin, pa.int64())], ["doc_id", "s", "n", "k", "h", "r"])
+            columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), _signed(keys), _signed(wholes), pa.array(origin, pa.int64())]
+            yield pa.record_batch(columns, ["id", "row", "s", "n", "k", "h", "r"])
 
     return run
 
 
-# --- 3: suffixes of what is left ---------------------------------------------------------
+def _windows(min_len: int):
+    """From (id, row, s, n, b): each window with its 128-bit key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in chunks(batches, "b", BLOCK // 64):
+            out = []
+            for i, row, s, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(i, row, s + p, digest(b[p : p + min_len]), digest(b[p : p + min_len], 1)) for p in range(n)]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array([1] * len(out), pa.int32()), _signed(columns[3]), _signed(columns[4])], ["id", "row", "s", "n", "k", "h"])
 
-def _suffixes(min_len: int):
-    """From (doc_id, r, b, parts): one row for each window start.
+    return run
 
-    Equal suffixes of a task are found in suffix order; all but the earliest are `later`
-    (their longest previous factor has min_len bytes), and the earliest stands for them
-    with their number w.
-    """
+
+def ordered_repeats(pieces: list[tuple], min_len: int, keep_first: bool) -> list[tuple[int, int, int]]:
+    """(row, s, n): runs of repeated window starts in pieces (id, row, s, n, bytes), by the suffix order of all of them."""
+    sizes = np.array([p[3] for p in pieces])
+    offsets = np.cumsum([0, *(len(p[4]) for p in pieces[:-1])])
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    inner = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = offsets[piece] + inner
+    ids, rows, firsts = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+    place = np.empty(len(piece), np.int64)
+    place[np.lexsort((firsts[piece] + inner, rows[piece], ids[piece]))] = np.arange(len(piece))
+    ranks = SuffixRanks(np.frombuffer(b"".join(p[4] for p in pieces), np.uint8), min_len)
+    order = np.lexsort((place, ranks.keys(start)))
+    in_order, common = start[order], np.zeros(len(order), np.int64)
+    common[1:] = ranks.common(in_order[:-1], in_order[1:])
+    factor = longest_previous_factors(place[order], common)
+    if not keep_first:
+        factor = np.maximum(factor, longest_previous_factors(-place[order], common))
+    repeated = np.zeros(len(order) + 1, bool)
+    repeated[order] = factor >= min_len
+    border = np.concatenate([[True], piece[1:] != piece[:-1], [True]])
+    goes_on = np.concatenate([[False], repeated[:-1]]) & ~border
+    opens = np.flatnonzero(repeated & ~goes_on)
+    ends = np.flatnonzero(repeated[:-1] & ~(repeated[1:] & ~border[1:])) + 1
+    return [(int(rows[piece[a]]), int(firsts[piece[a]] + inner[a]), int(z - a)) for a, z in zip(opens.tolist(), ends.tolist(), strict=True)]
+
+
+def _factors(min_len: int, keep_first: bool):
+    """From pieces (k, id, row, s, n, b) sorted by k: repeated runs, all pieces of a k in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "b", BLOCK):
-            ids, places, parts, starts, size = [], [], [], [], 0
-            for i, r, b, cut in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
-                for c in cut:
-                    ids.append(np.full(c["n"], i, np.int64)), places.append(np.arange(c["s"], c["s"] + c["n"]))
-                    starts.append(np.arange(c["s"] - r, c["s"] - r + c["n"]) + size)
-                parts.append(b)
-                size += len(b)
-            if not starts:
-                continue
-            doc, place, start = np.concatenate(ids), np.concatenate(places), np.concatenate(starts)
-            by_place = np.lexsort((place, doc))
-            doc, place, start = doc[by_place], place[by_place], start[by_place]
-            raw = b"".join(parts)
-            data = np.frombuffer(raw, np.uint8)
-            order = suffix_order(data, start, min_len)
-            windows = np.lib.stride_tricks.sliding_window_view(data, min_len)
-            same = np.zeros(len(order), bool)
-            for a in range(1, len(order), 1 << 14):  # common prefixes of neighbours in suffix order reach min_len
-                z = min(len(order), a + (1 << 14))
-                same[a:z] = (windows[start[order[a:z]]] == windows[start[order[a - 1 : z - 1]]]).all(axis=1)
-            head = previous_in_order(order, same)
-            w = np.zeros(len(order), np.int32)
-            np.add.at(w, head, 1)
-            earliest = start[order]
-            k, h = _hashes(raw, earliest, earliest + min_len), np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + min_len], 1) for a in earliest.tolist()), np.uint64, len(order))
-            yield pa.record_batch([pa.array(doc[order]), pa.array(place[order]), pa.array(np.ones(len(order), np.int32)), _signed(k), _signed(h), pa.array(w)], ["doc_id", "s", "n", "k", "h", "w"])
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def found() -> pa.RecordBatch:
+            columns = list(zip(*ordered_repeats(held, min_len, keep_first), strict=True)) if held else []
+            held.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns or [()] * 3, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["row", "s", "n"])
+
+        for batch in batches:
+            for k, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != last and size > BLOCK // 4:
+                    yield found()
+                    size = 0
+                held.append(tuple(piece))
+                size, last = size + len(piece[4]), k
+        yield found()
 
     return run
 
@@ -246,41 +317,52 @@ def _suffixes(min_len: int):
 # --- the operator ------------------------------------------------------------------------
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, keep_first: bool = False) -> DataFrame:
-    """(doc_id, spans): runs (s, n) of window starts in the text's UTF-8 bytes that are repeated.
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, z): a key for each row, written once with the compressed text."""
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("raw"))
+    return written(docs.mapInArrow(_zipped, "id long, row long, z binary"), "none")
 
-    Ids should be unique; rows repeated whole are copies of each other, rows without an id are left out.
-    """
+
+def repeated_spans(keyed: DataFrame, min_len: int = MIN_LEN, keep_first: bool = False, limit: int = LIMIT) -> DataFrame:
+    """(row, spans): runs (s, n) of window starts in the text's UTF-8 bytes that are repeated."""
     if min_len <= KGRAM:
         raise ValueError(f"min_len must be above {KGRAM}")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).where(F.length("raw") >= min_len)
     removed = F.col("same") & ~F.col("first") if keep_first else F.col("same")
-    on = F.col("mixed") & (~F.col("same") | F.col("first"))
-
-    runs = written(_known(docs.mapInArrow(_runs(min_len), _RUNS), "a"))
-    asked = runs.where(on).groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", "a", "k")).alias("runs"))
-    zipped = docs.where("doc_id is not null").mapInArrow(_zipped, "doc_id long, z binary")
-    segments = written(zipped.join(asked, "doc_id").mapInArrow(_segments(min_len), "doc_id long, s long, n int, a int, k long, b binary"))
-    slices = written(_known(segments.mapInArrow(_slices(min_len, SLICE), "doc_id long, s long, n int, k long, h long, r long"), "r"))
-
-    parts = slices.where(on).groupBy("doc_id", "r").agg(F.collect_set(F.struct("s", "n")).alias("parts"))
-    left = segments.select("doc_id", F.col("s").alias("r"), "b").join(parts, ["doc_id", "r"]).select("doc_id", "r", "b", "parts")
-    ends = written(left.mapInArrow(_suffixes(min_len), "doc_id long, s long, n int, k long, h long, w int"))
-    heads = ends.where("w > 0")
-    equal = heads.groupBy("k", "h").agg(F.sum("w").alias("c"), F.min(F.struct("doc_id", "s")).alias("m")).where("c > 1")
-    known = heads.join(equal, ["k", "h"])
-    if keep_first:
-        known = known.where((F.col("m.doc_id") != F.col("doc_id")) | (F.col("m.s") != F.col("s")))
-    found = runs.where(removed).select("doc_id", "s", "n").union(slices.where(removed).select("doc_id", "s", "n")).union(ends.where("w = 0").select("doc_id", "s", "n")).union(known.select("doc_id", "s", "n"))
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
+    unlike, hot = F.col("first") & (F.col("kinds") > 1), F.col("kinds") > limit
+    span = ("row", "s", "n")
+
+    runs = written(keyed.mapInArrow(_runs(min_len), _RUNS))
+    known = _known(runs, "a")
+    discard(runs)
+    asked = known.where(unlike).groupBy("row").agg(F.collect_list(F.struct("s", "n", "a", "k", hot.alias("hot"))).alias("runs"))
+    segments = written(keyed.join(asked, "row").select("id", "row", "z", "runs").mapInArrow(_segments(min_len), f"{_PLACE}, n int, a int, k long, hot boolean, b binary"))
+    pieces = segments.where(~F.col("hot")).select("k", "id", "row", "s", "n", "b")
+    found = [known.where(removed).select(*span)]
+
+    if segments.where("hot").limit(1).count():
+        slices = _known(segments.where("hot").select("id", "row", "s", "n", "a", "k", "b").mapInArrow(_slices(min_len, SLICE), f"{_PLACE}, n int, k long, h long, r long"), "r")
+        whole = segments.where("hot").select("row", F.col("s").alias("r"), "b")
+        at = F.expr("substring(b, cast(s - r + 1 as int), n + %d)" % (min_len - 1))
+        cut = slices.where(unlike).join(whole, ["row", "r"]).select("k", "id", "row", "s", "n", at.alias("b"), hot.alias("hot"))
+        pieces = pieces.union(cut.where(~F.col("hot")).drop("hot"))
+        windows = _known(cut.where("hot").select("id", "row", "s", "n", "b").mapInArrow(_windows(min_len), f"{_PLACE}, n int, k long, h long"))
+        found += [slices.where(removed).select(*span), windows.where(removed).select(*span)]
+
+    ordered = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(_factors(min_len, keep_first), "row long, s long, n int")
+    found.append(written(ordered))
+    discard(segments)
+    spans = found[0]
+    for f in found[1:]:
+        spans = spans.union(f)
+    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
 
 
 def _cut(min_len: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for batch in chunks(batches, "z", BLOCK):
+        for batch in chunks(batches, "z", BLOCK // 4):
             out: list[tuple] = []
-            for i, z, spans in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+            for i, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = unzip(z) if z else b""
                 kept, at, n_spans, removed = [], 0, 0, 0
                 end = -1
@@ -302,17 +384,26 @@ def _cut(min_len: int, keep_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, keep_first: bool = True, keep_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, keep_first: bool = True, keep_text: bool = True, limit: int = LIMIT) -> DataFrame:
     """One row for each row of df: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text).
 
-    Bytes under a repeated window go; with `keep_first` the earliest copy (by id, then
-    place) stays.  Null text counts as empty; kept_text is null unless asked for, and its
-    bytes that no longer form a character become U+FFFD (the digest is over the bytes).
+    Bytes under a repeated window go; with `keep_first` the earliest copy (by id, then place) stays.
+
+    Null texts count as empty, and texts below `min_len` lose nothing.  Rows are told apart by a key of their own:
+    rows without an id take part (as the last), and so do different texts under one id; repeated rows are copies
+    of each other.  Long texts are read in overlapping blocks.  An empty table gives no rows; other columns are not
+    looked at.  kept_text is null unless asked for, and its bytes that no longer form a character become
+    U+FFFD (the digest is over the bytes).
     """
-    spans = repeated_spans(df, id_col, text_col, min_len, keep_first)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
-    return docs.mapInArrow(_zipped, "doc_id long, z binary").join(spans, "doc_id", "left").mapInArrow(_cut(min_len, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    keyed = _keyed(df, id_col, text_col)
+    spans = repeated_spans(keyed, min_len, keep_first, limit)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return keyed.join(spans, "row", "left").select("id", "z", "spans").mapInArrow(_cut(min_len, keep_text), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bytes under 200-byte strings that start anywhere else too are removed from `documents`, whole texts.
+
+    Null texts count as empty; rows without an id and repeated ids are judged like any other (see remove_repeats).
+    """
     return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, keep_text=False).drop("kept_text")

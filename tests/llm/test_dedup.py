@@ -6,7 +6,7 @@ from brute import classes, lpf, removed, simhash
 
 from quern.llm.simhash_dedup import near_duplicates, op7_simhash_dedup
 from quern.llm.suffix_anchors import sliding_min
-from quern.llm.suffix_dedup import longest_previous_factor, op1_suffix_dedup, remove_repeats
+from quern.llm.suffix_dedup import longest_previous_factor, op1_suffix_dedup, ordered_repeats, remove_repeats
 
 
 def rows_of(df):
@@ -25,18 +25,19 @@ def hard_documents():
     return [(i, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("min_len", [200, 64])
-def test_repeats_match_brute_force(spark, min_len):
+@pytest.mark.parametrize(("min_len", "limit"), [(200, 256), (64, 256), (200, 2), (64, 1)])
+def test_repeats_match_brute_force(spark, min_len, limit):
     docs = hard_documents()
     df = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in docs], "doc_id long, text string, s string, n int, k long, h long").repartition(5)
-    got = rows_of(remove_repeats(df, min_len=min_len, keep_first=False))
+    got = rows_of(remove_repeats(df, min_len=min_len, keep_first=False, limit=limit))
     want = removed(docs, min_len)
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
 
 
-def test_keep_first_leaves_the_earliest_copy(spark):
+@pytest.mark.parametrize("limit", [256, 1])
+def test_keep_first_leaves_the_earliest_copy(spark, limit):
     docs = [(i, t) for i, t in hard_documents() if t]
-    got = rows_of(remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), keep_first=True))
+    got = rows_of(remove_repeats(spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(3), keep_first=True, limit=limit))
     seen, want = set(), {}
     for i, t in docs:
         raw, gone = t.encode(), 0
@@ -55,6 +56,35 @@ def test_repeats_on_the_small_table(spark, small):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == removed(docs, 200)
 
 
+def test_repeats_with_null_and_shared_ids(spark):
+    rng = random.Random(6)
+    passage, other = ("".join(rng.choices("abcdef ", k=400)) for _ in range(2))
+    rows = [(None, "x" + passage), (2, passage), (3, "y" * 3 + other), (3, other + "z"), (3, None), (None, "alone " * 3), (4, "".join(rng.choices("ghijkl ", k=900)))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep_first=False, keep_text=False).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == [(-1, 18, 0), (-1, 401, 400), (2, 400, 400), (3, 0, 0), (3, 401, 400), (3, 403, 400), (4, 900, 0)]
+    first = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True, keep_text=False).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_removed"]) for r in first) == [(-1, 0), (-1, 400), (2, 0), (3, 0), (3, 0), (3, 400), (4, 0)]
+
+
+def test_order_decides_in_both_modes():
+    rng = random.Random(3)
+    for _ in range(40):
+        min_len, base = rng.choice([41, 50, 64]), bytes(rng.choices(b"ab", k=300))
+        pieces = []
+        for row in range(rng.randint(1, 8)):
+            n, a = rng.randint(1, 60), rng.randint(0, 150)
+            b = bytearray(base[a : a + n + min_len - 1])
+            b[rng.randrange(len(b))] = 99
+            pieces.append((rng.randrange(3), row, a, n, bytes(b)))
+        places = {}
+        for i, row, s, n, b in pieces:
+            for p in range(n):
+                places.setdefault(b[p : p + min_len], []).append((i, row, s + p))
+        for keep_first in (False, True):
+            want = {p[1:] for x in places.values() if len(x) > 1 for p in sorted(x)[keep_first:]}
+            assert {(row, s + i) for row, s, n in ordered_repeats(pieces, min_len, keep_first) for i in range(n)} == want
+
+
 def test_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = remove_repeats(spark.createDataFrame([(1, None), (1, None), (None, "a")], "doc_id long, text string")).collect()
