@@ -190,13 +190,13 @@ NO_ID = (1 << 63) - 1
 
 
 def _known(rows: DataFrame, *more: str) -> DataFrame:
-    """The rows (id, row, s, n, k, h) whose k recurs, as a table.
+    """The rows (id, row, s, n, k, h, w) whose k recurs, as a table; w is the number of equal rows that a row stands for.
 
     `same`: the whole (k, h) recurs; `first`: no equal row begins earlier; `kinds`: the different h of k.
     """
-    often = written(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
+    often = written(rows.groupBy("k").agg(F.sum("w").alias("c")).where("c > 1").select("k"))
     some = written(rows.join(often, "k"))
-    equal = some.groupBy("k", "h").agg(F.count("*").alias("c"), F.min(F.struct("id", "row", "s")).alias("m"))
+    equal = some.groupBy("k", "h").agg(F.sum("w").alias("c"), F.min(F.struct("id", "row", "s")).alias("m"))
     kinds = written(equal.groupBy("k").agg(F.count("*").alias("kinds")))
     equal = written(equal.join(kinds, "k").where("c > 1 or kinds > 1"))
     first = (F.col("m.row") == F.col("row")) & (F.col("m.s") == F.col("s"))
@@ -206,6 +206,24 @@ def _known(rows: DataFrame, *more: str) -> DataFrame:
     return out
 
 
+def _met(columns: list[list]) -> pa.RecordBatch:
+    """Rows (id, row, s, n, k, h, r) of one block, with w: the first of equal ones stands for all with their number.
+
+    The others are repeated whatever else there is; they keep w = 0, and those that follow each other in a run become one row.
+    """
+    i, row, s, n, k, h, r = (np.array(c, np.uint64 if at in (4, 5) else np.int64) for at, c in enumerate(columns))
+    order = np.lexsort((s, row, i, h, k))
+    opens = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (k[order[1:]] != k[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]))
+    w = np.zeros(len(order), np.int64)
+    w[order[opens]] = np.diff(np.append(opens, len(order)))
+    goes_on = np.zeros(len(order), bool)
+    goes_on[1:] = (w[1:] == 0) & (w[:-1] == 0) & (row[1:] == row[:-1]) & (r[1:] == r[:-1]) & (s[1:] == s[:-1] + n[:-1])
+    heads = np.flatnonzero(~goes_on)
+    n = np.add.reduceat(n, heads) if len(heads) else n
+    kept = [pa.array(x[heads]) for x in (i, row, s)] + [pa.array(n.astype(np.int32))] + [_signed(x[heads]) for x in (k, h)] + [pa.array(x[heads]) for x in (r, w)]
+    return pa.record_batch(kept, ["id", "row", "s", "n", "k", "h", "r", "w"])
+
+
 # --- 3 and 4: pieces that one task orders, slices and windows --------------------------------
 
 
@@ -227,7 +245,7 @@ def _segments(min_len: int):
 
 
 def _slices(min_len: int, width: int):
-    """From (id, row, s, n, a, k, b): slices (id, row, s, n, k, h, r), r the run's start."""
+    """From (id, row, s, n, a, k, b): slices (id, row, s, n, k, h, r, w), r the run's start."""
     digest, all_bits = xxhash.xxh3_64_intdigest, (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,23 +261,23 @@ def _slices(min_len: int, width: int):
                     keys.append(digest(b[top + width - 1 : top + min_len], (k ^ j * 0x9E3779B97F4A7C15) & all_bits))
                     wholes.append(digest(b[a : z + min_len - 1], a - top))
                     a = z
-            columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), _signed(keys), _signed(wholes), pa.array(origin, pa.int64())]
-            yield pa.record_batch(columns, ["id", "row", "s", "n", "k", "h", "r"])
+            yield _met([ids, rows, starts, sizes, keys, wholes, origin])
 
     return run
 
 
 def _windows(min_len: int):
-    """From (id, row, s, n, b): each window with its 128-bit key."""
+    """From (id, row, s, n, b): each window with its 128-bit key, as (id, row, s, n, k, h, r, w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in chunks(batches, "b", BLOCK // 64):
-            out = []
+        for batch in chunks(batches, "b", BLOCK // 4):
+            out = [[] for _ in range(7)]
             for i, row, s, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(i, row, s + p, digest(b[p : p + min_len]), digest(b[p : p + min_len], 1)) for p in range(n)]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array([1] * len(out), pa.int32()), _signed(columns[3]), _signed(columns[4])], ["id", "row", "s", "n", "k", "h"])
+                for p in range(n):
+                    for column, x in zip(out, (i, row, s + p, 1, digest(b[p : p + min_len]), digest(b[p : p + min_len], 1), s), strict=True):
+                        column.append(x)
+            yield _met(out)
 
     return run
 
@@ -332,7 +350,7 @@ def repeated_spans(keyed: DataFrame, min_len: int = MIN_LEN, keep_first: bool =
     span = ("row", "s", "n")
 
     runs = written(keyed.mapInArrow(_runs(min_len), _RUNS))
-    known = _known(runs, "a")
+    known = _known(runs.withColumn("w", F.lit(1)), "a")
     discard(runs)
     asked = known.where(unlike).groupBy("row").agg(F.collect_list(F.struct("s", "n", "a", "k", hot.alias("hot"))).alias("runs"))
     segments = written(keyed.join(asked, "row").select("id", "row", "z", "runs").mapInArrow(_segments(min_len), f"{_PLACE}, n int, a int, k long, hot boolean, b binary"))
@@ -340,13 +358,16 @@ def repeated_spans(keyed: DataFrame, min_len: int = MIN_LEN, keep_first: bool =
     found = [known.where(removed).select(*span)]
 
     if segments.where("hot").limit(1).count():
-        slices = _known(segments.where("hot").select("id", "row", "s", "n", "a", "k", "b").mapInArrow(_slices(min_len, SLICE), f"{_PLACE}, n int, k long, h long, r long"), "r")
-        whole = segments.where("hot").select("row", F.col("s").alias("r"), "b")
-        at = F.expr("substring(b, cast(s - r + 1 as int), n + %d)" % (min_len - 1))
-        cut = slices.where(unlike).join(whole, ["row", "r"]).select("k", "id", "row", "s", "n", at.alias("b"), hot.alias("hot"))
+        keyed_piece = f"{_PLACE}, n int, k long, h long, r long, w long"
+        whole = segments.where("hot").select("id", "row", "s", "n", "a", "k", "b")
+        sliced = written(whole.mapInArrow(_slices(min_len, SLICE), keyed_piece))
+        slices = _known(sliced.where("w > 0"), "r")
+        at = F.expr(f"substring(b, cast(s - r + 1 as int), n + {min_len - 1})")
+        cut = slices.where(unlike).join(whole.select("row", F.col("s").alias("r"), "b"), ["row", "r"]).select("k", "id", "row", "s", "n", at.alias("b"), hot.alias("hot"))
         pieces = pieces.union(cut.where(~F.col("hot")).drop("hot"))
-        windows = _known(cut.where("hot").select("id", "row", "s", "n", "b").mapInArrow(_windows(min_len), f"{_PLACE}, n int, k long, h long"))
-        found += [slices.where(removed).select(*span), windows.where(removed).select(*span)]
+        single = written(cut.where("hot").select("id", "row", "s", "n", "b").mapInArrow(_windows(min_len), keyed_piece))
+        windows = _known(single.where("w > 0"))
+        found += [sliced.where("w = 0").select(*span), slices.where(removed).select(*span), single.where("w = 0").select(*span), windows.where(removed).select(*span)]
 
     ordered = pieces.repartition("k").sortWithinPartitions("k").mapInArrow(_factors(min_len, keep_first), "row long, s long, n int")
     found.append(written(ordered))
