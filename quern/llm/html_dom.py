@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,21 +20,25 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 #: An opening tag on the left ends an open element on the right.
 _P_ENDERS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _ENDS = {**dict.fromkeys(_P_ENDERS, {"p"}), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+#: Start tags that leave an open head open.
+_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
+#: Elements below this many open ones are put beside each other, as browsers do; it bounds the work for a tag.
+DEPTH = 512
 _SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "aside", "body", "blockquote", "form"}
 
 TAGS = ["body", "div", "p", "article", "main", "section", "nav", "header", "footer", "aside", "ul", "ol", "li", "form", "table", "tr", "td", "blockquote", "pre", "h1", "h2", "h3", "figure"]
 #: Attribute tokens by what they tell.
 TOKEN_GROUPS = [
-    {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "crumbs", "toc", "pagination", "pager", "tabs"},
-    {"header", "masthead", "top", "topbar", "logo", "brand", "site", "branding"},
-    {"footer", "foot", "bottom", "copyright", "legal", "colophon"},
-    {"sidebar", "side", "aside", "widget", "rail", "complementary", "left", "right", "column"},
-    {"notice", "cookie", "cookies", "consent", "gdpr", "alert", "banner", "popup", "modal", "overlay", "warning", "message", "dialog", "privacy"},
-    {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "adsense", "dfp", "sponsors", "commercial"},
-    {"form", "search", "login", "signup", "subscribe", "newsletter", "register", "contact"},
-    {"comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "reader", "readers", "responses", "feedback", "thread", "forum"},
-    {"share", "social", "sharing", "related", "recommended", "more", "popular", "trending", "tags", "links", "teaser", "trends", "recommendations", "read"},
-    {"content", "article", "main", "post", "entry", "body", "text", "story", "page", "prose", "paragraph", "articlebody", "maincontent"},
+    {"nav", "navbar", "navigation", "navegacion", "menu", "menue", "menubar", "breadcrumb", "crumbs", "toc", "pagination", "pager", "tabs"},
+    {"header", "masthead", "top", "topbar", "logo", "brand", "site", "branding", "kopf", "entete", "cabecera", "banner"},
+    {"footer", "foot", "bottom", "copyright", "legal", "colophon", "fuss", "pied", "pie", "impressum", "mentions"},
+    {"sidebar", "side", "aside", "widget", "rail", "complementary", "left", "right", "column", "seiten", "leiste", "laterale", "lateral", "colonne", "columna"},
+    {"notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "overlay", "warning", "message", "dialog", "privacy", "hinweis", "avis", "aviso", "datenschutz", "bandeau"},
+    {"ad", "ads", "advert", "sponsor", "promo", "adsense", "dfp", "commercial", "werbung", "anzeige", "pub", "publicite", "anuncio", "publicidad"},
+    {"form", "search", "login", "signup", "subscribe", "newsletter", "register", "contact", "suche", "recherche", "buscar", "anmeldung", "formulaire", "formulario"},
+    {"comment", "reply", "replies", "discussion", "disqus", "respond", "reader", "responses", "feedback", "thread", "forum", "kommentar", "commentaire", "comentario", "leser", "avis-lecteurs"},
+    {"share", "social", "sharing", "related", "recommended", "more", "popular", "trending", "tags", "links", "teaser", "trends", "read", "teilen", "partager", "compartir", "mehr"},
+    {"content", "article", "main", "post", "entry", "body", "text", "story", "page", "prose", "paragraph", "inhalt", "artikel", "beitrag", "contenu", "contenido", "texte", "texto", "articulo", "haupt"},
 ]
 
 
@@ -48,13 +54,18 @@ class Node:
 
 
 def parse(source: str) -> list[Node]:
-    """Block nodes in page order, parents first; each has the text that lies in it directly, as blocks."""
+    """Block nodes in page order, parents first; each has the text that lies in it directly, as blocks.
+
+    A head that is not closed ends at the first tag that cannot stand in it.
+    """
     root = Node("body", frozenset(), None)
     nodes, here, skip = [root], root, None
     opened: list[str] = []  # tags from the root down, inline ones included
     owners: list[Node] = []  # the block node of each
     parts: list[str] = []
     links, in_link, place = 0, 0, 0
+    open_tags: Counter = Counter()  # a closing tag without an opener costs nothing
+    never_closed: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, links, place
@@ -70,12 +81,14 @@ def parse(source: str) -> list[Node]:
         if any(t not in INLINE for t in opened[to:]):
             flush()
         in_link -= sum(t == "a" for t in opened[to:])
+        open_tags.subtract(opened[to:])
         del opened[to:], owners[to:]
         here = owners[-1] if owners else root
 
     at, end = 0, len(source)
+    last = source.rfind(">") + 1  # no tag ends beyond
     while at < end:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at, last) if at < last else None
         text = source[at : m.start() if m else end]
         if text and skip is None:
             parts.append(text)
@@ -91,24 +104,26 @@ def parse(source: str) -> list[Node]:
         if name == "head":
             skip = None if closing else name
             continue
+        if skip and not closing and name not in _HEAD and name != "html":
+            skip = None
         if name in RAW:
-            if not closing:
+            if not closing and name not in never_closed:
                 stop = re.compile(f"</{re.escape(name)}\\b[^>]*+>", re.I).search(source, at)
                 at = stop.end() if stop else (end if name in ("script", "style") else at)
+                if not stop:
+                    never_closed.add(name)
             continue
-        if name == "body" and not closing:
-            skip = None
         if skip or name in ("html", "body", "img", "wbr"):
             continue
         if closing:
-            for i in range(len(opened) - 1, -1, -1):
+            for i in range(len(opened) - 1, -1, -1) if open_tags[name] else ():
                 if opened[i] == name:
                     close(i)
                     break
                 if name in INLINE and opened[i] not in INLINE:
                     break
             continue
-        for i in range(len(opened) - 1, -1, -1) if name in _ENDS else ():
+        for i in range(len(opened) - 1, -1, -1) if any(open_tags[t] for t in _ENDS.get(name, ())) else ():
             if opened[i] in _ENDS[name]:
                 close(i)
                 break
@@ -120,6 +135,9 @@ def parse(source: str) -> list[Node]:
             else:
                 parts.append(" ")
             continue
+        if len(opened) >= DEPTH:
+            close(DEPTH - 1)
+        open_tags[name] += 1
         if name in INLINE:
             opened.append(name), owners.append(here)
             in_link += name == "a"
@@ -142,7 +160,14 @@ def parse(source: str) -> list[Node]:
 
 FEATURES = len(TAGS) + 2 * len(TOKEN_GROUPS) + 17
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
-_TOKEN_BITS = {w: sum(1 << g for g, words in enumerate(TOKEN_GROUPS) if w in words) for w in set().union(*TOKEN_GROUPS)}
+
+
+@lru_cache(maxsize=1 << 16)
+def _token_bits(token: str) -> int:
+    """The groups of a token: one of their words, or what begins with one of five letters or more ("sidebarbox", "comments")."""
+    return sum(1 << g for g, words in enumerate(TOKEN_GROUPS) if token in words or any(len(w) > 4 and token.startswith(w) for w in words))
+
+
 #: Semantic tags stand for a token group, for themselves and all below.
 _TAG_BITS = {tag: 1 << g for tag, g in (("nav", 0), ("header", 1), ("footer", 2), ("aside", 3), ("form", 6), ("article", 9), ("main", 9))}
 
@@ -163,7 +188,7 @@ def figures(nodes: list[Node]) -> np.ndarray:
         blocks[i] = len(x.blocks)
         paragraphs[i] = int(x.tag == "p" and blocks[i] > 0)
         for w in x.tokens:
-            own_bits[i] |= _TOKEN_BITS.get(w, 0)
+            own_bits[i] |= _token_bits(w)
         above[i] = (above[parent[i]] | own_bits[parent[i]] if i else 0) | _TAG_BITS.get(x.tag, 0)
         if x.children:
             tags: dict[str, int] = {}

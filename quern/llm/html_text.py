@@ -22,7 +22,19 @@ from quern.llm.boosting import Forest, fit
 from quern.llm.html_dom import Node, figures, parse
 from quern.llm.shared import chunks, table
 
-TRAINING_PAGES = 300
+TRAINING_PAGES = 500
+#: Names of elements on the pages to learn from, by part; a third of the elements have made-up ones instead.
+NAMES = {
+    "menu": ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "navigation", "hauptmenue", "navegacion"],
+    "side": ["sidebar", "side", "widget", "related", "right-rail", "popular", "seitenleiste", "colonne-laterale"],
+    "advert": ["ad", "ads", "advert", "sponsored", "promo", "ad-banner", "werbung", "publicite", "anuncio"],
+    "notice": ["notice", "cookie-banner", "cookie", "alert", "consent", "message", "hinweis", "aviso"],
+    "form": ["search", "newsletter", "subscribe", "login-form", "signup", "suche", "recherche"],
+    "comments": ["comments", "comment-list", "discussion", "responses", "reader-comments", "kommentare", "comentarios"],
+    "footer": ["footer", "site-footer", "copyright", "bottom", "fusszeile", "pied-page"],
+    "header": ["header", "site-header", "masthead", "top", "kopfzeile", "cabecera"],
+    "body": ["post", "content", "main-content", "entry-content", "story", "artikel", "contenu"],
+}
 
 
 # --- pages to learn from -----------------------------------------------------------------
@@ -31,8 +43,13 @@ TRAINING_PAGES = 300
 class _Writer:
     """Pages with data-mark="1" on the article's elements and "0" on all others that hold text."""
 
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, names: dict[str, list[str]] = NAMES):
+        self.r, self.names = random.Random(seed), names
+
+    def name(self, part: str, made_up: float = 0.35) -> str:
+        """A name of the part, or one that tells nothing."""
+        r = self.r
+        return "".join(r.choice("bcdfgklmnprstvwz") + r.choice("aeiou") for _ in range(r.randint(2, 4))) if r.random() < made_up else r.choice(self.names[part])
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -45,11 +62,11 @@ class _Writer:
     def links(self, n: int) -> str:
         return "".join(f'<li data-mark="0"><a href="/x">{self.words(1, 3)}</a></li>' for _ in range(n))
 
-    def box(self, tag: str, names: list[str], inside: str, bare: float = 0.15) -> str:
+    def box(self, tag: str, part: str, inside: str, bare: float = 0.15) -> str:
         """The element by its own tag, or as a div that its class or id names, or without a name."""
         r = self.r
         style = r.random()
-        name = r.choice(names)
+        name = self.name(part, 0.35 if bare else 0)
         attribute = r.choice((f' class="{name}"', f' id="{name}"', f' class="{name} box"'))
         if style < bare:
             attribute = ""
@@ -60,33 +77,33 @@ class _Writer:
 
     def menu(self) -> str:
         r = self.r
-        items = f"<ul>{self.links(r.randint(2, 12))}</ul>" if r.random() < 0.7 else " ".join(f'<a href="/y">{self.words(1, 2)}</a>' for _ in range(r.randint(2, 9)))
-        return self.box("nav", ["nav", "menu", "navbar", "main-menu", "breadcrumbs"], items)
+        items = f"<ul>{self.links(r.randint(2, 12))}</ul>" if r.random() < 0.6 else r.choice((" ", " | ", " &middot; ")).join(f'<a href="/y">{self.words(1, 2)}</a>' for _ in range(r.randint(1, 9)))
+        return self.box("nav", "menu", items)
 
     def side(self) -> str:
-        return self.box("aside", ["sidebar", "side", "widget", "related", "right-rail", "popular"], f'<h3 data-mark="0">{self.words(1, 3)}</h3><ul>{self.links(self.r.randint(2, 8))}</ul>' + (f'<p data-mark="0">{self.sentences(1, 3)}</p>' if self.r.random() < 0.5 else ""))
+        return self.box("aside", "side", f'<h3 data-mark="0">{self.words(1, 3)}</h3><ul>{self.links(self.r.randint(2, 8))}</ul>' + (f'<p data-mark="0">{self.sentences(1, 3)}</p>' if self.r.random() < 0.5 else ""))
 
     def advert(self) -> str:
-        return self.box("div", ["ad", "ads", "advert", "sponsored", "promo", "ad-banner"], self.sentences(1, 3) if self.r.random() < 0.6 else f'<p data-mark="0">{self.sentences(1, 3)}</p>', 0)
+        return self.box("div", "advert", self.sentences(1, 3) if self.r.random() < 0.6 else f'<p data-mark="0">{self.sentences(1, 3)}</p>', 0)
 
     def notice(self) -> str:
-        return self.box("div", ["notice", "cookie-banner", "cookie", "alert", "consent", "message"], f'<p data-mark="0">{self.sentences(1, 3)}</p><a href="/ok">{self.words(1, 1)}</a>' if self.r.random() < 0.6 else self.sentences(1, 2), 0)
+        return self.box("div", "notice", f'<p data-mark="0">{self.sentences(1, 3)}</p><a href="/ok">{self.words(1, 1)}</a>' if self.r.random() < 0.6 else self.sentences(1, 2), 0)
 
     def form(self) -> str:
-        return self.box("form", ["search", "newsletter", "subscribe", "login-form", "signup"], f'<label>{self.words(1, 4)}</label><input type="text"><p data-mark="0">{self.sentences(1, 2)}</p>')
+        return self.box("form", "form", f'<label>{self.words(1, 4)}</label><input type="text"><p data-mark="0">{self.sentences(1, 2)}</p>')
 
     def comments(self) -> str:
         r = self.r
         one = lambda: r.choice((f'<div class="comment" data-mark="0"><p data-mark="0">{self.sentences(1, 5)}</p></div>', f'<li class="comment" data-mark="0"><b>{self.words(1, 2)}</b> {self.sentences(1, 4)}</li>', f'<p data-mark="0">{self.sentences(1, 4)}</p>'))
-        return self.box("section", ["comments", "comment-list", "discussion", "responses", "reader-comments"], f'<h2 data-mark="0">{self.words(1, 2)}</h2>' + "".join(one() for _ in range(r.randint(1, 6))), 0)
+        return self.box("section", "comments", f'<h2 data-mark="0">{self.words(1, 2)}</h2>' + "".join(one() for _ in range(r.randint(1, 6))), 0)
 
     def footer(self) -> str:
         r = self.r
         inside = r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 3)}", f'<p data-mark="0">&copy; {self.words(2, 6)}</p><ul>{self.links(r.randint(2, 6))}</ul>', self.sentences(1, 2)))
-        return self.box("footer", ["footer", "site-footer", "copyright", "bottom"], inside, 0.3)
+        return self.box("footer", "footer", inside, 0.3)
 
     def header(self) -> str:
-        return self.box("header", ["header", "site-header", "masthead", "top"], f'<a href="/">{self.words(1, 2)}</a>' + (f'<p data-mark="0">{self.words(2, 6)}</p>' if self.r.random() < 0.5 else ""))
+        return self.box("header", "header", f'<a href="/">{self.words(1, 2)}</a>' + (f'<p data-mark="0">{self.words(2, 6)}</p>' if self.r.random() < 0.5 else ""))
 
     def paragraphs(self) -> str:
         r = self.r
@@ -99,7 +116,8 @@ class _Writer:
                     text = f'{text} <a href="/z">{self.words(1, 4)}</a> {self.sentences(1, 2)}'
                 if r.random() < 0.1:
                     text = f"<b>{self.words(2, 8)}<br>"
-                out.append(f'<p data-mark="1">{text}</p>')
+                tag = "p" if self.tidy else "div"
+                out.append(f'<{tag} data-mark="1">{text}</{tag}>')
             elif k < 0.8:
                 out.append(f'<h2 data-mark="1">{self.words(1, 7)}</h2>')
             elif k < 0.86:
@@ -114,20 +132,26 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
+        self.tidy = r.random() < 0.8  # paragraphs are p and not div
         title = f'<h1 data-mark="1">{self.words(1, 12)}</h1>'
         if r.random() < 0.2:
             title = f'<header data-mark="1">{title}</header>'
         inside = title + self.paragraphs()
         if r.random() < 0.25:
             inside += r.choice((self.comments, self.form, self.side))()
-        tag, attribute = r.choice((("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="entry-content"'), ("section", ' class="story"'), ("div", "")))
+        tag = r.choice(("article", "article", "main", "div", "div", "section"))
+        attribute = r.choice(("", f' class="{self.name("body")}"', f' id="{self.name("body")}"'))
         body = f'<{tag}{attribute} data-mark="1">{inside}</{tag}>'
         around = {"front": [self.notice, self.header, self.menu, self.advert, self.form], "back": [self.side, self.comments, self.advert, self.form, self.menu, self.notice]}
         front = "".join(f() for f in around["front"] if r.random() < 0.5)
         back = "".join(f() for f in around["back"] if r.random() < 0.35) + (self.footer() if r.random() < 0.85 else "")
-        if r.random() < 0.3:
-            body = f'<div class="{r.choice(("wrapper", "container", "row", "page"))}">{body}{self.side() if r.random() < 0.5 else ""}</div>'
-        return f"<html><head><title>x</title></head><body>{front}{body}{back}</body></html>"
+        shape = r.random()
+        if shape < 0.3:
+            body = f'<div class="{r.choice(("wrapper", "container", "row", "page", self.name("body", 1)))}">{body}{self.side() if r.random() < 0.5 else ""}</div>'
+        elif shape < 0.4:  # columns of a table
+            body = f'<table><tr><td data-mark="0">{self.menu()}</td><td data-mark="1">{body}</td></tr></table>'
+        head = r.choice(("<head><title>x</title></head><body>", "<head><title>x</title>", "<body>"))
+        return f"<html>{head}{front}{body}{back}</body></html>"
 
 
 def _labels(nodes: list[Node]) -> np.ndarray:
@@ -187,10 +211,16 @@ def _extract(forest: Forest):
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(page_id, text, n_chars, url) for each row of df; null and empty pages, and pages without an article, give an empty text."""
+    """(page_id, text, n_chars, url) for each row of df.
+
+    Null and empty pages, and pages without an article, give an empty text.  Long pages are parsed whole, in time that
+    grows with their length; repeated rows give equal texts, null ids and urls stay, other columns are not looked at, and an
+    empty table gives no rows.
+    """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
     return pages.mapInArrow(_extract(learned()), "page_id long, text string, n_chars long, url string")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of `pages`, from the whole html; null html gives an empty text (see main_text)."""
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -1,13 +1,14 @@
 """Personal data: exact patterns, and a character BiLSTM-CRF that adds what they miss.
 
 Windows of a text overlap by half; each is decoded whole, and each position takes its tag
-from the window in whose middle it lies, so that spans join across windows.  All four kinds
-hold a digit or an @, so windows without either cannot hold a span and are not decoded.
-Spans of the model must still be well formed (below), and give way to those of the
-patterns.
-
-The model learns from spans that the patterns' shapes label in a bounded sample of rows, and
-from variants written into the sample's windows.
+from the window in whose middle it lies, so that spans join across windows.  Windows without a digit, an @
+or a written-out "(at)" or "dot" hold none of the kinds and are not decoded.  A span counts if the CRF
+gives its tags a mean chance of CHANCE and its value is possible (digits of a card or phone, parts of an
+address below 256); its form is the tagger's to judge.  Spans that meet one of the patterns' give way to it.
+
+The model learns from spans that the patterns label in a bounded sample of rows, and from forms written into
+the sample's windows: those of the patterns, and others that they miss (addresses with (at) or [.], phones without
+a plus, cards in other groups, quoted keys and tokens).
 """
 
 from __future__ import annotations
@@ -25,16 +26,20 @@ from pyspark.sql import functions as F
 from quern.llm.bilstm_crf import Tagger
 from quern.llm.shared import bounded_sample, chunks, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The patterns know the first four; "secret" (a quoted key or token) is the tagger's alone.
+KINDS = ("email", "ip", "card", "phone", "secret")
 WINDOW, STRIDE = 64, 32
-SAMPLE, LEARNED = 300, 600  # rows, and windows, to learn from at most
+SAMPLE, AROUND = 300, 256  # rows to learn from at most, and the characters of each, around its first digit or @
+LEARNED, WRITTEN = 600, 1800  # windows of those rows, and windows with written forms
+CHANCE = 0.8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match never starts inside a run of digits
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CUE = re.compile(r"[0-9@]")
+_CUE = re.compile(r"[0-9@]|[(\[{]at[)\]}]|\bdot\b", re.I)
+_SECRET = re.compile(r"""\b(?:token|key|secret|password|auth)\w*["']?\s*[=:]\s*["']?([A-Za-z0-9+/_-]{16,})""", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -69,8 +74,6 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str, strict: bool = True) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind and start; without `strict`, cards need no valid check digit."""
-    if not _CUE.search(text):
-        return []
     out = [(0, a, b) for a, b in _emails(text)]
     out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if _parts_fit(m.group())]
     out += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if 16 <= len(d := _digits(m.group())) <= 19 and (not strict or luhn(d))]
@@ -107,119 +110,154 @@ def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
+def _checked(digits: str) -> str:
+    """The digits with the last one such that luhn() holds."""
+    return next(x for d in "0123456789" if luhn(x := digits[:-1] + d))
+
+
 def _variant(r: random.Random) -> tuple[int, str]:
     """A kind, and a text of that kind in one of its forms."""
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
-    k = r.randrange(4)
+    k = r.choice((0, 0, 1, 2, 3, 3, 4))
     if k == 0:
         local = r.choice((word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{num(2)}", f"{word()}_{word()}", f"{word()}+{word()}", word().capitalize()))
-        return k, f"{local}@{word()}{r.choice(('', num(1)))}.{r.choice(('com', 'org', 'net', 'example.com', 'co.uk', 'de'))}"
+        domain, end = f"{word()}{r.choice(('', num(1)))}", r.choice(("com", "org", "net", "example.com", "co.uk", "de", "fr"))
+        plain = f"{local}@{domain}.{end}"
+        at, dot = r.choice(((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" @ ", "."), (" @ ", " . "), (" AT ", " DOT "), ("{at}", "{dot}")))
+        return k, r.choice((plain, f"{local}{at}{domain}{dot}{end.replace('.', dot)}"))
     if k == 1:
-        return k, ".".join(str(r.randrange(256)) for _ in range(4))
+        return k, r.choice((".", ".", "[.]", "(.)", " . ", "[dot]")).join(str(r.randrange(256)) for _ in range(4))
     if k == 2:
-        d = num(r.choice((16, 16, 16, 17, 19)))
-        return k, r.choice((d, d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4))))
-    return k, r.choice((f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(11)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(7)}"))
+        d = _checked(num(r.choice((16, 16, 16, 15, 17, 19))))
+        cut = lambda sign, *at: sign.join(d[a:b] for a, b in zip((0, *at), (*at, len(d)), strict=True))
+        sign = r.choice((" ", "-", ".", "/", "  ", " - "))
+        return k, r.choice((d, d, cut(sign, 4, 8, 12), cut(sign, 4, 8, 12), cut(sign, 4, 10), cut(sign, 8)))
+    if k == 3:
+        forms = (f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(11)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(7)}")
+        return k, r.choice((*forms, f"{num(3)}.{num(3)}.{num(4)}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(2)}/{num(7)}", f"({num(3)}) {num(7)}", f"0{num(3)} {num(3)} {num(4)}"))
+    letters = r.choice(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"))
+    return k, "".join(r.choice(letters) for _ in range(r.choice((16, 20, 24, 32, 40, 40, 44))))
+
+
+def _led(r: random.Random, k: int) -> tuple[str, str]:
+    """What stands before and after a span."""
+    if k == 4:
+        name, sign, quote = r.choice(("token", "key", "api_key", "secret", "password", "auth", "access_token")), r.choice((" = ", "=", ": ", ":")), r.choice(('"', '"', "'", ""))
+        return f" {r.choice((name, name.upper()))}{sign}{quote}", f"{quote}{r.choice((' ', '.', '!!', chr(10), '###'))}"
+    return r.choice((" ", " ", "\n", "(", ": ", " | ")), r.choice((" ", " ", ".", ",", "\n", ")", "###", "!!", "$$$", " | "))
 
 
 def _decoy(r: random.Random) -> str:
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    return r.choice((num(r.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}", f"{num(1)},{num(3)}.{num(2)}", f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"', f"@{r.choice(('home', 'x', 'all'))}", f"v{num(1)}.{num(2)}", f"{num(24)}", f"{num(3)}%"))
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    return r.choice((
+        num(r.randint(1, 7)), f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.", f"CC BY-NC {num(1)}.0", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}", f"{num(1)},{num(3)}.{num(2)}",
+        f"@{r.choice(('home', 'x', 'all'))}", f"v{num(1)}.{num(2)}", num(24), f"{num(3)}%", f"{num(2)}-{num(2)}", f"{num(1)} {num(3)} {num(3)}", f"{num(3)} + {num(2)} = {num(3)}", f'{word()} = "{word()}"', f'key = "{word()} {word()}"', f"{num(4)}/{num(4)}", f"look at {word()} dot {num(1)}",
+        f"{word()} at {word()}", f"the dot {word()}", f"{num(2)} x {num(2)} x {num(2)}", f"{word()}-{num(3)}", f"#{num(5)}", f"p. {num(3)}-{num(3)}", f"$ {num(3)}.{num(2)}", f"{word().upper()}{num(2)}",
+    ))
+
+
+def _written(r: random.Random, text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with a form or two, and what looks like one, written into it."""
+    spans: list[tuple[int, int, int]] = []
+    for _ in range(r.choice((1, 1, 2))):
+        at = r.randrange(len(text) + 1)
+        if spans and at < spans[-1][2] + 6:
+            continue
+        if r.random() < 0.7:
+            k, s = _variant(r)
+            left, right = _led(r, k)
+            spans.append((k, at + len(left), at + len(left) + len(s)))
+        else:
+            s = _decoy(r)
+            left, right = _led(r, 0)
+        text = text[:at] + left + s + right + text[at:]
+        if r.random() < 0.5:
+            break
+    return text, spans
 
 
 def learn(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, windows: int = LEARNED, seed: int = 5) -> Tagger:
-    """A tagger from at most `windows` windows of about `sample` rows that hold a digit or an @, and as many written ones."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """A tagger from at most `windows` windows of about `sample` rows that hold a digit or an @, and WRITTEN written ones.
+
+    Of each of those rows AROUND characters come to the driver; null texts are left out, and without any row the
+    written forms stand in plain words.
+    """
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held = rows.where(F.col("text").rlike("[0-9@]")).withColumn("all", F.lit(1))
-    texts = [r["text"] for r in bounded_sample(held, ["all"], "id", sample).select(F.expr(f"substring(text, greatest(1, regexp_instr(text, '[0-9@]') - {WINDOW // 2}), {4 * WINDOW})").alias("text")).orderBy("text").limit(sample).collect()]
+    texts = [r["text"] for r in bounded_sample(held, ["all"], "id", sample).select(F.expr(f"substring(text, greatest(1, regexp_instr(text, '[0-9@]') - {WINDOW // 2}), {AROUND})").alias("text")).orderBy("text").limit(sample).collect()]
     r = random.Random(seed)
     xs, ys = [], []
 
-    def add(text: str, spans: list[tuple[int, int, int]]) -> None:
-        a = r.randrange(max(1, len(text) - WINDOW + 1))
+    def add(text: str, spans: list[tuple[int, int, int]], low: int = 0) -> None:
+        a = r.randrange(max(1, len(text) - WINDOW + 1)) if r.random() < 0.3 else min(max(0, low - r.randrange(WINDOW // 2)), max(0, len(text) - WINDOW // 2))
         x, y = symbols(text)[a : a + WINDOW], _tags(len(text), spans)[a : a + WINDOW]
         xs.append(np.pad(x, (0, WINDOW - len(x))))
         ys.append(np.pad(y, (0, WINDOW - len(y))))
 
     for text in texts:
+        spans = base_spans(text, strict=False) + [(4, m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
         for _ in range(2):
             if len(xs) < windows:
-                add(text, base_spans(text, strict=False))
+                add(text, spans, r.choice(spans)[1] if spans else 0)
     plain = [re.sub(r"\S*[0-9@]\S*", "", t) for t in texts] or ["plain words of no language stand here " * 4]
-    for _ in range(windows):
-        text, spans = r.choice(plain)[: 2 * WINDOW], []
-        for _ in range(r.choice((1, 1, 2))):
-            at = r.randrange(len(text) + 1)
-            if spans and at < spans[-1][2] + 1:
-                continue
-            left, right = r.choice((" ", " ", "\n", "(", ": ")), r.choice((" ", " ", ".", ",", "\n", ")", "###", "!!"))
-            if r.random() < 0.7:
-                k, s = _variant(r)
-                spans.append((k, at + len(left), at + len(left) + len(s)))
-            else:
-                s = _decoy(r)
-            text = text[:at] + left + s + right + text[at:]
-            if r.random() < 0.5:
-                break
-        add(text, spans)
-    tagger = Tagger(SYMBOLS, 1 + 2 * len(KINDS))
+    for _ in range(WRITTEN):
+        text, spans = _written(r, r.choice(plain)[: 2 * WINDOW])
+        add(text, spans, r.choice(spans)[1] if spans else 0)
+    tagger = Tagger(SYMBOLS, 1 + 2 * len(KINDS), hidden=24)
     tagger.train(np.array(xs), np.array(ys))
     return tagger
 
 
-def _well_formed(k: int, s: str) -> bool:
-    d = _digits(s)
+def _possible(k: int, s: str) -> bool:
+    """Whether the value of a span can be what the tagger takes it for, whatever its form."""
+    d, numbers = _digits(s), re.findall("[0-9]+", s)
     if k == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
+        return len(s) >= 6 and ("@" in s or "at" in s.lower()) and ("." in s or "dot" in s.lower()) and s[0].isalnum() and s[-1].isalpha()
     if k == 1:
-        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", s)) and _parts_fit(s)
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and s[0] in "0123456789" and s[-1] in "0123456789"
     if k == 2:
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[\x20-]?[0-9])+", s))
-    return 8 <= len(d) <= 15 and s.count("(") == s.count(")") and bool(re.fullmatch(r"\+?[\x20().0-9-]+[0-9]", s)) and any(c in "+()-" for c in s)
+        return 13 <= len(d) <= 19 and luhn(d)
+    if k == 3:
+        return 8 <= len(d) <= 15 and len(numbers) > 1
+    return len(s) >= 16 and len(d) >= 2 and any(c.isalpha() for c in s) and not any(c.isspace() for c in s)
 
 
 def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Well-formed spans of each text, windows decoded in batches and reconciled over the whole text."""
+    """The tagger's spans of each text, windows decoded in batches and reconciled over the whole text."""
     places, rows = [], []
-    coded = []
     for n, text in enumerate(texts):
         cues = {m.start() // STRIDE for m in _CUE.finditer(text)}
-        coded.append(symbols(text) if cues else None)
+        coded = symbols(text) if cues else None
         for g in sorted({x for c in cues for x in (c - 1, c, c + 1) if x >= 0}):  # the middle of window g begins at g * STRIDE
             a = g * STRIDE - STRIDE // 2
-            x = coded[n][max(0, a) : a + WINDOW]
+            x = coded[max(0, a) : a + WINDOW]
             if len(x):
                 rows.append(np.pad(x, (max(0, -a), WINDOW - len(x) - max(0, -a))))
                 places.append((n, g))
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    middles: dict[int, list[tuple[int, np.ndarray]]] = {}
+    middles: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    middle = slice(STRIDE // 2, STRIDE // 2 + STRIDE)
     for at in range(0, len(rows), 1024):
-        tags = tagger.decode(np.array(rows[at : at + 1024]))[:, STRIDE // 2 : STRIDE // 2 + STRIDE]
-        for (n, g), y in zip(places[at : at + 1024], tags, strict=True):
-            middles.setdefault(n, []).append((g, y))
+        tags, chances = tagger.decode(np.array(rows[at : at + 1024]))
+        for (n, g), y, p in zip(places[at : at + 1024], tags[:, middle], chances[:, middle], strict=True):
+            middles.setdefault(n, []).append((g, y, p))
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for n, parts in middles.items():
-        text = texts[n]
-        run: list[int] = []  # kind, start, end
-
-        def done(n: int = n, text: str = text) -> None:
-            if run and _well_formed(run[0], text[run[1] : run[2]]):
-                found[n].append((run[0], run[1], run[2]))
-            run.clear()
-
-        for g, y in parts:
-            if not run or run[2] < g * STRIDE:
-                done()
-            for i in np.flatnonzero(y).tolist():
-                p, k, begins = g * STRIDE + i, (int(y[i]) - 1) // 2, y[i] % 2 == 1
-                if p >= len(text):
-                    break
-                if run and not begins and run[0] == k and run[2] == p:
-                    run[2] = p + 1
-                else:
-                    done()
-                    run[:] = [k, p, p + 1]
-        done()
+        size = (parts[-1][0] + 1) * STRIDE
+        tags, chances = np.zeros(size, np.int8), np.zeros(size)
+        for g, y, p in parts:
+            tags[g * STRIDE : (g + 1) * STRIDE], chances[g * STRIDE : (g + 1) * STRIDE] = y, p
+        tags = tags[: len(texts[n])]
+        kind = (tags + 1) // 2  # 0 outside
+        opens = (kind > 0) & ((tags % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
+        for a in np.flatnonzero(opens).tolist():
+            z = a + 1
+            while z < len(kind) and kind[z] == kind[a] and not opens[z]:
+                z += 1
+            k = int(kind[a]) - 1
+            if chances[a:z].mean() >= CHANCE and _possible(k, texts[n][a:z]):
+                found[n].append((k, a, z))
     return found
 
 
@@ -252,9 +290,11 @@ def _find(tagger: Tagger):
 def find(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of df.
 
-    Counts and the digest are of the base spans, `spans` lists all; null and empty texts have none.
+    Counts and the digest are of the base spans, `spans` lists all; null and empty texts have none.  Long texts are
+    windows like any other, repeated rows get equal answers, null ids stay, an empty table gives no rows, and
+    other columns are not looked at.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return docs.mapInArrow(_find(tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -284,5 +324,6 @@ def redact(df: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of `documents`: the patterns' counts and digest, and all spans; null texts have none."""
     docs = table(spark, sf_dir, "documents")
     return find(docs, learn(docs))
