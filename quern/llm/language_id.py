@@ -3,134 +3,95 @@
 A profile lists a language's n-grams (one to three letters, words padded by a space) from
 the most frequent down.  A document's own list is compared with each profile: every n-gram
 adds the difference of its two ranks, or the profile's length where the profile lacks it.
-The language out of place the least is the answer.
+The language out of place the least is the answer.  N-grams are keyed by their code points, so no alphabet is cut.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import bounded_sample, chunks, held_out, table, written
+from quern.llm.shared import bounded_sample, chunks, discard, held_out, table, written
 
 PROFILE = 300
-LETTERS = 63  # letters with a code of their own; all others share one
 SAMPLE = 2000  # learning rows for each language at most, about
 NONE = "und"
+_BITS = 20  # of a letter in an n-gram's key; letters lie below 2**18
 
 
-def _letter(point: int) -> bool:
-    return chr(point).isalpha()
-
-
-class Coder:
-    """Letters of learned texts as small numbers; 0 for anything between words, the last for other letters."""
-
-    def __init__(self, letters: str):
-        self.letters = letters
-        self.base = len(letters) + 2
-        table = np.zeros(0x110000, np.uint8)
-        alphabetic = np.fromiter((chr(p).isalpha() for p in range(0x3000)), bool, 0x3000)
-        table[:0x3000][alphabetic] = self.base - 1
-        table[0x3000:] = self.base - 1
-        self.table = table
-        for i, c in enumerate(letters):
-            for form in {c, c.upper()}:
-                if len(form) == 1:
-                    table[ord(form)] = i + 1
-
-    def codes(self, text: str) -> np.ndarray:
-        points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
-        c = self.table[points].astype(np.int32)
-        high = np.flatnonzero(points >= 0x3000)
-        for i in high.tolist():
-            if c[i] == self.base - 1 and not _letter(int(points[i])):
-                c[i] = 0
-        return c
-
-    def counts(self, codes: np.ndarray) -> np.ndarray:
-        """Counts of all n-grams, indexed by their codes; spaces repeat nowhere and stand in no unigram."""
-        b = self.base
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
-        c = codes[keep]
-        one = np.bincount(c, minlength=b)
-        one[0] = 0
-        two = np.bincount(c[:-1] * b + c[1:], minlength=b * b)
-        middle = c[1:-1] > 0  # no word break inside
-        three = np.bincount(((c[:-2] * b + c[1:-1]) * b + c[2:])[middle], minlength=b**3)
-        return np.concatenate([one, two, three])
-
-
-def top(counts: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams in order; ties by code."""
-    found = np.flatnonzero(counts)
-    n = counts[found]
-    if len(found) > size:
-        least = np.partition(n, len(n) - size)[len(n) - size]
-        found, n = found[n >= least], n[n >= least]
-    return found[np.lexsort((found, -n))][:size]
-
-
-def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total.update(Counter(text.lower()))
-    found = [(c, n) for c, n in total.items() if c.isalpha() and unicodedata.category(c) != "Lm"]
-    yield pa.record_batch([pa.array([c for c, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["c", "n"])
-
-
-def _gram_counts(letters: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = Coder(letters), {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = coder.counts(coder.codes(text))
-                total[lang] = total[lang] + counts if lang in total else counts
-        for lang, counts in total.items():
-            found = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(counts[found])], ["lang", "gram", "n"])
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Each code point, or 0 where it is no letter."""
+    points = np.arange(0x110000, dtype=np.int64)
+    return np.where(np.fromiter((chr(p).isalpha() for p in points.tolist()), bool, len(points)), points, 0)
 
-    return run
 
+def ngrams(text: str) -> np.ndarray:
+    """Keys of all n-grams in a text; spaces repeat nowhere and stand in no unigram, and trigrams have no break inside."""
+    c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
+    c = c[keep]
+    one, two = c[c > 0], (c[:-1] << _BITS) | c[1:]
+    three = (two[:-1] << _BITS) | c[2:]
+    return np.concatenate([one, two | 1 << 3 * _BITS, three[c[1:-1] > 0] | 2 << 3 * _BITS])
 
-def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, size: int = PROFILE) -> tuple[str, dict[str, list[int]]]:
-    """(letters, {language: n-gram codes by rank}) from about `sample` rows for each language (chosen by id).
 
-    What comes to the driver is bounded: the letters, and `size` n-grams for each language.
-    """
-    known = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).where("text is not null and lang is not null")
+def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams in order; ties by key."""
+    if len(grams) > size:
+        least = np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.lexsort((grams, -counts))][:size]
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text", 1 << 20):
+        held: dict[str, list[np.ndarray]] = {}
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(lang, []).append(ngrams(text))
+        for lang, parts in held.items():
+            grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
+
+
+def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
+    """{language: n-gram keys by rank} from about `sample` rows for each language (chosen by id); `size` of each come to the driver."""
+    named = (F.col(f"`{c}`").cast(t).alias(n) for c, t, n in ((text_col, "string", "text"), (lang_col, "string", "lang")))
+    known = df.select(*named, F.col(f"`{id_col}`").alias("id")).where("text is not null and lang is not null")
     rows = written(bounded_sample(known, ["lang"], "id", sample).select("text", "lang"))
-    letters = rows.select("text").mapInArrow(_letter_counts, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
-    alphabet = "".join(sorted(r["c"] for r in letters))
-    grams = rows.mapInArrow(_gram_counts(alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = grams.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("g")).collect()
-    return alphabet, {r["lang"]: [x["gram"] for x in r["g"]] for r in sorted(best, key=lambda r: r["lang"])}
+    grams = rows.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    best = grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).collect()
+    discard(rows)
+    out: dict[str, list[int]] = {}
+    for r in sorted(best, key=lambda r: (r["lang"], r["rank"])):
+        out.setdefault(r["lang"], []).append(r["gram"])
+    return out
 
 
-def _judge(letters: str, known: dict[str, list[int]], size: int):
+def _judge(known: dict[str, list[int]], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, langs = Coder(letters), list(known)
-        b = coder.base
-        rank = np.full((len(langs), b + b * b + b**3), -1, np.int32)
+        langs = list(known)
+        every = np.unique(np.array([g for grams in known.values() for g in grams], np.int64))
+        rank = np.full((len(langs), len(every) + 1), -1, np.int32)  # the last column: what no profile has
         for i, lang in enumerate(langs):
-            rank[i, known[lang]] = np.arange(len(known[lang]))
+            rank[i, np.searchsorted(every, known[lang])] = np.arange(len(known[lang]))
         for batch in chunks(batches, "text", 1 << 20):
             names, scores = [], []
             for text in batch.column(1).to_pylist():
-                codes = coder.codes(text or "")
-                if not langs or not codes.any():
+                grams = ngrams(text or "")
+                if not langs or not len(grams) or grams.min() >> 3 * _BITS:
                     names.append(NONE), scores.append(0.0)
                     continue
-                own = top(coder.counts(codes), size)
-                theirs = rank[:, own]
+                own = top(*np.unique(grams, return_counts=True), size)
+                at = np.searchsorted(every, own)
+                theirs = rank[:, np.where(every[np.minimum(at, len(every) - 1)] == own, at, len(every))]
                 out = np.where(theirs >= 0, np.abs(theirs - np.arange(len(own))), size).sum(axis=1) / (size * len(own))
                 best = int(np.argmin(out))
                 others = np.delete(out, best)
@@ -142,17 +103,18 @@ def _judge(letters: str, known: dict[str, list[int]], size: int):
     return run
 
 
-def identify(df: DataFrame, model: tuple[str, dict[str, list[int]]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
+def identify(df: DataFrame, model: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of df; texts that are null or hold no letter are `und`, score 0.
 
     Without any profile every row is `und`.  Equal distances go to the language that
-    sorts first; repeated rows get equal answers.
+    sorts first; long texts are read whole; repeated rows get equal answers; null ids stay; other columns are not looked at.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_judge(*model, size), "doc_id long, lang_pred string, score double")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.mapInArrow(_judge(model, size), "doc_id long, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of `documents`, learned from rows that are not held out; null texts are `und`."""
     docs = table(spark, sf_dir, "documents")
     model = profiles(docs.where(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
