@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shared import chunks, components, written
-from quern.llm.simhash_dedup import BLOCK, TILE, _merge, _shingle_hashes, _tiles, fingerprint
+from quern.llm.simhash_dedup import BLOCK, TILE, _merge, _shingle_hashes, fingerprint, tile_pairs, tile_plan
 
 WIDTH = 5
 SHARED, OF_BOTH = 9, 4  # similarity 0.8: 9 x common shingles >= 4 x (those of one + those of the other)
@@ -69,7 +69,7 @@ _NUMBERS = ("fp", "gp", "size", "rep")
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     """A tile as one row."""
     packed = {x: pa.array([rows.column(x).to_numpy().astype("<i8").tobytes()], pa.binary()) for x in _NUMBERS}
-    return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([key[1].as_py()], pa.int32()), "near": rows.column("near").slice(0, 1)} | packed)
+    return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([key[1].as_py()], pa.int32())} | packed)
 
 
 def _candidates(radius: int, both: int):
@@ -178,17 +178,12 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", width: in
     texts = df.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     sketched = written(texts.mapInArrow(_sketched(width), "row long, key binary, fp long, gp long, size long, cell int"))
     reps = written(sketched.groupBy("key").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "gp", "size", "cell"))))
-    cells = [(r["cell"], 0, r["count"]) for r in reps.where("size > 0").groupBy("cell").count().collect()]  # about 50 for each factor e of length
-    where, tiles = _tiles(cells, tile)
-    near = lambda a, b: a["cells"][0][0] - b["cells"][-1][0] <= REACH and b["cells"][0][0] - a["cells"][-1][0] <= REACH
-    rows = [(c, t, tiles[t]["slots"], [(j, other["slots"]) for j, other in enumerate(tiles) if near(tiles[t], other)]) for (c, _), t in where.items()]
-    plan = spark.createDataFrame(rows, "cell int, t int, slots int, near array<struct<j int, k int>>")
+    sized = reps.where("size > 0")
+    cells, near = tile_plan(spark, sized.groupBy("cell").count(), ["cell"], REACH, tile)  # about 50 cells for each factor e of length
     slot = F.pmod(F.xxhash64("key"), F.col("slots")).cast("int")
-    dealt = reps.where("size > 0").join(F.broadcast(plan), "cell").select(*_NUMBERS, "near", "t", slot.alias("s"))
-    packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, near array<struct<j int, k int>>, fp binary, gp binary, size binary, rep binary"))
-    pairs = packed.select(*_NUMBERS, "t", "s", F.explode("near").alias("p")).select(*_NUMBERS, "t", "s", "p.j", F.explode(F.sequence(F.lit(0), F.col("p.k") - 1)).alias("v"))
-    own, other = F.struct("t", "s"), F.struct(F.col("j").alias("t"), F.col("v").alias("s"))
-    pairs = pairs.select(*_NUMBERS, F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
+    dealt = sized.join(F.broadcast(cells), "cell").select(*_NUMBERS, "t", slot.alias("s"))
+    packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, fp binary, gp binary, size binary, rep binary"), "none")
+    pairs = tile_pairs(packed, near, *_NUMBERS)
     asked = written(pairs.groupBy("x", "y").applyInArrow(_candidates(radius, both), "rep long, cell string, block int, blocks int"))
 
     asked = asked.groupBy("rep").agg(F.collect_list(F.struct("cell", "block", "blocks")).alias("cells"))

@@ -1,11 +1,12 @@
 """Near duplicates by SimHash, compared exactly in tiles.
 
 Fingerprints are compared by exclusive or and bit counts.  Distinct fingerprints lie in
-tiles by the bit counts of their two halves; the counts of two fingerprints within the
-radius differ by at most the radius, so tile pairs beyond it are never formed.  In a tile
-pair, blocks ordered by the bit counts of their quarters are skipped in the same way.
+tiles, boxes of the bit counts of their four quarters; the counts of two fingerprints within the
+radius differ by at most the radius in all, so pairs of tiles whose boxes are further apart are never formed, and
+nothing is shuffled for them.  In a pair of tiles, blocks ordered by the same counts are skipped in the same way.
 
-Tiles travel as packed rows.  A pair of tiles sends on only a spanning forest of its links, so that large groups of near
+There are about TILES tiles at most, which grow with the corpus beyond that, so that a fingerprint travels to a bounded number of
+tiles.  Tiles travel as packed rows.  A pair of tiles sends on only a spanning forest of its links, so that large groups of near
 copies stay linear; components() joins the forests.
 """
 
@@ -19,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import chunks, components, table, written
+from quern.llm.shared import chunks, components, sent_whole, table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE, BLOCK = 8192, 256
+TILES = 1024
 
 
 def _shingle_hashes(raw: bytes, width: int) -> list[int]:
@@ -65,7 +67,7 @@ def _fingerprints(width: int):
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each row's word shingles; no words give 0."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("raw"))
     return docs.mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
@@ -92,7 +94,7 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     """A tile as one row: its fingerprints and representatives as bytes."""
     fp, rep = (rows.column(x).to_numpy().astype("<i8").tobytes() for x in ("fp", "rep"))
-    return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([key[1].as_py()], pa.int32()), "near": rows.column("near").slice(0, 1), "fp": pa.array([fp], pa.binary()), "rep": pa.array([rep], pa.binary())})
+    return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([key[1].as_py()], pa.int32()), "fp": pa.array([fp], pa.binary()), "rep": pa.array([rep], pa.binary())})
 
 
 def _compare(radius: int):
@@ -133,58 +135,83 @@ def _compare(radius: int):
     return run
 
 
-def _tiles(cells: list[tuple[int, int, int]], size: int) -> tuple[dict[tuple[int, int], int], list[dict]]:
-    """Tiles of cells (low half's bits, high half's bits, count), in the order of total and low bits.
-
-    Small neighbouring cells share a tile; a cell over `size` gets a tile of several slots.
+def boxes(points: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """A tile's number for each point: points are halved along their widest side until a tile weighs `size` at most, or is one point."""
+    tile, number, todo = np.zeros(len(points), np.int64), 0, [np.arange(len(points))] if len(points) else []
+    while todo:
+        part = todo.pop()
+        reach = points[part].max(axis=0) - points[part].min(axis=0)
+        if weight[part].sum() <= size or not reach.any():
+            tile[part] = number
+            number += 1
+            continue
+        side = points[part, reach.argmax()]
+        order = np.argsort(side, kind="stable")
+        upto = np.cumsum(weight[part[order]])
+        cut = side[order[np.searchsorted(upto, upto[-1] / 2)]]
+        low = side <= cut if (side > cut).any() else side < cut
+        todo += [part[low], part[~low]]
+    return tile
+
+
+def tile_plan(spark: SparkSession, counts: DataFrame, by: list[str], reach: int, size: int, tiles: int = TILES) -> tuple[DataFrame, DataFrame]:
+    """((*by, t, slots), (t, near)) from (*by, count): each point's tile and how many slots that has, and the tiles within `reach`.
+
+    `by` are small whole numbers, so there is a bounded number of points; about `tiles` tiles at most weigh over half of `size`.
     """
-    tiles: list[dict] = []
-    where: dict[tuple[int, int], int] = {}
-    for low, high, n in sorted(cells, key=lambda c: (c[0] + c[1], c[0])):
-        if not tiles or tiles[-1]["n"] + n > size:
-            tiles.append({"n": 0, "cells": []})
-        tiles[-1]["n"] += n
-        tiles[-1]["cells"].append((low, high))
-        where[low, high] = len(tiles) - 1
-    for t in tiles:
-        t["slots"] = -(-t["n"] // size)
-    return where, tiles
+    rows = [tuple(r) for r in counts.collect()]
+    points, weight = np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(by)), np.array([r[-1] for r in rows], np.int64)
+    size = max(size, int(weight.sum()) // tiles)
+    tile = boxes(points, weight, size)
+    n = int(tile.max()) + 1 if len(tile) else 0
+    low, high = np.full((n, len(by)), 1 << 30), np.full((n, len(by)), -1)
+    np.minimum.at(low, tile, points)
+    np.maximum.at(high, tile, points)
+    slots = -(-np.bincount(tile, weight, n).astype(np.int64) // size)
+    near = []
+    for t in range(n):
+        gap = np.maximum(0, np.maximum(low - high[t], low[t] - high)).sum(axis=1)
+        near.append((t, [(int(j), int(slots[j])) for j in np.flatnonzero(gap <= reach)]))
+    cells = [(*map(int, p), int(t), int(slots[t])) for p, t in zip(points, tile, strict=True)]
+    whole = ", ".join(f"{c} int" for c in by)
+    return spark.createDataFrame(cells, f"{whole}, t int, slots int"), spark.createDataFrame(near, "t int, near array<struct<j int, k int>>")
+
+
+def tile_pairs(packed: DataFrame, near: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, x, y): each packed tile (t, s, *columns) once for each pair of slots that it takes part in."""
+    met = packed.join(sent_whole(near), "t").select("t", "s", *columns, F.explode("near").alias("p"))
+    met = met.select("t", "s", *columns, "p.j", F.explode(F.sequence(F.lit(0), F.col("p.k") - 1)).alias("v"))
+    own, other = F.struct("t", "s"), F.struct(F.col("j").alias("t"), F.col("v").alias("s"))
+    return met.select(*columns, F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
 
 
 def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Forest edges (a, b) of representatives whose distinct fingerprints (fp, rep) differ in at most `radius` bits."""
-    spark = reps.sparkSession
-    low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.bit_count(F.shiftrightunsigned("fp", 32))
-    celled = reps.withColumns({"low": low.cast("int"), "high": high.cast("int")})
-    cells = [tuple(r) for r in celled.groupBy("low", "high").count().collect()]  # at most 33 x 33
-    where, tiles = _tiles(cells, tile)
-    near = lambda a, b: any(abs(p - r) + abs(q - s) <= radius for p, q in a["cells"] for r, s in b["cells"])
-    partners = [[j for j in range(len(tiles)) if near(tiles[i], tiles[j])] for i in range(len(tiles))]
-    rows = [(lo, hi, t, tiles[t]["slots"], [(j, tiles[j]["slots"]) for j in partners[t]]) for (lo, hi), t in where.items()]
-    plan = spark.createDataFrame(rows, "low int, high int, t int, slots int, near array<struct<j int, k int>>")
+    by = [f"q{i}" for i in range(4)]
+    celled = reps.withColumns({q: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i, q in enumerate(by)})
+    cells, near = tile_plan(reps.sparkSession, celled.groupBy(*by).count(), by, radius, tile)  # at most 17**4 cells
     slot = F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int")
-    dealt = celled.join(F.broadcast(plan), ["low", "high"]).select("fp", "rep", "near", "t", slot.alias("s"))
-    packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, near array<struct<j int, k int>>, fp binary, rep binary"))
-    pairs = packed.select("fp", "rep", "t", "s", F.explode("near").alias("p")).select("fp", "rep", "t", "s", "p.j", F.explode(F.sequence(F.lit(0), F.col("p.k") - 1)).alias("v"))
-    own, other = F.struct("t", "s"), F.struct(F.col("j").alias("t"), F.col("v").alias("s"))
-    pairs = pairs.select("fp", "rep", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
-    return pairs.groupBy("x", "y").applyInArrow(_compare(radius), "a long, b long")
+    dealt = celled.join(F.broadcast(cells), by).select("fp", "rep", "t", slot.alias("s"))  # bounded, as above
+    packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, fp binary, rep binary"), "none")
+    return tile_pairs(packed, near, "fp", "rep").groupBy("x", "y").applyInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of df; component_id is the smallest id reachable by links.
 
-    Null and empty texts have fingerprint 0 and link like any other.  Rows with a null id
-    keep their fingerprint and join the component of it; repeated rows are copies.
+    Null and empty texts have fingerprint 0 and link like any other.  Rows are copies if they are repeated, also under one id.
+    Rows with a null id take part: they join fingerprints, and their component is null only if no row with an id is
+    in it.  Long texts are read whole, other columns are not looked at, and an empty table gives no rows.
     """
     prints = written(fingerprints(df, id_col, text_col, width))
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    found = components(links(reps, radius))
-    classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
+    found = components(links(reps.select("fp", "rep"), radius)).withColumnRenamed("id", "rep")
+    classes = written(reps.join(found, "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("c")))
+    least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    return prints.join(classes.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all whole texts of `documents` and their components at 4 or fewer differing bits (see near_duplicates)."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from brute import classes, lpf, removed, simhash
 
-from quern.llm.simhash_dedup import near_duplicates, op7_simhash_dedup
+from quern.llm.simhash_dedup import boxes, near_duplicates, op7_simhash_dedup
 from quern.llm.suffix_anchors import sliding_min
 from quern.llm.suffix_dedup import longest_previous_factor, op1_suffix_dedup, ordered_repeats, remove_repeats
 
@@ -144,5 +144,19 @@ def test_simhash_tiles_of_any_size(spark):
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_simhash_of_null_and_shared_ids(spark):
+    rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "other words stand here now"), (None, "alone in the world today"), (7, None), (None, ""), (8, "A b c d E")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "component_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 5), (5, 5), (5, 5), (None, None), (7, 7), (None, 7), (8, 5)]))
+
+
+def test_boxes_hold_all_and_stay_small():
+    r = np.random.default_rng(2)
+    points, weight = r.integers(0, 17, (800, 4)), r.integers(1, 50, 800)
+    tile = boxes(points, weight, 300)
+    sums = np.bincount(tile, weight)
+    assert sums.sum() == weight.sum() and all(w <= 300 or len(np.unique(points[tile == t], axis=0)) == 1 for t, w in enumerate(sums))
+
+
 def test_op7_columns(spark, small):
     assert op7_simhash_dedup(spark, small).columns == ["doc_id", "fingerprint", "component_id"]
