@@ -29,7 +29,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Targets share `share` of all sizes by weight; one above `most` times its size stops
     there.  With sources by the ratio of cap to weight, the capped ones come first: source
-    i is capped if its cap is below its part of what the ones before it leave.
+    i is capped if its cap is below its part of what the ones before it leave.  The sources (not the rows) are ordered in one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -52,12 +52,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Null texts have size 0; null sources are one source, the last; rows with one id and
     source (repeated rows) have one key and follow each other by size.  An empty table
     gives no rows.  `row_col`, a unique key of the rows, orders those of equal size and gives rows
-    without an id keys of their own.
+    without an id keys of their own.  Long texts count whole; other columns are not looked at.
     """
     more = [row_col] if row_col else []
     no_id = F.concat(F.lit("row "), F.col(row_col).cast("string")) if row_col else F.lit("")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), no_id), F.lit(f"#{seed}")))
-    rows = written(df.select(*more, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), key.alias("key")))
+    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), no_id), F.lit(f"#{seed}")))
+    rows = written(df.select(*more, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words(F.col(f"`{text_col}`").cast("string")).alias("size"), key.alias("key")))
     rows = rows.withColumn("range", F.substring("key", 1, DIGITS))
     sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("n")))
     sizes = sums.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -78,6 +78,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each row of `documents`; null texts have size 0, null sources are the last source (see mix)."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 

@@ -182,14 +182,16 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset); each id lies in one piece.
 
     `size` must be a power of two.  Null and empty texts are the end id alone; repeated
-    rows are packed each.  The rows of a partition always give the same pieces.
+    rows and null ids are packed each; long texts are cut to full windows first; other columns are not looked at; an
+    empty table gives no pieces.  The rows of a partition always give the same pieces.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("raw"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.mapInArrow(_pack(tokenizer_path or vocabulary_path(), size, end_id), schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of `documents` as pieces of sequences of 2048 ids; null texts are the end id alone (see pack)."""
     return pack(table(spark, sf_dir, "documents"))

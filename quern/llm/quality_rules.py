@@ -56,7 +56,7 @@ def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn(f"{_P}at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop(f"{_P}o")
     at = F.col(f"{_P}at")
     covered = F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - p, F.lit(WINDOW))))
-    return out.withColumn(f"{_P}n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(f"{_P}at").withColumn(f"{_P}row", F.monotonically_increasing_id())
+    return out.withColumn(f"{_P}n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(f"{_P}at")
 
 
 def _of(name: str) -> Column:
@@ -64,8 +64,7 @@ def _of(name: str) -> Column:
 
 
 def base_failed() -> Column:
-    """The row number, which is not deterministic, keeps filters above the counts; pushed below, they would repeat each of them."""
-    return (_of("row") < 0) | (_of("n_words") < LEAST_WORDS) | (100 * _of("n_repeat_words") > MOST_REPEATED * _of("n_words"))
+    return (_of("n_words") < LEAST_WORDS) | (100 * _of("n_repeat_words") > MOST_REPEATED * _of("n_words"))
 
 
 def measures() -> dict[str, Column]:
@@ -124,27 +123,36 @@ def judged(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     return both.withColumns({f"{_P}base_failed": base_failed(), f"{_P}kept": ~base_failed() & inside}).drop(*limits.columns)
 
 
+def _counted(df: DataFrame, held: list[Column], text_col: str, lang: str, source: str) -> DataFrame:
+    """A table of `held`, lang, source and the counts, apart from df's other columns, so that no names can clash; texts are read once."""
+    slim = df.select(*held, F.col(f"`{text_col}`").alias(f"{_P}text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    return written(counts(slim, f"{_P}text").drop(f"{_P}text"))
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each row of df with its counts, base_failed and kept.
 
     Null and empty texts have no words and fail; null languages and sources are groups of
-    their own; repeated rows are judged each; an empty table gives no rows.
+    their own; rows of equal measures meet the same fences; repeated rows and null ids are judged each; long texts are
+    counted whole; other columns are not looked at; an empty table gives no rows.
     """
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    counted = written(counts(slim).drop("text"))
+    counted = _counted(df, [F.col(f"`{id_col}`").alias("doc_id")], text_col, lang, source)
     limits = written(thresholds(written(sketches(counted))))
     return judged(counted, limits).select("doc_id", *(_of(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of df that the rules keep, in df's columns; texts are counted twice and never shuffled."""
-    slim = df.select(F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    limits = written(thresholds(written(sketches(counts(slim).drop("text")))))
-    rows = judged(counts(df, text_col), limits, lang, source)
-    return rows.where(_of("kept")).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of df that the rules keep, in df's columns, whatever their names; cases as in quality().
+
+    Rows are written once beside their counts, so that texts are counted once and never shuffled.
+    """
+    counted = _counted(df, [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(f"{_P}row")], text_col, lang, source)
+    limits = written(thresholds(written(sketches(counted))))
+    return judged(counted, limits).where(_of("kept")).select(f"{_P}row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for all whole texts of `documents`; null texts have no words and fail (see quality)."""
     return quality(table(spark, sf_dir, "documents"))
 
 
