@@ -32,3 +32,29 @@ def noisy(chunk: Column) -> Column:
     lines = F.split(chunk, "\n", -1)
     letters = F.length(F.regexp_replace(chunk, "[^A-Za-z]", ""))
     return (F.length(chunk) < 80) | (letters * 4 < F.length(chunk)) | ((F.size(lines) > 5) & (F.length(chunk) < 20 * F.size(lines)))
+
+
+def stripped(text: Column) -> Column:
+    """Without ASCII white space at both ends."""
+    return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+
+
+def layout(text: Column) -> Column:
+    """NUL to a space, runs of blanks to one, three line ends or more to two, stripped."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\\x00", " ")
+    return stripped(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
+
+
+def plain_title(text: Column) -> Column:
+    """Lower case, white space runs to one space, letters a-z, digits and Chinese characters only."""
+    t = F.regexp_replace(stripped(F.lower(text)), r"[ \t\n\r\f]+", " ")
+    return F.regexp_replace(t, "[^a-z0-9一-鿿 ]", "")
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path in lower case, without .pdf."""
+    return F.regexp_replace(F.lower(F.regexp_extract(normal(path), r"([^/]*)$", 1)), r"\.pdf$", "")
+
+
+def chinese_share(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[一-鿿]")) / F.greatest(F.length(text), F.lit(1))

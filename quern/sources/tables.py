@@ -1,18 +1,71 @@
-"""Tables of the warehouse, as parquet below one folder."""
+"""Tables of the warehouse, and files in other formats."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions.text import normal
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GB18030", "ISO-8859-1")) -> DataFrame:
-    """The CSV by the first encoding that yields rows without replacement characters in the header."""
+#: Tried in this order (fixed values).
+ENCODINGS = ("UTF-8", "GB18030", "GBK", "ISO-8859-1")
+
+
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """The CSV by the first encoding that reads all its text: no replacement characters in the header or any value.
+
+    Lines with more or fewer fields than the header are malformed and left out.  A file with a header alone is an
+    empty table in the first encoding that reads the header; a byte-order mark is no part of the first name.
+    """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads Chinese encodings only with this
     for encoding in encodings:
         df = spark.read.csv(path, header=True, encoding=encoding, mode="DROPMALFORMED", multiLine=True)
-        if df.columns and not any("�" in c for c in df.columns) and df.limit(1).count():
-            return df
+        named = df.toDF(*(c.lstrip("﻿") for c in df.columns))
+        if not named.columns or any("�" in c for c in named.columns):
+            continue
+        broken = F.lit(False)
+        for c in named.columns:
+            broken = broken | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
+        if not named.where(broken).limit(1).count():
+            return named
     raise ValueError(f"no encoding of {encodings} reads {path}")
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON lines, or whole files that hold an array or one object."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, multiLine=True)
+
+
+def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, length, sha256) of all files below `path` whose name fits `glob`; contents are hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def compact(name: str) -> str:
+    """A column's name without spaces (wide ones too)."""
+    return name.strip().replace(" ", "").replace("　", "")
+
+
+def find_column(columns: list[str], candidates: list[str], last: bool = False) -> str | None:
+    """The column of the first candidate whose compacted name is there; else the last column if asked for, or None."""
+    there = {compact(c): c for c in columns}
+    for c in candidates:
+        if compact(c) in there:
+            return there[compact(c)]
+    return columns[-1] if last and columns else None
+
+
+def first_filled(columns: list[str], candidates: list[str], fallback: str = "") -> Column:
+    """Row by row, the first candidate column with text after cleaning: exact names first, then compacted ones."""
+    there = {compact(c): c for c in columns}
+    exact = [c for c in candidates if c in columns]
+    alike = [there[compact(c)] for c in candidates if compact(c) in there]
+    values = [F.nullif(normal(F.col(f"`{c}`").cast("string")), F.lit("")) for c in [*exact, *alike]]
+    return F.coalesce(*values, F.lit(fallback))
