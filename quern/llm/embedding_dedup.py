@@ -29,10 +29,11 @@ from quern.llm.simhash_dedup import _merge
 THRESHOLD = 0.98
 BLOCK = 4096
 LEAF = 512
+TOP = 0.5  # radius of the top level in a block; wider balls hold hardly more than one vector of many dimensions
 #: Centres of a label at most, and labels that get some (the largest ones; others are one cell each).
 CENTRES, LABELS = 256, 64
 _SLACK = 1e-5  # above the rounding of products of unit vectors in single precision
-_ROWS = 1024  # of a product at once
+_ROWS, _BATCH = 1024, 256  # rows of a product, and centres, at once
 
 
 class Node:
@@ -54,21 +55,34 @@ def cover_tree(unit: np.ndarray, leaf: int = LEAF) -> Node:
     def grow(members: np.ndarray, radius: float) -> Node:
         if len(members) <= leaf or radius < 1e-6:
             return _leaf(unit, members)
+        limit = 1 - radius * radius / 2  # of the products of vectors within the radius
         centres, radii, below, points = [], [], [], []
         rest = members
-        while len(rest):
-            chord = np.sqrt(np.maximum(0, 2 - 2 * (unit[rest] @ unit[rest[0]])))
-            near = chord <= radius
-            near[0] = True
-            group = rest[near]
-            centres.append(group[0])
-            points.append(group[0] if len(group) == 1 else -1)
-            radii.append(0.0 if len(group) == 1 else float(chord[near].max()))
-            below.append(None if len(group) == 1 else grow(group, radius / 2))
-            rest = rest[~near]
+        while len(rest):  # the first rows that no centre before covers are centres; a batch of them at once
+            head = rest[:_BATCH]
+            near = unit[head] @ unit[head].T >= limit
+            chosen, covered = [], np.zeros(len(head), bool)
+            for i in range(len(head)):
+                if not covered[i]:
+                    chosen.append(i)
+                    covered |= near[i]
+            product = unit[rest] @ unit[head[chosen]].T
+            inside = product >= limit
+            inside[chosen, np.arange(len(chosen))] = True
+            first = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
+            order = np.argsort(first, kind="stable")
+            ends = np.searchsorted(first[order], np.arange(len(chosen) + 1))
+            for c, i in enumerate(chosen):
+                group = order[ends[c] : ends[c + 1]]
+                alone = len(group) == 1
+                centres.append(head[i])
+                points.append(head[i] if alone else -1)
+                radii.append(0.0 if alone else float(np.sqrt(np.maximum(0, 2 - 2 * product[group, c].min()))))
+                below.append(None if alone else grow(rest[group], radius / 2))
+            rest = rest[first < 0]
         return Node(unit[centres], np.array(radii), below, np.array(points))
 
-    return grow(np.arange(len(unit)), 1.0)
+    return grow(np.arange(len(unit)), TOP)
 
 
 def _as_node(node: Node, i: int) -> Node:
@@ -255,7 +269,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     known = known.select("h1", "h2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     slim = rows.select("row", "vec_id", "fit", "h1", "h2")
     linked = written(slim.where("fit").join(known, ["h1", "h2"]).select("row", "vec_id", "n_links", "c").union(slim.where("not fit").select("row", "vec_id", F.lit(0).cast("long"), F.col("row"))))
-    least = linked.groupBy("c").agg(F.min("vec_id").alias("component_id"), F.min("row").alias("first"))
+    least = written(linked.groupBy("c").agg(F.min("vec_id").alias("component_id"), F.min("row").alias("first")))  # a table, so that the join can split hot components
     kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     return linked.join(least, "c").select("vec_id", "n_links", "component_id", kept.alias("kept"))
 

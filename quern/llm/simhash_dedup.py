@@ -207,7 +207,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
     found = components(links(reps.select("fp", "rep"), radius)).withColumnRenamed("id", "rep")
     classes = written(reps.join(found, "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("c")))
-    least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    least = written(classes.groupBy("c").agg(F.min("least").alias("component_id")))  # a table, so that the join can split hot components
     return prints.join(classes.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
