@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import answers, corpus, graph, lookups, measures, papers, retrieval, stores, texts
+from quern.plans import answers, corpus, graph, lookups, measures, papers, retrieval, routing, stores, texts
 
-_PARTS = (retrieval, corpus, papers, lookups, graph, answers, measures, stores, texts)
+_PARTS = (retrieval, corpus, papers, lookups, graph, answers, measures, stores, texts, routing)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
