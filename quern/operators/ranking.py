@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.sources.scratch import written
+from quern.sources.tables import read
 
 K1, B = 1.2, 0.75
 
@@ -15,46 +19,84 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, size): size counts all tokens of the row."""
-    t = docs.select(id_col, tokens(F.col(text_col)).alias("t"))
-    return t.select(id_col, F.size("t").alias("size"), F.explode("t").alias("term")).groupBy(id_col, "term", "size").agg(F.count("*").alias("tf"))
+def sent_whole(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df marked for broadcasting if it has at most `rows` rows, which are counted; else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@dataclass
+class LexicalIndex:
+    """Terms of the documents of a folder, tokenised once and stored.
+
+    postings: (doc_id, term, tf, size) in ranges of (term, doc_id), so that a frequent term has many partitions and a
+    search reads its terms' row groups; size counts all tokens of the document.  terms: (term, df).  stats: one row, n and avgdl.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+_indexes: dict[tuple[str, str], LexicalIndex] = {}
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: n and the mean length in tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
+def lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    """The folder's index; a session builds it once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _indexes:
+        docs = read(spark, folder, "documents")
+        t = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+        counted = t.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
+        postings = written(counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+        terms = written(postings.groupBy("term").agg(F.count("*").alias("df")))
+        n = docs.count()
+        stats = written(postings.agg(F.lit(n).alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(1, n)))).alias("avgdl")))
+        _indexes[key] = LexicalIndex(postings, terms, stats)
+    return _indexes[key]
 
 
-def inverse_frequencies(counts: DataFrame, stats: DataFrame) -> DataFrame:
+def inverse_frequencies(index: LexicalIndex) -> DataFrame:
     """(term, df, idf) with idf = ln((n - df + 0.5) / (df + 0.5) + 1)."""
-    d = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return d.join(F.broadcast(stats)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # stats is one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return index.terms.join(F.broadcast(index.stats)).select("term", "df", idf.alias("idf"))  # stats is one row
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id") -> DataFrame:
-    """(query, doc, score) over each query's distinct terms.
+def asked_terms(queries: DataFrame, query_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(query, term): each query's distinct terms."""
+    return queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
-    Terms of the queries cut the documents' terms before anything is scored, so the shuffle
-    carries the queries' vocabulary and not the corpus's.
-    """
-    stats = corpus_stats(docs, "text")
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    counts = term_counts(docs, doc_id, "text").join(asked.select("term").distinct(), "term", "left_semi")
-    scored = counts.join(inverse_frequencies(counts, stats), "term").join(F.broadcast(stats.select("avgdl")))
+
+def bm25(index: LexicalIndex, queries: DataFrame, query_id: str = "item_id") -> DataFrame:
+    """(query, doc_id, score) over each query's distinct terms; only postings of those terms are read and summed up."""
+    asked = sent_whole(asked_terms(queries, query_id).join(inverse_frequencies(index), "term"), 200_000)
+    scored = index.postings.join(asked, "term").join(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    return scored.select(doc_id, "term", part.alias("part")).join(asked, "term").groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
+    return scored.groupBy(query_id, "doc_id").agg(F.sum(part).alias("score"))
+
 
+def overlaps(index: LexicalIndex, queries: DataFrame, query_id: str = "item_id") -> DataFrame:
+    """(query, doc_id, overlap): the share of a query's distinct terms that a document holds."""
+    terms = queries.select(query_id, F.array_distinct(tokens(F.col("text"))).alias("t")).select(query_id, F.size("t").alias("n"), F.explode("t").alias("term"))
+    found = index.postings.select("doc_id", "term").join(sent_whole(terms, 200_000), "term").groupBy(query_id, "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return found.select(query_id, "doc_id", (F.col("c") / F.greatest(F.col("n"), F.lit(1)).cast("double")).alias("overlap"))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
+def quoted(index: LexicalIndex, docs: DataFrame, phrases: DataFrame, keys: list[str], fold_case: bool) -> DataFrame:
+    """(*keys, doc_id): the documents (doc_id, text) whose text holds a phrase (*keys, phrase).
 
-def accepted(times: Column, gap: int) -> Column:
-    """Those of sorted times that come at least `gap` after the last accepted one."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    ok = lambda s, t: s["last"].isNull() | (t - s["last"] >= gap)
-    step = lambda s, t: F.when(ok(s, t), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s)
-    return F.aggregate(times, start, step, lambda s: s["kept"])
+    A document with the phrase has all terms of its inner words (the outer ones may be parts of longer words there), so
+    only the documents with the rarest of those are tested.  Phrases without such terms are tested against all documents.
+    """
+    fold = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
+    inner = F.regexp_extract(F.lower("phrase"), r"(?s)^[^ \t\n]*[ \t\n](.*)[ \t\n][^ \t\n]*$", 1)
+    p = phrases.select(*keys, fold(F.col("phrase")).alias("phrase"), F.array_distinct(tokens(inner)).alias("t"))
+    each = p.where(F.size("t") > 0).select(*keys, "phrase", F.explode("t").alias("term")).join(index.terms, "term", "left")
+    rare = each.groupBy(*keys, "phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
+    likely = index.postings.select("doc_id", "term").join(sent_whole(rare), "term")
+    whole = docs.select("doc_id", fold(F.col("text")).alias("whole"))
+    held = F.col("whole").contains(F.col("phrase"))
+    found = likely.join(whole, "doc_id").where(held).select(*keys, "doc_id")
+    vague = p.where(F.size("t") == 0)
+    if vague.limit(1).count():
+        found = found.union(whole.join(sent_whole(vague), held).select(*keys, "doc_id"))
+    return found.distinct()

@@ -1,16 +1,19 @@
-"""Question routing, answer assembly and its evaluation."""
+"""Answer assembly and its evaluation."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import lexical_index, quoted
 from quern.plans.registry import registry
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
 
-#: Own routing phrases, by priority.
+#: Few own phrases for turns of conversations, by priority; plans/routing.py has the nine labels.
 ROUTES = (("count", ("how many", "number of")), ("locate", ("where", "find")), ("review", ("overview", "the and")), ("factoid", ("what", "is")))
 
 
@@ -83,19 +86,22 @@ def eval_pivot(spark, d):
 FROM documents WHERE n_chars > 0 GROUP BY GROUPING SETS ((lang), (source), ())""")
 def eval_report(spark, d):
     """Means and upper medians by language, by source and over all, from counts of each length; no group gathers its rows."""
-    read(spark, d, "documents").where("n_chars > 0").groupBy("lang", "source", "n_chars").agg(F.count("*").alias("c")).createOrReplaceTempView("__report")
-    return spark.sql("""WITH g AS (SELECT grouping(lang) AS gl, grouping(source) AS gs, lang, source, v, sum(c) AS c FROM (SELECT *, n_chars AS v FROM __report)
-            GROUP BY GROUPING SETS ((lang, v), (source, v), (v))),
-        r AS (SELECT *, sum(c) OVER (PARTITION BY gl, gs, lang, source ORDER BY v) AS upto, sum(c) OVER (PARTITION BY gl, gs, lang, source) AS n FROM g)
-        SELECT lang, source, max(n) AS n, round(sum(v * c) / sum(c), 4) AS mean, min(v) AS low, max(v) AS high, min(CASE WHEN upto > n DIV 2 THEN v END) AS upper_median
-        FROM r GROUP BY gl, gs, lang, source""")
+    counted = read(spark, d, "documents").where("n_chars > 0").groupBy("lang", "source", F.col("n_chars").alias("v")).agg(F.count("*").alias("c"))
+    none = F.lit(None).cast("string")
+    sets = [(F.col("lang"), none), (none, F.col("source")), (none, none)]
+    g = reduce(lambda x, y: x.union(y), [counted.select(F.lit(i).alias("part"), a.alias("lang"), b.alias("source"), "v", "c") for i, (a, b) in enumerate(sets)])
+    g = g.groupBy("part", "lang", "source", "v").agg(F.sum("c").alias("c"))
+    group = Window.partitionBy("part", "lang", "source")
+    r = g.withColumns({"upto": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)})
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v")))
+    means = F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4)
+    return r.groupBy("part", "lang", "source").agg(F.max("n").alias("n"), means.alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), middle.alias("upper_median")).drop("part")
 
 
 @query("""WITH k AS (SELECT item_id, unnest(string_split(lower(text), '. ')) AS kp FROM benchmark), h AS (SELECT item_id, kp FROM k WHERE length(kp) > 20)
 SELECT item_id, count(*) AS keypoints, count(*) FILTER (EXISTS (SELECT 1 FROM documents WHERE contains(lower(documents.text), kp))) AS covered FROM h GROUP BY item_id""")
 def eval_keypoints(spark, d):
-    """Key points of benchmark items that some document holds."""
-    k = read(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), r"\. ", -1)).alias("i", "kp")).where(F.length("kp") > 20)
-    docs = read(spark, d, "documents").select(F.lower("text").alias("t"))
-    hit = k.join(docs, F.expr("contains(t, kp)"), "left_semi").select("item_id", "i", F.lit(1).alias("hit"))
+    """Key points of benchmark items that some document holds, found by their rarest term."""
+    k = read(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), r"\. ", -1)).alias("i", "phrase")).where(F.length("phrase") > 20)
+    hit = quoted(lexical_index(spark, d), read(spark, d, "documents"), k, ["item_id", "i"], True).select("item_id", "i").distinct().withColumn("hit", F.lit(1))
     return k.join(hit, ["item_id", "i"], "left").groupBy("item_id").agg(F.count("*").alias("keypoints"), F.count("hit").alias("covered"))

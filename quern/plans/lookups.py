@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators.ranking import accepted, top_k
+from quern.operators.limits import accepted_calls
+from quern.operators.ranking import top_k
 from quern.plans.registry import registry
+from quern.sources.scratch import shared_dir
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -99,15 +101,15 @@ def cache_histogram(spark, d):
 _GAP = 6 * 3600 * 1_000_000
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_LIMITED = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT user_id, i, t, t AS last_t, 1 AS n FROM e WHERE i = 1
- UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t - r.last_t >= {_GAP} THEN e.t ELSE r.last_t END, CASE WHEN e.t - r.last_t >= {_GAP} THEN r.n + 1 ELSE r.n END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-SELECT user_id, CAST(max(n) AS BIGINT) AS accepted, count(*) AS calls, max(last_t) AS last_accepted FROM r GROUP BY user_id""")
+ UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t - r.last_t >= {_GAP} THEN e.t ELSE r.last_t END, CASE WHEN e.t - r.last_t >= {_GAP} THEN r.n + 1 ELSE r.n END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)"""
+
+
+@query(f"{_LIMITED} SELECT user_id, CAST(max(n) AS BIGINT) AS accepted, count(*) AS calls, max(last_t) AS last_accepted FROM r GROUP BY user_id")
 def rate_limit_accept(spark, d):
-    """Calls at least six hours after the last accepted one, as a fold over each user's sorted times."""
-    e = read(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("user_id", F.size("ts").cast("long").alias("calls"), accepted(F.col("ts"), _GAP).alias("k"))
-    return g.select("user_id", F.size("k").cast("long").alias("accepted"), "calls", F.array_max("k").alias("last_accepted"))
+    """Calls at least six hours after the last accepted one."""
+    return accepted_calls(read(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), _GAP)
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls, count(*) > 5 AS over_quota FROM events GROUP BY ALL")
@@ -115,16 +117,34 @@ def daily_quota(spark, d):
     return read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("calls")).withColumn("over_quota", F.col("calls") > 5)
 
 
-@query()
+@query(f"{_LIMITED} SELECT user_id, CAST(max(n) AS BIGINT) AS accepted, count(*) AS calls FROM r GROUP BY user_id")
 def rate_limit_stream(spark, d):
-    """The same rule as a stream over the events' file; tests hold it against the batch fold."""
-    import uuid
-
+    """The same rule as a stream over the events' files; its state and its rows go to the shared folder, not to the driver."""
     from quern.streaming.rate_limit import limited
 
-    schema = read(spark, d, "events").schema
+    path, schema = shared_dir(spark), read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    name = f"limited_{uuid.uuid4().hex}"
-    run = limited(stream, _GAP).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run = limited(stream, _GAP).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count("*").alias("calls"))
+    rows = spark.read.schema("user_id long, event_id long, t long, accepted boolean").parquet(f"{path}/rows")
+    return rows.groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count("*").alias("calls"))
+
+
+@query("SELECT user_id, min(event_id) AS first_call, count(*) AS calls FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' OR event_type = 'login') GROUP BY user_id")
+def key_lookup(spark, d):
+    """Calls of registered keys; unknown ones are rejected by the semi-join."""
+    e = read(spark, d, "events")
+    registered = e.where(F.col("event_type").isin("signup", "login")).select("user_id").distinct()
+    return e.join(registered, "user_id", "left_semi").groupBy("user_id").agg(F.min("event_id").alias("first_call"), F.count("*").alias("calls"))
+
+
+@query("SELECT DISTINCT user_id, md5('key-' || user_id) AS api_key FROM events")
+def register_keys(spark, d):
+    """A key for each user; by a digest here, so that it can be compared (a service would draw it)."""
+    return read(spark, d, "events").select("user_id").distinct().select("user_id", F.md5(F.concat(F.lit("key-"), F.col("user_id").cast("string"))).alias("api_key"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT count(*) FROM events) AS calls")
+def service_stats(spark, d):
+    one = [read(spark, d, "documents").agg(F.count("*").alias("papers")), read(spark, d, "embeddings").agg(F.count("*").alias("vectors")), read(spark, d, "events").agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("calls"))]
+    return one[0].join(F.broadcast(one[1])).join(F.broadcast(one[2]))  # one row each

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOPWORDS, TOKEN, tokens
-from quern.operators.ranking import bm25, corpus_stats, cosine, inverse_frequencies, term_counts, top_k
+from quern.functions.text import STOPWORDS, TOKEN
+from quern.operators.ranking import bm25, inverse_frequencies, lexical_index, overlaps, top_k
+from quern.operators.vectors import nearest
 from quern.plans.registry import registry
 from quern.sources.tables import read
 
@@ -25,12 +26,11 @@ s AS (SELECT item_id, c.doc_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE *
 
 @query(f"WITH {_CORPUS} SELECT term, df, round(idf, 6) AS idf FROM i")
 def bm25_term_stats(spark, d):
-    docs = read(spark, d, "documents")
-    return inverse_frequencies(term_counts(docs, "doc_id", "text"), corpus_stats(docs, "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return inverse_frequencies(lexical_index(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _scores(spark, d):
-    return bm25(read(spark, d, "documents"), read(spark, d, "benchmark")).withColumn("score", F.round("score", 6))
+    return bm25(lexical_index(spark, d), read(spark, d, "benchmark")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CORPUS} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 5")
@@ -38,11 +38,11 @@ def bm25_topk(spark, d):
     return top_k(_scores(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_CORPUS} SELECT item_id, doc_id, round(least(score / 15, 1), 6) AS capped, round(score / max(score) OVER (PARTITION BY item_id), 6) AS relative FROM s WHERE score > 5")
+@query(f"WITH {_CORPUS} SELECT item_id, doc_id, round(least(score / 15, 1), 6) AS capped, round(score / max(score) OVER (PARTITION BY item_id), 6) AS relative FROM s")
 def bm25_normalized(spark, d):
-    from pyspark.sql import Window
-
-    s = bm25(read(spark, d, "documents"), read(spark, d, "benchmark")).withColumn("top", F.max("score").over(Window.partitionBy("item_id"))).where("score > 5")
+    """Scores against a fixed bound, and against the question's best one."""
+    s = bm25(lexical_index(spark, d), read(spark, d, "benchmark"))
+    s = s.join(s.groupBy("item_id").agg(F.max("score").alias("top")), "item_id")
     return s.select("item_id", "doc_id", F.round(F.least(F.col("score") / 15, F.lit(1.0)), 6).alias("capped"), F.round(F.col("score") / F.col("top"), 6).alias("relative"))
 
 
@@ -51,10 +51,7 @@ t AS (SELECT DISTINCT doc_id, unnest({TOKENS('text')}) AS term FROM documents),
 s AS (SELECT item_id, doc_id, round(count(*) / greatest(max(n), 1)::DOUBLE, 6) AS overlap FROM q JOIN t USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, overlap FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) <= 5""")
 def lexical_overlap_topk(spark, d):
-    q = read(spark, d, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    q = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    t = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    s = t.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.greatest(F.max("n"), F.lit(1)).cast("double"), 6).alias("overlap"))
+    s = overlaps(lexical_index(spark, d), read(spark, d, "benchmark")).withColumn("overlap", F.round("overlap", 6))
     return top_k(s, ["item_id"], [F.desc("overlap"), F.asc("doc_id")], 5).drop("rank")
 
 
@@ -64,15 +61,10 @@ p AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id, v.label, ro
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM p)"""
 
 
-def _similar(spark, d):
-    """Every row whose id is divisible by 100 is a query against all rows; the cut comes by partition before the shuffle."""
+def _nearest(spark, d, k, metric="cosine"):
+    """Every row whose id is divisible by 100 is a query against all rows."""
     v = read(spark, d, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
-    return v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "query_label", "vec_id", "label", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cos"))
-
-
-def _nearest(spark, d, k):
-    return top_k(_similar(spark, d), ["query_id"], [F.desc("cos"), F.asc("vec_id")], k)
+    return nearest(v, v.where("vec_id % 100 = 0"), k, metric=metric).withColumnsRenamed({"id": "vec_id", "score": "cos"})
 
 
 @query(f"{_NEAREST} SELECT query_id, vec_id, cos, rank FROM k WHERE rank <= 10")
@@ -80,11 +72,24 @@ def knn_cosine_topk(spark, d):
     return _nearest(spark, d, 10).select("query_id", "vec_id", "cos", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{_NEAREST}, a AS (SELECT doc_id FROM documents WHERE lang = 'en') SELECT query_id, vec_id, cos FROM k WHERE rank <= 20 AND vec_id IN (SELECT doc_id FROM a)")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""")
+def knn_l2_topk(spark, d):
+    return _nearest(spark, d, 10, "l2").select("query_id", "vec_id", (-F.col("cos")).alias("distance"))
+
+
+@query(f"""{_NEAREST}, a AS (SELECT doc_id FROM documents WHERE lang = 'en'), x AS (SELECT doc_id FROM documents WHERE lang = 'none') SELECT 'en' AS allowed, query_id, vec_id, cos FROM k WHERE rank <= 20 AND (vec_id IN (SELECT doc_id FROM a) OR NOT EXISTS (SELECT 1 FROM a))
+UNION ALL SELECT 'none', query_id, vec_id, cos FROM k WHERE rank <= 20 AND (vec_id IN (SELECT doc_id FROM x) OR NOT EXISTS (SELECT 1 FROM x))""")
 def knn_allowed_semijoin(spark, d):
-    """The allow-list filters after the top rows are taken, as the reference does."""
-    allowed = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
-    return _nearest(spark, d, 20).join(allowed, "vec_id", "left_semi").select("query_id", "vec_id", "cos")
+    """The allow-list filters after the top rows are taken; an empty list allows all."""
+    found, docs = _nearest(spark, d, 20), read(spark, d, "documents")
+
+    def within(lang: str):
+        allowed = docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("vec_id"))
+        kept = found.join(allowed, "vec_id", "left_semi") if allowed.limit(1).count() else found
+        return kept.select(F.lit(lang).alias("allowed"), "query_id", "vec_id", "cos")
+
+    return within("en").unionByName(within("none"))
 
 
 HYBRID = f"""WITH {_CORPUS}, b AS (SELECT item_id, s.doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, s.doc_id) AS rank FROM s),
@@ -129,10 +134,11 @@ SELECT query_id, round(sum(CASE WHEN rank <= 5 THEN rel END) / 5.0::DOUBLE, 6) A
 @query(_IR)
 def eval_ir_metrics(spark, d):
     """Precision, recall, reciprocal rank and gain, with rows of the query's label as relevant."""
-    p = _similar(spark, d)
-    rel = (F.col("label") == F.col("query_label")).cast("int")
-    relevant = p.groupBy("query_id").agg(F.sum(rel).alias("relevant"))
-    g = top_k(p, ["query_id"], [F.desc("cos"), F.asc("vec_id")], 10).withColumn("rel", rel).join(relevant, "query_id")
+    v = read(spark, d, "embeddings").select("vec_id", "label")
+    of = lambda i, name: v.select(F.col("vec_id").alias(i), F.col("label").alias(name))
+    g = _nearest(spark, d, 10).join(of("query_id", "query_label"), "query_id").join(of("vec_id", "label"), "vec_id")
+    relevant = v.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("relevant"))
+    g = g.withColumn("rel", (F.col("label") == F.col("query_label")).cast("int")).join(relevant, "query_label")
     return g.groupBy("query_id").agg(
         F.round(F.sum(F.when(F.col("rank") <= 5, F.col("rel"))) / 5.0, 6).alias("p5"),
         F.round(F.sum("rel") / F.greatest(F.max("relevant"), F.lit(1)).cast("double"), 6).alias("recall10"),

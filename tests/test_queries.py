@@ -40,12 +40,11 @@ def test_stream_matches_batch(spark, small):
 
 
 def test_rejected_calls_do_not_move_the_clock(spark):
-    from pyspark.sql import functions as F
-
-    from quern.operators.ranking import accepted
+    from quern.operators.limits import accepted_calls
 
-    got = spark.createDataFrame([([0, 4, 11, 15, 21],), ([],)], "t array<bigint>").select(accepted(F.col("t"), 10).alias("k")).collect()
-    assert [r["k"] for r in got] == [[0, 11, 21], []]
+    calls = [(1, t) for t in (15, 0, 4, 11, 21)] + [(2, 5), (3, None), (None, 1), (None, 30)]
+    got = accepted_calls(spark.createDataFrame(calls, "user_id long, t long").repartition(3), 10).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 5, 3, 21), (2, 1, 1, 5), (None, 2, 2, 30)]))
 
 
 def test_entry_is_the_flagship(spark):
