@@ -66,10 +66,10 @@ def title_dedup(spark, d):
     return _docs(spark, d).select("doc_id", t.alias("norm_title")).where(F.length("norm_title") >= 10).groupBy("norm_title").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query(f"{_CHUNKS} SELECT source, min(doc_id * 100000 + i) AS first_place, count(*) AS n FROM c WHERE scale = 'fine' GROUP BY source, substr(chunk, 1, 120)")
+@query(f"{_CHUNKS} SELECT source, m.a AS doc_id, m.b AS i, n FROM (SELECT source, min(struct_pack(a := doc_id, b := i)) AS m, count(*) AS n FROM c WHERE scale = 'fine' GROUP BY source, substr(chunk, 1, 120))")
 def snippet_dedup(spark, d):
     c = _chunks(spark, d).where("scale = 'fine'")
-    return c.groupBy("source", F.substring("chunk", 1, 120).alias("k")).agg(F.min(F.col("doc_id") * 100000 + F.col("i")).alias("first_place"), F.count("*").alias("n")).drop("k")
+    return c.groupBy("source", F.substring("chunk", 1, 120).alias("k")).agg(F.min(F.struct("doc_id", F.col("i").cast("long").alias("i"))).alias("m"), F.count("*").alias("n")).select("source", "m.*", "n")
 
 
 _SYMBOL = "[A-Z][a-z]{2,}[0-9]+|[A-Z]{3,}[0-9]*"

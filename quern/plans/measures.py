@@ -11,19 +11,19 @@ from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
 
-#: Weights of distance, language, quality, diversity and cleanness (the fixed values of the composite; speed is left out).
-_W = (0.30, 0.15, 0.30, 0.10, 0.10)
+#: Weights of distance, language, quality, diversity, cleanness and speed, and the seconds that count as no speed (fixed values).
+_W, _SLOWEST = (0.30, 0.15, 0.30, 0.10, 0.10, 0.05), 5.0
 
 _PARTS = f"""lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 dl AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, md5(d.text) AS h, quality, row_number() OVER (PARTITION BY source, md5(text) ORDER BY d.doc_id) AS nth FROM documents d LEFT JOIN lb USING (doc_id)),
 vv AS (SELECT 1 AS v, * FROM dl UNION ALL SELECT 2, * FROM dl WHERE nth = 1),
 s AS (SELECT v, source, avg(n_chars) / 2000.0::DOUBLE AS dist, avg(CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0 END) AS lex, coalesce(avg(quality::DOUBLE), 0) AS kp,
- count(DISTINCT h) / count(*)::DOUBLE AS div, avg(CASE WHEN n_chars < 80 THEN 1.0::DOUBLE ELSE 0 END) AS noise FROM vv GROUP BY v, source),
-c AS (SELECT v, source, round({_W[0]}::DOUBLE * CASE WHEN dist = 0 THEN 0 ELSE greatest(0, least(1, 1 - dist / 2)) END + {_W[1]}::DOUBLE * lex + {_W[2]}::DOUBLE * kp + {_W[3]}::DOUBLE * div + {_W[4]}::DOUBLE * (1 - noise), 4) AS composite FROM s)"""
+ count(DISTINCT h) / count(*)::DOUBLE AS div, avg(CASE WHEN n_chars < 80 THEN 1.0::DOUBLE ELSE 0 END) AS noise, avg(n_chars) / 1000.0::DOUBLE AS seconds FROM vv GROUP BY v, source),
+c AS (SELECT v, source, kp, div, noise, round({_W[0]}::DOUBLE * CASE WHEN dist = 0 THEN 0 ELSE greatest(0, least(1, 1 - dist / 2)) END + {_W[1]}::DOUBLE * lex + {_W[2]}::DOUBLE * kp + {_W[3]}::DOUBLE * div + {_W[4]}::DOUBLE * (1 - noise) + {_W[5]}::DOUBLE * greatest(0, 1 - seconds / {_SLOWEST}::DOUBLE), 4) AS composite FROM s)"""
 
 
 def _composites(spark, d):
-    """(v, source, composite): v 1 over all documents, v 2 over the first of each source's equal texts."""
+    """(v, source, kp, div, noise, composite), with a second for every thousand characters: v 1 over all documents, v 2 over the first of each source's equal texts."""
     labels = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("h"))
     first = docs.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -36,15 +36,25 @@ def _composites(spark, d):
         F.coalesce(F.avg(F.col("quality").cast("double")), F.lit(0.0)).alias("kp"),
         (F.count_distinct("h") / F.count("*").cast("double")).alias("div"),
         share(F.col("n_chars") < 80).alias("noise"),
+        (F.avg("n_chars") / 1000.0).alias("seconds"),
     )
     near = F.when(F.col("dist") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("dist") / 2)))
-    total = _W[0] * near + _W[1] * F.col("lex") + _W[2] * F.col("kp") + _W[3] * F.col("div") + _W[4] * (1 - F.col("noise"))
-    return s.select("v", "source", F.round(total, 4).alias("composite"))
+    total = _W[0] * near + _W[1] * F.col("lex") + _W[2] * F.col("kp") + _W[3] * F.col("div") + _W[4] * (1 - F.col("noise")) + _W[5] * F.greatest(F.lit(0.0), 1 - F.col("seconds") / _SLOWEST)
+    return s.select("v", "source", "kp", "div", "noise", F.round(total, 4).alias("composite"))
 
 
 @query(f"WITH {_PARTS} SELECT v, source, composite FROM c")
 def eval_composite(spark, d):
-    return _composites(spark, d)
+    return _composites(spark, d).select("v", "source", "composite")
+
+
+@query(f"""WITH {_PARTS} SELECT v, source, noise > 0.20::DOUBLE AS noisy, div < 0.40::DOUBLE AS repeats, kp < 0.20::DOUBLE AS misses, kp = max(kp) OVER (PARTITION BY v) AS best_kp, div = max(div) OVER (PARTITION BY v) AS best_div, noise = max(noise) OVER (PARTITION BY v) AS worst_noise FROM c WHERE source IS NOT NULL""")
+def eval_recommend(spark, d):
+    """What the thresholds say of each source, and where the extremes are."""
+    c = _composites(spark, d).where("source is not null")
+    m = c.groupBy("v").agg(F.max("kp").alias("k"), F.max("div").alias("d"), F.max("noise").alias("n"))
+    j = c.join(F.broadcast(m), "v")  # a row for each of two versions
+    return j.select("v", "source", (F.col("noise") > 0.20).alias("noisy"), (F.col("div") < 0.40).alias("repeats"), (F.col("kp") < 0.20).alias("misses"), (F.col("kp") == F.col("k")).alias("best_kp"), (F.col("div") == F.col("d")).alias("best_div"), (F.col("noise") == F.col("n")).alias("worst_noise"))
 
 
 @query(f"""WITH {_PARTS}, p AS (SELECT source, max(CASE WHEN v = 1 THEN composite END) AS before, max(CASE WHEN v = 2 THEN composite END) AS after FROM c GROUP BY source)
@@ -68,8 +78,8 @@ def eval_best(spark, d):
     ).select("v", F.col("b.source").alias("best"), F.col("w.source").alias("worst"), "high", "low")
 
 
-#: Replicates of a bootstrap; a row's weight in each is a Poisson count of mean 1, drawn from a hash.
-_REPLICATES = 200
+#: Replicates of a bootstrap (fixed value); a row's weight in each is a Poisson count of mean 1, drawn from a hash.
+_REPLICATES = 10_000
 _CDF = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 12) for k in range(8)]
 _DRAW = " + ".join(f"CAST(u >= {c}::DOUBLE AS INTEGER)" for c in _CDF)
 

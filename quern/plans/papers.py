@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from quern.functions.text import STOPWORDS, title, tokens
 from quern.operators.ranking import top_k
@@ -35,23 +34,20 @@ def clean_document(spark, d):
 _PARAGRAPH, _CHUNK = 80, 150
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _starts(lengths: pd.Series) -> pd.Series:
+def _starts(lengths: Column) -> Column:
     """Where chunks begin, from one, and the end: they close on reaching _CHUNK characters, an unfinished tail joins the one before."""
+    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("starts"))
 
-    def fold(sizes) -> list[int]:
-        starts, filled = [], 0
-        for i, n in enumerate(sizes, 1):
-            if not filled:
-                starts.append(i)
-            filled += int(n) + (filled > 0)
-            if filled >= _CHUNK:
-                filled = 0
-        if filled and len(starts) > 1:
-            starts.pop()
-        return [*starts, len(sizes) + 1]
+    def step(a: Column, n: Column) -> Column:
+        opens = a["filled"] == 0
+        filled = a["filled"] + n + F.when(opens, 0).otherwise(1)
+        return F.struct((a["i"] + 1).alias("i"), F.when(filled >= _CHUNK, 0).otherwise(filled).alias("filled"), F.when(opens, F.array_append(a["starts"], a["i"])).otherwise(a["starts"]).alias("starts"))
 
-    return lengths.map(fold)
+    def close(a: Column) -> Column:
+        tail = (a["filled"] > 0) & (F.size(a["starts"]) > 1)
+        return F.array_append(F.when(tail, F.slice(a["starts"], 1, F.greatest(F.size(a["starts"]) - 1, F.lit(0)))).otherwise(a["starts"]), a["i"])
+
+    return F.aggregate(lengths, start, step, close)
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -63,7 +59,7 @@ t AS (SELECT doc_id, chunk AS tail FROM e WHERE i = last AND filled < {_CHUNK} A
 SELECT doc_id, CASE WHEN chunk = tail THEN chunk - 1 ELSE chunk END AS chunk, count(*) AS paragraphs, md5(string_agg(p, chr(10) ORDER BY i)) AS chunk_md5
 FROM e JOIN k USING (doc_id, i) LEFT JOIN t USING (doc_id) GROUP BY 1, 2""")
 def merge_short_paragraphs(spark, d):
-    """Greedy merging within each row: a linear fold over the lengths, so nothing is shuffled and only lengths go to Python."""
+    """Greedy merging within each row: a fold over the lengths of its paragraphs (a line each here), so nothing is shuffled."""
     p = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) >= _PARAGRAPH)
     docs = read(spark, d, "documents").where("text is not null").select("doc_id", p.alias("p")).where("size(p) > 0")
     docs = docs.withColumn("at", _starts(F.transform("p", lambda x: F.length(x))))
@@ -130,6 +126,28 @@ def journal_score(spark, d):
     return g.select("source", score.alias("journal_score"), "papers")
 
 
+#: Abbreviated names, names that are the best, tiers of patterns, and words of any journal: the engine's own.
+_SHORT = (("j steel", "journal of steel"), ("ann brass", "annals of brass"), ("promo lett", "promo letters"))
+_BEST, _LEVELS, _ANY = ("economy", "large"), ((9.0, ("journal of steel", "annals of .*")), (7.0, ("standard.*letters", "promo")), (5.0, ("medium", "small reports"))), ("journal", "letters", "reports")
+_NAME = "CASE p_partkey % 7 WHEN 0 THEN 'J. Steel' WHEN 1 THEN 'The Annals of ' || p_brand WHEN 2 THEN p_type || ' Letters' WHEN 3 THEN p_type || ', Reports' WHEN 4 THEN p_type WHEN 5 THEN 'Ann Brass' ELSE p_name END"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({x}), '^the ', ''), '[^a-z0-9]+', ' '{g}))"
+_LONG = "CASE j " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SHORT) + " ELSE j END"
+
+
+def _rank_sql(match: str) -> str:
+    has = lambda p: f"{match}(k, '(^| )({p})( |$)')"
+    tiers = " ".join(f"WHEN {' OR '.join(map(has, ps))} THEN {w}" for w, ps in _LEVELS)
+    some = " OR ".join(f"contains(k, '{x}')" for x in _ANY)
+    return f"CAST(CASE WHEN k IN ({', '.join(repr(x) for x in _BEST)}) THEN 10.0 {tiers} WHEN {some} THEN 4.0 ELSE 3.0 END AS DOUBLE)"
+
+
+@query(f"""WITH j AS (SELECT {_PLAIN.format(x=_NAME, g=", 'g'")} AS j FROM part), k AS (SELECT {_LONG} AS k FROM j) SELECT k AS journal, {_rank_sql('regexp_matches')} AS score, count(*) AS papers FROM k GROUP BY 1, 2""")
+def journal_rank(spark, d):
+    """Names put plainly, abbreviations written out, then the best names, tiers of patterns in order, words of journals, or the floor; once for each name."""
+    k = read(spark, d, "part").select(F.expr(_PLAIN.format(x=_NAME, g="")).alias("j")).groupBy(F.expr(_LONG).alias("k")).agg(F.count("*").alias("papers"))
+    return k.select(F.col("k").alias("journal"), F.expr(_rank_sql("regexp_like")).alias("score"), "papers")
+
+
 #: The year that ages count from, and bonuses by log10 of citations a year (fixed values).
 _YEAR, _STEPS = 2026, ((2.0, 0.15), (1.7, 0.12), (1.3, 0.09), (1.0, 0.06), (0.7, 0.03), (0.3, 0.01))
 _RATED = ((9.0, 0.12), (7.5, 0.07), (5.0, 0.03))
