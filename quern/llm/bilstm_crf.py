@@ -98,7 +98,7 @@ class Tagger:
         self._lstm_back("b", x, kept_b, back[:, :, self.hidden :], grads)
         return float((z - gold).mean()), grads
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 160, rate: float = 0.03, seed: int = 0) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 120, rate: float = 0.03, seed: int = 0) -> float:
         """Adam with a falling rate; returns the last epoch's mean loss."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))

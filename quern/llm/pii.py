@@ -30,7 +30,7 @@ from quern.llm.shared import bounded_sample, chunks, table
 KINDS = ("email", "ip", "card", "phone", "secret")
 WINDOW, STRIDE = 64, 32
 SAMPLE, AROUND = 300, 256  # rows to learn from at most, and the characters of each, around its first digit or @
-LEARNED, WRITTEN = 600, 1800  # windows of those rows, and windows with written forms
+LEARNED, WRITTEN = 600, 2400  # windows of those rows, and windows with written forms
 CHANCE = 0.8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

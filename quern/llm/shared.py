@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import sent_whole
+from quern.sources.scratch import discard, written
+
 #: The white space that separates words everywhere in this folder (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Most rows of a table that is sent whole to every task.
-BROADCAST_ROWS = 20_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir.
-
-    Only a session of one machine may leave that unset; it gets a temporary folder, which goes when Python ends.
-    """
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = spark.conf.get("quern.local.dir", None)
-        if not top:
-            top = tempfile.mkdtemp(prefix="quern-")
-            atexit.register(shutil.rmtree, top, ignore_errors=True)
-            spark.conf.set("quern.local.dir", top)
-    return f"{top}/quern-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.quern_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing will read again."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.quern_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["WORD", "bounded_sample", "chunks", "components", "discard", "fresh", "held_out", "sent_whole", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +32,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def sent_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcasting if it has at most `rows` rows, which are counted; else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn labels from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
