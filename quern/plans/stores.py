@@ -41,17 +41,10 @@ def first_filled_column(spark, d):
 def json_read(spark, d):
     """Nations by way of JSON, one file as an array."""
     path = shared_dir(spark)
-    rows = read(spark, d, "nation").select(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).over(_everything())).alias("value")).limit(1)  # nations are 25
-    rows.coalesce(1).write.text(path)
+    read(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value")).write.text(path)  # nations are 25
     return read_json(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS k_sum, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS k_max FROM events GROUP BY event_type")
 def json_props(spark, d):
     e = read(spark, d, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))
