@@ -1,8 +1,8 @@
 """Near duplicates by SimHash, compared exactly in tiles.
 
 Fingerprints are compared by exclusive or and bit counts.  Distinct fingerprints lie in
-tiles, boxes of the bit counts of their four quarters; the counts of two fingerprints within the
-radius differ by at most the radius in all, so pairs of tiles whose boxes are further apart are never formed, and
+tiles, boxes of four sums and differences of the bit counts of their quarters; each of those differs by at most the
+radius between two fingerprints within it, so pairs of tiles whose boxes are further apart are never formed, and
 nothing is shuffled for them.  In a pair of tiles, blocks ordered by the same counts are skipped in the same way.
 
 There are about TILES tiles at most, which grow with the corpus beyond that, so that a fingerprint travels to a bounded number of
@@ -155,13 +155,14 @@ def boxes(points: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
 
 
 def tile_plan(spark: SparkSession, counts: DataFrame, by: list[str], reach: int, size: int, tiles: int = TILES) -> tuple[DataFrame, DataFrame]:
-    """((*by, t, slots), (t, near)) from (*by, count): each point's tile and how many slots that has, and the tiles within `reach`.
+    """((*by, t, slots), (t, near)) from (*by, count): each point's tile and how many slots that has, and the tiles within `reach` on each side.
 
-    `by` are small whole numbers, so there is a bounded number of points; about `tiles` tiles at most weigh over half of `size`.
+    `by` are small whole numbers, so there is a bounded number of points.  Tiles weigh up to `size`, four times as much where that leaves a
+    dozen of them, and more where there would be over `tiles` of them.
     """
     rows = [tuple(r) for r in counts.collect()]
     points, weight = np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(by)), np.array([r[-1] for r in rows], np.int64)
-    size = max(size, int(weight.sum()) // tiles)
+    size = max(size, min(4 * size, int(weight.sum()) // 12), int(weight.sum()) // tiles)
     tile = boxes(points, weight, size)
     n = int(tile.max()) + 1 if len(tile) else 0
     low, high = np.full((n, len(by)), 1 << 30), np.full((n, len(by)), -1)
@@ -170,7 +171,7 @@ def tile_plan(spark: SparkSession, counts: DataFrame, by: list[str], reach: int,
     slots = -(-np.bincount(tile, weight, n).astype(np.int64) // size)
     near = []
     for t in range(n):
-        gap = np.maximum(0, np.maximum(low - high[t], low[t] - high)).sum(axis=1)
+        gap = np.maximum(low - high[t], low[t] - high).max(axis=1)
         near.append((t, [(int(j), int(slots[j])) for j in np.flatnonzero(gap <= reach)]))
     cells = [(*map(int, p), int(t), int(slots[t])) for p, t in zip(points, tile, strict=True)]
     whole = ", ".join(f"{c} int" for c in by)
@@ -187,8 +188,10 @@ def tile_pairs(packed: DataFrame, near: DataFrame, *columns: str) -> DataFrame:
 
 def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Forest edges (a, b) of representatives whose distinct fingerprints (fp, rep) differ in at most `radius` bits."""
+    quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(4)]
+    signs = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, 1, -1), (1, -1, -1, 1))
     by = [f"q{i}" for i in range(4)]
-    celled = reps.withColumns({q: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i, q in enumerate(by)})
+    celled = reps.withColumns({q: sum((x if up > 0 else -x for up, x in zip(sign, quarter, strict=True)), F.lit(0)) for q, sign in zip(by, signs, strict=True)})
     cells, near = tile_plan(reps.sparkSession, celled.groupBy(*by).count(), by, radius, tile)  # at most 17**4 cells
     slot = F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int")
     dealt = celled.join(F.broadcast(cells), by).select("fp", "rep", "t", slot.alias("s"))  # bounded, as above
