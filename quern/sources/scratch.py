@@ -28,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top}/quern-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and survives lost executors."""
+def written(df: DataFrame, compression: str = "zstd", row_group: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there and survives lost executors.
+
+    `row_group` bytes make a row group, the smallest part that tasks share a file by.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    how = df.write.option("compression", compression)
+    (how.option("parquet.block.size", row_group) if row_group else how).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
     return out
