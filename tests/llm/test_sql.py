@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
