@@ -80,9 +80,12 @@ def _led(rows: DataFrame) -> DataFrame:
 
 
 def _unlike(cut: DataFrame, led: DataFrame) -> DataFrame:
-    """(row): the rows of led that differ from their lead in some piece; one piece of each meets at a time."""
-    shown = written(cut.select("row", "at", "bytes").join(led.select("row", "lead"), "row"))
-    own = shown.where("row = lead").select("lead", "at", F.col("bytes").alias("first"))
+    """(row): the rows of led that differ from their lead in some piece; one piece of each meets at a time.
+
+    Both joins are asked to sort and merge, so that a small table takes the same way as a large one and a hot group is divided.
+    """
+    shown = written(cut.select("row", "at", "bytes").join(led.select("row", "lead").hint("merge"), "row"))
+    own = shown.where("row = lead").select("lead", "at", F.col("bytes").alias("first")).hint("merge")
     differ = shown.where("row <> lead").join(own, ["lead", "at"]).where(F.col("bytes") != F.col("first"))
     out = written(differ.select("row").distinct())
     discard(shown)
