@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
 from quern.sources.scratch import written
-from quern.sources.tables import read
+from quern.sources.tables import read, stamp
 
 K1, B = 1.2, 0.75
+BUCKETS = 64  # folders of postings, by a hash of the term
+LITERALS = 500  # asked terms, at most, that a scan compares with its row groups
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -19,6 +21,22 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def bucket(term: str = "term", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.hash(term), F.lit(buckets)).alias("bucket")
+
+
+def pruned(postings: DataFrame, asked: DataFrame, on: list[str], literals: int = LITERALS, buckets: int = BUCKETS) -> DataFrame:
+    """postings joined to the asked terms, reading only folders of asked buckets.
+
+    The folders come from the other side of the join at run time; a few terms are put into the scan as well, which then leaves
+    out the row groups that hold none of them (a folder's files are in the order of terms).
+    """
+    few = [r["term"] for r in asked.select("term").distinct().limit(literals + 1).collect()]
+    scan = postings.where(F.col("term").isin(few)) if len(few) <= literals else postings
+    wanted = asked.where("length(term) > 0").withColumn("bucket", bucket(buckets=buckets))
+    return scan.join(sent_whole(wanted, 200_000), [*on, "bucket"]).drop("bucket")
+
+
 def sent_whole(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df marked for broadcasting if it has at most `rows` rows, which are counted; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -28,8 +46,8 @@ def sent_whole(df: DataFrame, rows: int = 20_000) -> DataFrame:
 class LexicalIndex:
     """Terms of the documents of a folder, tokenised once and stored.
 
-    postings: (doc_id, term, tf, size) in ranges of (term, doc_id), so that a frequent term has many partitions and a
-    search reads its terms' row groups; size counts all tokens of the document.  terms: (term, df).  stats: one row, n and avgdl.
+    postings: (bucket, doc_id, term, tf, size) in folders by bucket and ranges of (bucket, term, doc_id), so that a frequent term has
+    many files and a search reads its terms' folders; size counts all tokens of the document.  terms: (term, df).  stats: one row, n and avgdl.
     """
 
     postings: DataFrame
@@ -37,17 +55,19 @@ class LexicalIndex:
     stats: DataFrame
 
 
-_indexes: dict[tuple[str, str], LexicalIndex] = {}
+_indexes: dict[tuple[str, str, int], LexicalIndex] = {}
 
 
 def lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
-    """The folder's index; a session builds it once."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The folder's index; a session builds it once, and again when the documents' files have changed."""
+    key = (spark.sparkContext.applicationId, folder, stamp(spark, folder, "documents"))
     if key not in _indexes:
         docs = read(spark, folder, "documents")
         t = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("size"), F.explode("t").alias("term"))
         counted = t.groupBy("doc_id", "term", "size").agg(F.count("*").alias("tf"))
-        postings = written(counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+        order = ["bucket", "term", "doc_id"]
+        counted = counted.withColumn("bucket", bucket())
+        postings = written(counted.repartitionByRange(*order).sortWithinPartitions(*order), partition_by=("bucket",))
         terms = written(postings.groupBy("term").agg(F.count("*").alias("df")))
         n = docs.count()
         stats = written(postings.agg(F.lit(n).alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(1, n)))).alias("avgdl")))
@@ -68,8 +88,8 @@ def asked_terms(queries: DataFrame, query_id: str = "item_id", text: str = "text
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_id: str = "item_id") -> DataFrame:
     """(query, doc_id, score) over each query's distinct terms; only postings of those terms are read and summed up."""
-    asked = sent_whole(asked_terms(queries, query_id).join(inverse_frequencies(index), "term"), 200_000)
-    scored = index.postings.join(asked, "term").join(F.broadcast(index.stats.select("avgdl")))  # one row
+    asked = written(asked_terms(queries, query_id).join(inverse_frequencies(index), "term"))
+    scored = pruned(index.postings, asked, ["term"]).join(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.greatest(F.lit(1.0), F.col("avgdl"))))
     return scored.groupBy(query_id, "doc_id").agg(F.sum(part).alias("score"))
 
@@ -77,7 +97,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str = "item_id") ->
 def overlaps(index: LexicalIndex, queries: DataFrame, query_id: str = "item_id") -> DataFrame:
     """(query, doc_id, overlap): the share of a query's distinct terms that a document holds."""
     terms = queries.select(query_id, F.array_distinct(tokens(F.col("text"))).alias("t")).select(query_id, F.size("t").alias("n"), F.explode("t").alias("term"))
-    found = index.postings.select("doc_id", "term").join(sent_whole(terms, 200_000), "term").groupBy(query_id, "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    found = pruned(index.postings, written(terms), ["term"]).groupBy(query_id, "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     return found.select(query_id, "doc_id", (F.col("c") / F.greatest(F.col("n"), F.lit(1)).cast("double")).alias("overlap"))
 
 
@@ -92,7 +112,7 @@ def quoted(index: LexicalIndex, docs: DataFrame, phrases: DataFrame, keys: list[
     p = phrases.select(*keys, fold(F.col("phrase")).alias("phrase"), F.array_distinct(tokens(inner)).alias("t"))
     each = p.where(F.size("t") > 0).select(*keys, "phrase", F.explode("t").alias("term")).join(index.terms, "term", "left")
     rare = each.groupBy(*keys, "phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
-    likely = index.postings.select("doc_id", "term").join(sent_whole(rare), "term")
+    likely = pruned(index.postings, written(rare), ["term"]).drop("tf", "size")
     whole = docs.select("doc_id", fold(F.col("text")).alias("whole"))
     held = F.col("whole").contains(F.col("phrase"))
     found = likely.join(whole, "doc_id").where(held).select(*keys, "doc_id")

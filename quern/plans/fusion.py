@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions.overlap import near_earlier
 from quern.functions.text import title, tokens
+from quern.operators.chunk_index import chunk_index, search
 from quern.operators.ranking import asked_terms, bm25, lexical_index, sent_whole, top_k
 from quern.operators.vectors import nearest
-from quern.plans.corpus import _chunks
 from quern.plans.registry import registry
 from quern.plans.retrieval import _CORPUS, TOKENS
 from quern.plans.routing import CLASSIFIED, INDEXED, KEYWORDED, SIGNALS, classified, index_route, keywords
+from quern.plans.texts import CHUNKED, _lines
+from quern.sources.scratch import written
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -155,20 +159,50 @@ def metadata_topk(spark, d):
     return top_k(h, ["item_id", "source"], [F.desc("cos"), F.asc("doc_id")], 1, "nth").select("item_id", "source", "doc_id", "cos")
 
 
-_SCALED = """sc(scale, size, step) AS (VALUES ('fine', 500, 450), ('std', 1000, 900), ('large', 1500, 1300)),
-ck AS (SELECT doc_id, scale, i, substr(text, CAST(i * step + 1 AS BIGINT), size) AS chunk FROM documents, sc, unnest(generate_series(0, greatest(0, (length(text) - 1) // step))) AS u(i) WHERE length(text) > 0)"""
+_ROUTED = f"""{CLASSIFIED}, {INDEXED}, {CHUNKED}, ct AS (SELECT DISTINCT doc_id, scale, chunk, unnest({TOKENS('text')}) AS term FROM chunked), q AS (SELECT DISTINCT item_id, unnest({TOKENS('text')}) AS term FROM benchmark), rt AS (SELECT item_id, label, index_name AS scale, ord FROM cl JOIN ix USING (label)),
+h AS (SELECT item_id, scale, doc_id, chunk, count(*) AS terms FROM ct JOIN q USING (term) JOIN rt USING (item_id, scale) GROUP BY ALL),
+hk AS (SELECT *, row_number() OVER (PARTITION BY item_id, scale ORDER BY terms DESC, doc_id, chunk) AS rank FROM h)"""
 
 
-@query(f"""WITH {CLASSIFIED}, {INDEXED}, {_SCALED}, ct AS (SELECT DISTINCT doc_id, scale, i, unnest({TOKENS('chunk')}) AS term FROM ck), q AS (SELECT DISTINCT item_id, unnest({TOKENS('text')}) AS term FROM benchmark), rt AS (SELECT item_id, index_name AS scale FROM cl JOIN ix USING (label)),
-h AS (SELECT item_id, scale, doc_id, i, count(*) AS terms FROM ct JOIN q USING (term) JOIN rt USING (item_id, scale) GROUP BY ALL)
-SELECT item_id, scale, doc_id, i, terms FROM h QUALIFY row_number() OVER (PARTITION BY item_id, scale ORDER BY terms DESC, doc_id, i) <= 5""")
-def multi_granularity_search(spark, d):
-    """The indexes of a question's label, each searched for the chunks with most of its terms; terms of all questions go to the chunks while few."""
+def searched(spark, d, k):
+    """(item_id, scale, doc_id, chunk, terms, rank): the stored indexes of a question's label, each searched for the chunks with most of its terms."""
     routed = index_route(spark, d).select("item_id", F.col("index_name").alias("scale"))
-    asked = sent_whole(asked_terms(read(spark, d, "benchmark")).join(routed, "item_id"), 200_000)
-    c = _chunks(spark, d).select("doc_id", "scale", F.col("i").cast("long").alias("i"), F.explode(F.array_distinct(tokens(F.col("chunk")))).alias("term"))
-    h = c.join(asked, ["term", "scale"]).groupBy("item_id", "scale", "doc_id", "i").agg(F.count("*").alias("terms"))
-    return top_k(h, ["item_id", "scale"], [F.desc("terms"), F.asc("doc_id"), F.asc("i")], 5).drop("rank")
+    asked = written(asked_terms(read(spark, d, "benchmark")).join(routed, "item_id"))
+    return search(chunk_index(spark, d, _lines()), asked, "item_id", k)
+
+
+@query(f"WITH RECURSIVE {_ROUTED} SELECT item_id, scale, doc_id, chunk, terms FROM hk WHERE rank <= 5")
+def multi_granularity_search(spark, d):
+    """Up to four scales; a search reads the folders of its scales and of its terms' buckets."""
+    return searched(spark, d, 5).drop("rank")
+
+
+#: The scale that is kept of near copies, by label (fixed values).
+_PREFERRED = "CASE WHEN label IN ('review', 'mechanism', 'gene_list') THEN 'para' ELSE 'fine' END"
+
+
+@query(f"""WITH RECURSIVE {_ROUTED}, o AS (SELECT item_id, doc_id, scale, chunk, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY scale <> {_PREFERRED}, ord, rank) AS nth, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[^ \t\n]+')) AS ws FROM hk JOIN rt USING (item_id, scale) JOIN chunked USING (doc_id, scale, chunk) WHERE rank <= 30),
+kp AS (SELECT item_id, doc_id, scale, chunk, nth, [ws] AS held, true AS kept FROM o WHERE nth = 1
+ UNION ALL SELECT o.item_id, o.doc_id, o.scale, o.chunk, o.nth, CASE WHEN near THEN held ELSE list_append(held, ws) END, NOT near FROM (SELECT o.*, held, len(list_filter(held, lambda x: len(list_intersect(x, ws)) > 0.7::DOUBLE * least(len(x), len(ws)))) > 0 AS near FROM kp JOIN o ON o.item_id = kp.item_id AND o.doc_id = kp.doc_id AND o.nth = kp.nth + 1) o)
+SELECT item_id, doc_id, scale, chunk, nth FROM kp WHERE kept""")
+def near_dup_keep_first(spark, d):
+    """Hits of a paper without those whose beginning is nearly that of a hit kept before; hits of the label's preferred scale come first.
+
+    A question's hits are at most 30 for each of four scales, so a paper's hits are a small group.
+    """
+    label = index_route(spark, d).select("item_id", F.col("index_name").alias("scale"), "ord", F.expr(_PREFERRED).alias("first"))
+    hits = written(searched(spark, d, 30).join(label, ["item_id", "scale"]))
+    texts = chunk_index(spark, d, _lines()).chunks.join(sent_whole(hits.select("doc_id", "scale", "chunk").distinct(), 200_000), ["doc_id", "scale", "chunk"])
+    heads = texts.select("doc_id", "scale", "chunk", F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("[^ \t\n]+"), 0)).alias("ws"))
+    order = Window.partitionBy("item_id", "doc_id").orderBy(F.col("scale") != F.col("first"), "ord", "rank")
+    o = hits.join(heads, ["doc_id", "scale", "chunk"]).select("item_id", "doc_id", "scale", "chunk", F.row_number().over(order).cast("long").alias("nth"), "ws")
+
+    def keep(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        near = near_earlier([set(w) for w in rows.column("ws").to_pylist()])
+        return rows.drop_columns("ws").filter(pa.array([not n for n in near]))
+
+    return o.groupBy("item_id", "doc_id").applyInArrow(keep, "item_id long, doc_id long, scale string, chunk long, nth long")
 
 
 @query(f"""WITH {SIGNALS}, {KEYWORDED}, {_CORPUS}, br AS (SELECT item_id, 0 AS branch, text FROM benchmark UNION ALL SELECT item_id, nth, topic || ' ' || w FROM (SELECT item_id, unnest(ks[1:4]) AS topic, generate_subscripts(ks[1:4], 1) AS nth FROM kw) JOIN (SELECT item_id, regexp_extract(text, '[A-Za-z]{{3,}}', 0) AS w FROM benchmark) USING (item_id)),

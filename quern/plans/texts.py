@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.chunking import MOST, NATURAL, PARAGRAPH, SCALES, SEPARATORS, kept_sections, natural
+from quern.functions.overlap import near_earlier
 from quern.functions.text import base_name, chinese_share, layout, normal, plain_title, stripped, title
+from quern.operators.chunk_index import chunk_index
 from quern.plans.registry import registry
 from quern.sources.tables import read
 
@@ -63,19 +66,6 @@ _PAPER = r"""coalesce(text, '') || '\n\nFunding\nGrant ' || coalesce(source, '')
 _PAPER_SQL = _PAPER.replace("'\\n\\nFunding", "E'\\n\\nFunding").replace("' paid", "E' paid").replace("' ends", "E' ends").replace("' of 900", "E' of 900").replace("'\\nshort", "E'\\nshort")
 
 
-def kept_sections(lines: Column) -> Column:
-    """Lines without those from a skipped heading on, up to the next heading after a blank line.
-
-    Only headings are looked at again for each line.
-    """
-    blank_before = lambda i: F.trim(F.get(lines, i - 1)) == ""
-    skip = lambda x: x.rlike(f"(?i)^[ \t]*({_SKIP})[ \t]*$")
-    head = lambda x, i: (i > 0) & x.rlike("^[ \t]*[A-Z一-鿿]") & (F.length(F.trim(x)) <= 61) & blank_before(i)
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(skip(x), 1).when(head(x, i), 0).alias("k"))), lambda m: m["k"].isNotNull())
-    last = lambda i: F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))["k"]
-    return F.when(F.exists(marks, lambda m: m["k"] == 1), F.filter(lines, lambda x, i: F.coalesce(last(i), F.lit(0)) == 0)).otherwise(lines)
-
-
 @query(rf"""WITH p AS (SELECT doc_id, regexp_split_to_array({_PAPER_SQL}, '(?mi)^[ \t]*({_END})[ \t]*$')[1] AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM p),
 k AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^[ \t]*({_SKIP})[ \t]*$') THEN 1 WHEN i > 1 AND regexp_matches(x, '^[ \t]*[A-Z一-鿿]') AND length(trim(x, ' ')) <= 61 AND trim(lag(x) OVER (PARTITION BY doc_id ORDER BY i), ' ') = '' THEN 0 END AS mark FROM l),
@@ -89,7 +79,7 @@ def clean_paper(spark, d):
     body = F.get(F.split("t", f"(?mid)^[ \t]*({_END})[ \t]*$", 2), F.lit(0))
     line = lambda x: F.trim(x)
     keep = lambda x: (line(x) == "") | ~(line(x).rlike(f"(?i){_MARGIN}") | line(x).rlike("^[0-9]{1,4}$") | ((F.length(line(x)) < 15) & ~line(x).rlike("[.!?。]$")))
-    lines = p.select("doc_id", F.split(body, "\n", -1).alias("x")).select("doc_id", F.filter(kept_sections(F.col("x")), keep).alias("x"))
+    lines = p.select("doc_id", F.split(body, "\n", -1).alias("x")).select("doc_id", F.filter(kept_sections(F.col("x"), _SKIP), keep).alias("x"))
     t = F.regexp_replace(F.regexp_replace(F.array_join("x", "\n"), "-\n([ \t]*)", ""), "\n{3,}", "\n\n")
     return lines.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.md5(stripped(t)).alias("clean_md5"))
 
@@ -113,77 +103,72 @@ def paragraph_chunks(spark, d):
     return p.select("doc_id", F.size("ps").cast("long").alias("paragraphs"), F.md5(F.array_join("ps", "\n")).alias("paragraphs_md5"))
 
 
-_MOST = 2000
+#: Documents hold no blank lines: their lines stand for paragraphs.
+def _lines() -> Column:
+    return F.regexp_replace("text", "\n", "\n \n")
+
+
+_S = lambda x: rf"regexp_replace({x}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
+_PARAGRAPHS_SQL = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n', E'\n \n', 'g'), '\n[ \t\n\r\f]*\n'), lambda x: {_S('x')}), lambda x: length(x) >= {PARAGRAPH})"
+
 
+def _merged_sql(parts: str, least: str) -> str:
+    """Paragraphs merged by a fold; an unfinished tail joins the one before."""
+    fold = f"""list_reduce(list_transform({parts}, lambda p: {{'done': []::VARCHAR[], 'open': p}}), lambda a, b: CASE WHEN length(a.open) >= {least}
+ THEN {{'done': list_append(a.done, a.open), 'open': b.open}} ELSE {{'done': a.done, 'open': a.open || chr(10) || chr(10) || b.open}} END)"""
+    return f"(SELECT CASE WHEN z IS NULL THEN [] WHEN length(z.open) >= {least} OR len(z.done) = 0 THEN list_append(z.done, z.open) ELSE list_append(z.done[:-2], z.done[-1] || chr(10) || chr(10) || z.open) END FROM (SELECT {fold} AS z))"
 
-def _fills(sizes: Column, most: int) -> Column:
-    """Where buffers begin, from zero, when pieces are put together by a space up to `most` characters."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("starts"))
 
-    def step(a: Column, n: Column) -> Column:
-        opens = (a["filled"] + n + 1 > most) | (a["i"] == 0)
-        return F.struct((a["i"] + 1).alias("i"), F.when(opens, n).otherwise(a["filled"] + 1 + n).alias("filled"), F.when(opens, F.array_append(a["starts"], a["i"])).otherwise(a["starts"]).alias("starts"))
+def _packed_sql(part: str) -> str:
+    sentences = rf"string_split(regexp_replace({part}, '([.!?])[ \t\n\r\f]+', E'\\1\x01', 'g'), chr(1))"
+    fold = f"""list_reduce(list_transform({sentences}, lambda x: {{'done': []::VARCHAR[], 'open': x}}), lambda a, b: CASE WHEN length(a.open) + length(b.open) + 1 <= {MOST}
+ THEN {{'done': a.done, 'open': CASE WHEN a.open = '' THEN b.open ELSE a.open || ' ' || b.open END}} ELSE {{'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, 'open': b.open}} END)"""
+    return f"(SELECT CASE WHEN z.open = '' THEN z.done ELSE list_append(z.done, z.open) END FROM (SELECT {fold} AS z))"
 
-    return F.aggregate(sizes, start, step, lambda a: a["starts"])
 
+_NATURAL_SQL = f"""np AS (SELECT * FROM (SELECT doc_id, {_PARAGRAPHS_SQL} AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ps) > 0),
+nm AS (SELECT doc_id, unnest(ms) AS p, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, {_merged_sql('ps', str(NATURAL))} AS ms FROM np)),
+nc AS (SELECT doc_id, i, unnest(cs) AS text, generate_subscripts(cs, 1) AS j FROM (SELECT doc_id, i, CASE WHEN length(p) <= {MOST} THEN [p] ELSE {_packed_sql('p')} END AS cs FROM nm)),
+natural_chunks AS (SELECT doc_id, 'para' AS scale, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk, text FROM nc)"""
 
-@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text, E' \t\n'), '([.!?])[ \t\n]+', E'\\1\x01', 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents WHERE length(trim(text, E' \t\n')) >= 80),
-r AS (SELECT doc_id, ss, 1 AS i, 0 AS chunk, length(ss[1]) AS filled FROM s
- UNION ALL SELECT doc_id, ss, i + 1, CASE WHEN filled + length(ss[i + 1]) + 1 > {_MOST} THEN chunk + 1 ELSE chunk END, CASE WHEN filled + length(ss[i + 1]) + 1 > {_MOST} THEN length(ss[i + 1]) ELSE filled + 1 + length(ss[i + 1]) END FROM r WHERE i < len(ss))
-SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS sentences, md5(string_agg(ss[i], ' ' ORDER BY i)) AS chunk_md5 FROM r GROUP BY doc_id, chunk""")
+_JOINED = lambda held: _S(f"array_to_string({held}, '')")
+_FLUSHED = lambda held: f"(CASE WHEN {_JOINED(held)} <> '' THEN [{{'t': {_JOINED(held)}, 'long': false}}] ELSE [] END)"
+_FILLED = lambda held: f"coalesce(list_sum(list_transform({held}, lambda y: length(y))), 0)"
+_NTH_SQL = "CASE " + " ".join(f"WHEN nth <= {i} AND contains(text, {'chr(10) || chr(10)' if s == chr(10) * 2 else 'chr(10)' if s == chr(10) else repr(s)}) THEN {i}" for i, s in enumerate(SEPARATORS[:-1])) + f" ELSE {len(SEPARATORS) - 1} END"
+_CUT_SQL = "[chr(10) || chr(10), chr(10), " + ", ".join(repr(s) for s in SEPARATORS[2:]) + "]"
+_FOLD_SQL = f"""list_reduce(list_prepend({{'out': []::STRUCT(t VARCHAR, long BOOLEAN)[], 'held': []::VARCHAR[]}}, list_transform(list_filter(list_transform(string_split(text, cut), lambda x, i: CASE WHEN i = 1 THEN x ELSE cut || x END), lambda x: x <> ''),
+ lambda x: {{'out': []::STRUCT(t VARCHAR, long BOOLEAN)[], 'held': [x]}})), lambda a, b: CASE
+ WHEN length(b.held[1]) >= size AND cut <> '' THEN {{'out': list_concat(list_concat(a.out, {_FLUSHED('a.held')}), [{{'t': b.held[1], 'long': true}}]), 'held': []::VARCHAR[]}}
+ WHEN {_FILLED('a.held')} + length(b.held[1]) > size THEN {{'out': list_concat(a.out, {_FLUSHED('a.held')}), 'held': list_append(list_filter(a.held, lambda x, j: {_FILLED('a.held[j:]')} <= least(overlap, size - length(b.held[1]))), b.held[1])}}
+ ELSE {{'out': a.out, 'held': list_append(a.held, b.held[1])}} END)"""
+_SIZED_SQL = f"""sc(scale, size, overlap) AS (VALUES {", ".join(f"('{n}', {s}, {o})" for n, s, o in SCALES)}),
+sm AS (SELECT doc_id, scale, size, overlap, unnest(ms) AS text, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, scale, size, overlap, {_merged_sql('ps', '(size // 3)')} AS ms FROM np, sc)),
+rc AS (SELECT doc_id, scale, size, overlap, text, [i] AS path, 0 AS nth, length(text) > size AS long FROM sm
+ UNION ALL SELECT doc_id, scale, size, overlap, it.t, list_append(path, j), nth + 1, it.long FROM (SELECT doc_id, scale, size, overlap, path, nth, unnest(out) AS it, generate_subscripts(out, 1) AS j FROM (
+  SELECT doc_id, scale, size, overlap, path, nth, list_concat(z.out, {_FLUSHED('z.held')}) AS out FROM (SELECT *, {_FOLD_SQL} AS z FROM (SELECT doc_id, scale, size, overlap, path, text, {_NTH_SQL} AS nth, {_CUT_SQL}[{_NTH_SQL} + 1] AS cut FROM rc WHERE long)))))
+,sized_chunks AS (SELECT doc_id, scale, row_number() OVER (PARTITION BY doc_id, scale ORDER BY path) - 1 AS chunk, text FROM rc WHERE NOT long)"""
+CHUNKED = f"{_NATURAL_SQL}, {_SIZED_SQL}, chunked AS (SELECT * FROM natural_chunks UNION ALL SELECT * FROM sized_chunks)"
+
+
+@query(f"WITH {_NATURAL_SQL} SELECT doc_id, chunk, CAST(length(text) AS BIGINT) AS n, md5(text) AS chunk_md5 FROM natural_chunks")
 def paragraph_mode_chunks(spark, d):
-    """Long paragraphs cut at sentences and packed up to 2000 characters: a fold over the lengths of each row's sentences."""
-    t = F.regexp_replace("text", "^[ \t\n]+|[ \t\n]+$", "")
-    s = _docs(spark, d).select("doc_id", t.alias("t")).where(F.length("t") >= 80)
-    s = s.select("doc_id", F.filter(F.split(F.regexp_replace("t", "([.!?])[ \t\n]+", "$1\x01"), "\x01", -1), lambda x: x != "").alias("ss"))
-    s = s.withColumn("at", _fills(F.transform("ss", lambda x: F.length(x)), _MOST))
-    parts = F.transform("at", lambda a, i: F.slice("ss", a + 1, F.coalesce(F.get("at", i + 1), F.size("ss")) - a))
-    c = s.select("doc_id", F.posexplode(parts).alias("chunk", "ps"))
-    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("ps").cast("long").alias("sentences"), F.md5(F.array_join("ps", " ")).alias("chunk_md5"))
-
-
-#: Separators from the coarsest to none (fixed values), size and overlap of a chunk.
-_SEPARATORS, _SIZE, _OVERLAP = ("\n\n", "\n", ". ", "! ", "? ", " ", ""), 500, 50
-
-
-def split_recursively(text: str, size: int = _SIZE, overlap: int = _OVERLAP, separators: tuple[str, ...] = _SEPARATORS) -> list[str]:
-    """Chunks of at most `size` characters: pieces between the coarsest separators that do, put together with an overlap of whole pieces."""
-    separator = next((s for s in separators if s in text), "")
-    finer = separators[separators.index(separator) + 1 :]
-    pieces = [x + separator for x in text.split(separator)[:-1]] + [text.split(separator)[-1]] if separator else list(text)
-    chunks: list[str] = []
-    held: list[str] = []
-
-    def close() -> None:
-        if whole := "".join(held).strip():
-            chunks.append(whole)
-
-    for piece in pieces:
-        if len(piece) > size:
-            close()
-            held.clear()
-            chunks += split_recursively(piece, size, overlap, finer)
-            continue
-        if sum(map(len, held)) + len(piece) > size:
-            close()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(piece) > size):
-                held.pop(0)
-        held.append(piece)
-    close()
-    return chunks
-
-
-@query()
+    """Paragraphs merged to 150 characters, those over 2000 packed by sentence, the unfinished tail joined to the one before."""
+    c = _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(natural(_lines())).alias("chunk", "text"))
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("text").cast("long").alias("n"), F.md5("text").alias("chunk_md5"))
+
+
+@query(f"WITH RECURSIVE {_NATURAL_SQL}, {_SIZED_SQL} SELECT doc_id, scale, chunk, CAST(length(text) AS BIGINT) AS n, md5(text) AS chunk_md5 FROM sized_chunks")
 def recursive_chunks(spark, d):
-    """Chunks by the coarsest separators that fit: Arrow batches of rows, without a shuffle.  Tests hold them against their rules."""
+    """Paragraphs merged to a third of the size, longer ones cut by the coarsest separators that fit, at three sizes, from the stored index."""
+    c = chunk_index(spark, d, _lines()).chunks.where("scale <> 'para'")
+    return c.select("doc_id", "scale", "chunk", F.length("text").cast("long").alias("n"), F.md5("text").alias("chunk_md5"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, n, c) for i, t in zip(f["doc_id"], f["text"], strict=True) for n, c in enumerate(split_recursively(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text"])
 
-    chunks = _docs(spark, d).where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, text string")
-    return chunks.select("doc_id", "chunk", F.length("text").cast("long").alias("n"), F.md5("text").alias("chunk_md5"))
+@query(f"WITH RECURSIVE {CHUNKED} SELECT scale, count(*) AS chunks, count(DISTINCT doc_id) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS BIGINT) AS longest FROM chunked GROUP BY scale")
+def scaled_chunks(spark, d):
+    """What the stored index holds at each of its four scales."""
+    c = chunk_index(spark, d, _lines()).chunks.withColumn("n", F.length("text").cast("long"))
+    return c.groupBy("scale").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("chars"), F.max("n").alias("longest"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n]+') AS ws FROM documents WHERE text IS NOT NULL),
@@ -198,7 +183,7 @@ def token_chunks(spark, d):
 
 
 #: A chunk whose lines may be references, DOIs or fragments, by the document's number.
-_NOISE = r"""substr(text, 1, 400) || CASE doc_id % 5 WHEN 0 THEN '\n[1] Author and others\n2. Another one\n[3] Third work\n' WHEN 1 THEN '\ndoi:10.1/a\nDOI:10.2/b\n' WHEN 2 THEN '\na b\nc\nd e\nf\ng h\ni\nj\n' WHEN 3 THEN '\n0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 %%%% $$$$ #### @@@@ 0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 0000 1111 2222 3333' ELSE '' END"""
+_NOISE = r"""text || CASE doc_id % 5 WHEN 0 THEN '\n[1] Author and others\n2. Another one\n[3] Third work\n' WHEN 1 THEN '\ndoi:10.1/a\nDOI:10.2/b\n' WHEN 2 THEN '\na b\nc\nd e\nf\ng h\ni\nj\n' WHEN 3 THEN '\n0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 %%%% $$$$ #### @@@@ 0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 0000 1111 2222 3333 4444 5555 6666 7777 8888 9999 0000 1111 2222 3333' ELSE '' END"""
 _NOISE_SQL = _NOISE.replace("THEN '\\n", "THEN E'\\n")
 
 
@@ -224,7 +209,7 @@ def noise_filter(spark, d):
     return c.select("doc_id", verdict.alias("verdict"))
 
 
-_MARKED = r"""'a^{' || coalesce(source, '') || '} and $' || coalesce(lang, '') || '$ or $$x' || doc_id || '$$' || coalesce(substr(text, 1, 200), '')"""
+_MARKED = r"""'a^{' || coalesce(source, '') || '} and $' || coalesce(lang, '') || '$ or $$x' || doc_id || '$$' || coalesce(text, '')"""
 
 
 @query(rf"""SELECT doc_id, md5({_STRIP(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _MARKED + r", '\^\{([^}]+)\}', '[\1]', 'g'), '\$([^$\n]+?)\$', '\1', 'g'), '(?s)\$\$(.+?)\$\$', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")}) AS clean_md5 FROM documents""")
@@ -391,13 +376,16 @@ c AS (SELECT row_number() OVER () AS k, * FROM (SELECT doc_id, ord, i, list_dist
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) AS nth FROM c WHERE len(ws) > 0)
 SELECT doc_id, count(*) AS chunks, count(*) FILTER (EXISTS (SELECT 1 FROM p b WHERE b.doc_id = p.doc_id AND b.nth < p.nth AND len(list_intersect(b.ws, p.ws)) > 0.7::DOUBLE * least(len(b.ws), len(p.ws)))) AS near_dups FROM p GROUP BY doc_id""")
 def near_dup_overlap(spark, d):
-    """Chunks of a paper whose beginnings share over 0.7 of the smaller one's words with an earlier chunk's: within each row, without a join."""
+    """Chunks of a paper whose beginnings share over 0.7 of the smaller one's words with an earlier chunk's: within each row, through lists of rare words."""
 
     def heads(step: int) -> Column:
         at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))
         return F.transform(at, lambda i: F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").substr(i * step + 1, F.lit(200))), F.lit("[^ \t\n]+"), 0)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [sum(near_earlier([set(b) for b in bags], kept_only=False)) for bags in batch.column("ws").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("chunks"), pa.array(near, pa.int64())], ["doc_id", "chunks", "near_dups"])
+
     c = _docs(spark, d).where("length(text) > 0").select("doc_id", F.filter(F.concat(heads(900), heads(450)), lambda w: F.size(w) > 0).alias("ws"))
-    near = lambda a, b: F.size(F.array_intersect(a, b)) > 0.7 * F.least(F.size(a), F.size(b))
-    dups = F.filter("ws", lambda w, i: (i > 0) & F.exists(F.slice("ws", 1, F.greatest(i, F.lit(1))), lambda b: near(b, w)))
-    return c.where("size(ws) > 0").select("doc_id", F.size("ws").cast("long").alias("chunks"), F.size(dups).cast("long").alias("near_dups"))
+    return c.where("size(ws) > 0").select("doc_id", F.size("ws").cast("long").alias("chunks"), "ws").mapInArrow(count, "doc_id long, chunks long, near_dups long")

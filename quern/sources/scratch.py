@@ -28,15 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top}/quern-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "zstd", row_group: int | None = None) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd", row_group: int | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and survives lost executors.
 
-    `row_group` bytes make a row group, the smallest part that tasks share a file by.
+    `row_group` bytes make a row group, the smallest part that tasks share a file by; `partition_by` columns make
+    folders, which a filter or a join on them leaves unread.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     how = df.write.option("compression", compression)
-    (how.option("parquet.block.size", row_group) if row_group else how).parquet(path)
+    how = how.option("parquet.block.size", row_group) if row_group else how
+    (how.partitionBy(*partition_by) if partition_by else how).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
     return out

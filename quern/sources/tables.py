@@ -12,6 +12,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, folder: str, name: str) -> int:
+    """When a table's files last changed: what is derived from it and stored goes by this."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    return max([files.getFileStatus(at).getModificationTime(), *(f.getModificationTime() for f in files.listStatus(at))])
+
+
 #: Tried in this order (fixed values).
 ENCODINGS = ("UTF-8", "GB18030", "GBK", "ISO-8859-1")
 

@@ -7,7 +7,7 @@ import pytest
 
 from quern.operators.ranking import lexical_index, quoted
 from quern.operators.vectors import nearest
-from quern.plans.texts import split_recursively
+from quern.functions.chunking import split_recursively
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
