@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.text import normal
+from quern.operators.rules import Rule, from_table, labels, rule_hits
 from quern.plans.registry import registry
 from quern.sources.tables import read
 
@@ -47,19 +49,22 @@ ENTITY = "(^|[^A-Za-z0-9])(Sobic\\.[0-9]{3}G[0-9]{4,6}|Sb[0-9]{2}g[0-9]{6}|Sb[A-
 ACCESSION = "(PF[0-9]{5}|IPR[0-9]{6}|GO:[0-9]{7}|PTHR[0-9]{5})"
 
 _any = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
-_FLAGS = {n: _any(w) for n, w in {**EARLY, **PHRASES, "mechanism_words": _MECHANISM_WORDS, "dominant": _DOMINANT, "intro": _INTRO}.items()}
+_LISTS = {**EARLY, **PHRASES, "mechanism_words": _MECHANISM_WORDS, "dominant": _DOMINANT, "intro": _INTRO}
+_FLAGS = {n: _any(w) for n, w in _LISTS.items()}
+#: All phrases of all labels, found in one pass over a question.
+_PHRASE_RULES = [Rule(w, n) for n, ws in _LISTS.items() for w in ws]
 
 
-def _flags(match: str) -> dict[str, str]:
-    """SQL of every signal in terms of the question `text` and its lower case `q`; `match` names the engine's regex test."""
+def _flags(match: str, held: dict[str, str]) -> dict[str, str]:
+    """SQL of every signal in terms of the question `text`, its lower case `q` and what is `held`; `match` names the engine's regex test."""
     entity, accession = f"{match}(text, '(?i){ENTITY}')", f"{match}(text, '{ACCESSION}')"
-    f = dict(_FLAGS) | {"entity": entity, "accession": accession}
+    f = dict(held) | {"entity": entity, "accession": accession}
     f["factoid"] = f"({f['factoid']} OR {accession})"
     f["gene_function"] = f"({entity} AND NOT {f['mechanism_words']} AND ({f['gene_function']} OR length(trim(q)) <= 40 OR {match}(q, '(gene|protein)$')))"
     return f
 
 
-_SPARK, _DUCK = _flags("regexp_like"), _flags("regexp_matches")
+_SPARK, _DUCK = _flags("regexp_like", {n: f"array_contains(found, '{n}')" for n in _LISTS}), _flags("regexp_matches", _FLAGS)
 _TAGS = sorted(PHRASES)
 QUESTIONS = f"qs AS (SELECT item_id, lower({_QUESTION}) AS q, {_QUESTION} AS text FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]{{3,}}', 0) AS w, regexp_extract(text, '([A-Za-z]{{3,}})[^A-Za-z]*$', 1) AS x FROM benchmark))"
 SIGNALS = f"{QUESTIONS}, sg AS (SELECT item_id, q, text, {', '.join(f'{v} AS is_{k}' for k, v in _DUCK.items())} FROM qs)"
@@ -71,7 +76,7 @@ def questions(spark, d):
 
 
 def signals(spark, d):
-    q = questions(spark, d).withColumn("q", F.lower("text"))
+    q = rule_hits(questions(spark, d).withColumn("q", F.lower("text")), F.col("text"), _PHRASE_RULES).withColumn("found", labels())
     # a Java regex in a SQL string: backslashes are doubled
     return q.select("item_id", "q", "text", *(F.expr(v.replace("\\", "\\\\")).alias(f"is_{k}") for k, v in _SPARK.items()))
 
@@ -137,21 +142,39 @@ def index_route(spark, d):
     return classified(spark, d).select("item_id", "label").join(F.broadcast(ix), "label").select("item_id", "label", "index_name", "ord")  # fixed rows
 
 
-#: Dictionary of fragments, context terms by signal, and the term that every search has.
+#: Own tables: a dictionary of fragments, contexts of genes (patterns at word boundaries), contexts of topics, terms that a domain
+#: brings along, and the term that every search has.  Within a table keys go in this order.
 _WORDS = (("how many", "number"), ("function", "gene function"), ("papers", "literature"), ("price", "economics"), ("pathway", "signaling pathway"), ("loci", "locus"), ("candidate", "Locus"))
-_CONTEXT = (("is_qtl_gwas", "QTL mapping"), ("is_gene_function", "gene function"), ("is_mechanism", "regulation"), ("is_review", "progress"))
+_GENES = (("MSD[1-3]", "multiseeded spikelet fertility"), ("SbAB[0-9]+|AB12", "abscisic acid signaling"), ("Sobic", "gene model of the crop"))
+_TOPICS = (("gwas", "association mapping panel"), ("QTL", "QTL mapping population"), ("regulate", "regulation of expression"), ("advances", "progress review"), ("linkage", "QTL mapping population"))
+_DOMAINS = (("market", "value chain of the crop"), ("domain", "protein family annotation"), ("known gene", "cloned gene catalogue"), ("genes", "gene set"), ("plant cell", "cell biology"))
 _BASE = "crop"
-_WORD_ROWS = ", ".join(f"CASE WHEN contains(q, '{f}') THEN '{k}' END" for f, k in _WORDS)
-_CONTEXT_ROWS = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for c, k in _CONTEXT)
-_ID = r"(Sobic\.[0-9]{3}G[0-9]{4,6}|Sb[0-9]{2}g[0-9]{6}|MSD[0-9])"
-_KEYWORDS = f"""list_concat(list_filter([{_WORD_ROWS}], lambda z: z IS NOT NULL), list_concat(regexp_extract_all(text, '{_ID}'), list_concat(list_filter([{_CONTEXT_ROWS}], lambda z: z IS NOT NULL), ['{_BASE}'])))"""
-KEYWORDED = f"kw AS (SELECT item_id, text, list_filter(ks, lambda z, i: list_position(list_transform(ks, lambda y: lower(y)), lower(z)) = i) AS ks FROM (SELECT item_id, text, {_KEYWORDS} AS ks FROM sg))"
+_LATIN = r"[A-Za-z][A-Za-z0-9_.-]*[A-Za-z0-9]|[A-Za-z]{2,}"
+_TABLES = {"words": _WORDS, "topics": _TOPICS, "domains": _DOMAINS}
+_KEY_RULES = [Rule(k, f"{name} {v}") for name, rows in _TABLES.items() for k, v in rows]
+_HITS_SQL = {name: "list_filter([" + ", ".join(f"CASE WHEN contains(q, '{k.lower()}') THEN '{v}' END" for k, v in rows) + "], lambda z: z IS NOT NULL)" for name, rows in _TABLES.items()}
+_BESIDE = "(^|[^A-Za-z0-9])({})([^A-Za-z0-9]|$)"
+_GENES_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_BESIDE.format(p)}') THEN '{v}' END" for p, v in _GENES) + "], lambda z: z IS NOT NULL)"
+_RAW_SQL = "CASE WHEN regexp_matches(text, '[一-鿿]') THEN [] ELSE [trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))] END"
+_PARTS = [_HITS_SQL["words"], f"regexp_extract_all(text, '{_LATIN}')", _GENES_SQL, _HITS_SQL["topics"], _HITS_SQL["domains"], _RAW_SQL]
+_KEYWORDS = _PARTS[0]
+for _part in _PARTS[1:]:
+    _KEYWORDS = f"list_concat({_KEYWORDS}, {_part})"
+KEYWORDED = f"""k0 AS (SELECT item_id, text, {_KEYWORDS} AS ks FROM sg), k1 AS (SELECT item_id, text, CASE WHEN contains(lower(array_to_string(ks, ' ')), '{_BASE}') THEN ks ELSE list_append(ks, '{_BASE}') END AS ks FROM k0),
+kw AS (SELECT item_id, text, list_filter(ks, lambda z, i: list_position(list_transform(ks, lambda y: lower(y)), lower(z)) = i) AS ks FROM k1)"""
 
 
 def keywords(spark, d):
-    """(item_id, text, ks): dictionary hits, entity ids, terms of the context and the base term, each once whatever its case."""
-    ks = F.concat(F.expr(f"filter(array({_WORD_ROWS}), z -> z is not null)"), F.regexp_extract_all("text", F.lit(_ID), 1), F.expr(f"filter(array({_CONTEXT_ROWS}), z -> z is not null)"), F.array(F.lit(_BASE)))
-    s = signals(spark, d).select("item_id", "text", ks.alias("ks"))
+    """(item_id, text, ks): dictionary hits, Latin tokens, contexts of genes and topics, terms of domains, the question itself if it
+    holds no Chinese, and the base term where none has it; each once whatever its case."""
+    s = rule_hits(questions(spark, d), F.col("text"), _KEY_RULES)
+    of = lambda n: F.transform(F.filter("hits", lambda h: h["label"].startswith(f"{n} ")), lambda h: h["label"].substr(F.lit(len(n) + 2), F.lit(1000)))
+    found = {n: of(n) for n in _TABLES}
+    genes = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){_BESIDE.format(p)}"), F.lit(v)) for p, v in _GENES)), lambda z: z.isNotNull())
+    raw = F.when(F.col("text").rlike("[一-鿿]"), F.array().cast("array<string>")).otherwise(F.array(normal(F.col("text"))))
+    ks = F.concat(found["words"], F.regexp_extract_all("text", F.lit(_LATIN), 0), genes, found["topics"], found["domains"], raw)
+    s = s.select("item_id", "text", ks.alias("ks"))
+    s = s.select("item_id", "text", F.when(F.lower(F.array_join("ks", " ")).contains(_BASE), F.col("ks")).otherwise(F.array_append("ks", F.lit(_BASE))).alias("ks"))
     low = F.transform("ks", lambda y: F.lower(y))
     return s.select("item_id", "text", F.filter("ks", lambda z, i: F.array_position(low, F.lower(z)) == i + 1).alias("ks"))
 
@@ -213,10 +236,9 @@ _DEFAULT_TRAIT = "click"
 @query("WITH " + CLASSIFIED + ", tr(k, trait, ord) AS (VALUES " + ", ".join(f"('{k}', '{t}', {i})" for i, (k, t) in enumerate(_TRAITS)) + f"""), h AS (SELECT item_id, trait, min(ord) AS ord FROM cl JOIN tr ON contains(q, k) GROUP BY ALL)
 SELECT item_id, trait, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS nth FROM h UNION ALL SELECT item_id, '{_DEFAULT_TRAIT}', 1 FROM cl WHERE label = 'qtl_gwas' AND item_id NOT IN (SELECT item_id FROM h)""")
 def trait_keyword_map(spark, d):
-    """Traits of a question by keys that it holds, each once in the keys' order: a fixed list for each row, no join."""
-    found = F.filter(F.array(*(F.when(F.col("q").contains(k), F.lit(t)) for k, t in _TRAITS)), lambda x: x.isNotNull())
-    traits = F.when((F.size(found) == 0) & (F.col("label") == "qtl_gwas"), F.array(F.lit(_DEFAULT_TRAIT))).otherwise(F.array_distinct(found))
-    t = classified(spark, d).select("item_id", F.posexplode(traits).alias("i", "trait"))
+    """Traits of a question by keys that it holds, each once in the keys' order."""
+    traits = F.when((F.size("hits") == 0) & (F.col("label") == "qtl_gwas"), F.array(F.lit(_DEFAULT_TRAIT))).otherwise(labels())
+    t = rule_hits(classified(spark, d).select("item_id", "q", "label"), F.col("q"), [Rule(k, t) for k, t in _TRAITS]).select("item_id", F.posexplode(traits).alias("i", "trait"))
     return t.select("item_id", "trait", (F.col("i") + 1).cast("long").alias("nth"))
 
 
@@ -240,3 +262,39 @@ def canned_answer(spark, d):
     c = classified(spark, d).where(F.col("label").isin("boundary", "count", "locate")).join(F.broadcast(n))  # one row
     answer = F.when(F.col("label") == "boundary", "This question lies outside the literature.").when(F.col("label") == "count", F.concat(F.lit("There are "), F.col("n").cast("string"), F.lit(" papers."))).otherwise("The best match follows.")
     return c.select("item_id", answer.alias("answer"))
+
+
+_PHRASES_OF = "list_transform(range(1, greatest(1, len(ws) - 1)), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])"
+
+
+@query(f"""WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS ws FROM benchmark), r AS (SELECT phrase, min(item_id) AS item_id FROM (SELECT item_id, unnest({_PHRASES_OF}) AS phrase FROM w) GROUP BY phrase),
+l AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents), c AS MATERIALIZED (SELECT doc_id, item_id, phrase, t FROM l JOIN r ON contains(t, phrase)),
+h AS (SELECT doc_id, item_id, phrase FROM c WHERE regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(phrase) || '($|[^a-z0-9])'))
+SELECT doc_id, count(*) AS phrases, CAST(max(length(phrase)) AS BIGINT) AS longest, count(DISTINCT item_id) AS items FROM h GROUP BY doc_id""")
+def phrase_hits(spark, d):
+    """Which whole texts hold phrases of three words of the benchmark: thousands of rules, each document read once."""
+    ws = F.split(F.lower("text"), " ", -1)
+    at = F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1)))
+    three = F.filter(F.transform(at, lambda i: F.concat_ws(" ", F.slice("ws", i, 3))), lambda x: F.size(F.split(x, " ", -1)) == 3)
+    w = read(spark, d, "benchmark").select("item_id", ws.alias("ws")).select("item_id", F.explode(three).alias("phrase"))
+    rules = from_table(w.groupBy("phrase").agg(F.min("item_id").cast("string").alias("label")), word=True)
+    h = rule_hits(read(spark, d, "documents").select("doc_id", "text"), F.col("text"), rules).where("size(hits) > 0")
+    return h.select("doc_id", F.size("hits").cast("long").alias("phrases"), F.array_max(F.transform("hits", lambda x: F.length(x["phrase"]))).cast("long").alias("longest"), F.size(labels()).cast("long").alias("items"))
+
+
+_TIER = "9.5::DOUBLE - 0.5::DOUBLE * (length(phrase) % 13)"
+_JOURNAL = "lower(CASE p_partkey % 4 WHEN 0 THEN p_type || ' Reports' WHEN 1 THEN 'Annals of ' || p_brand WHEN 2 THEN p_name || ' Letters' ELSE 'x' || p_type END)"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT lower(phrase) AS phrase FROM (SELECT p_type AS phrase FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_name FROM part)),
+j AS (SELECT {_JOURNAL} AS j, count(*) AS papers FROM part GROUP BY 1),
+h AS (SELECT j, max({_TIER}) AS tier FROM j JOIN r ON contains(j, phrase) AND regexp_matches(j, '(^|[^a-z0-9])' || regexp_escape(phrase) || '($|[^a-z0-9])') GROUP BY j)
+SELECT j.j AS journal, papers, coalesce(tier, CASE WHEN regexp_matches(j.j, 'reports|annals|letters') THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END) AS score FROM j LEFT JOIN h ON h.j = j.j""")
+def journal_tiers(spark, d):
+    """Journals by the heaviest of all patterns at word boundaries that a name holds, else words of any journal, else the floor; once for each name."""
+    p = read(spark, d, "part")
+    phrases = p.select(F.explode(F.array(F.lower("p_type"), F.lower("p_brand"), F.lower("p_name"))).alias("phrase")).distinct()
+    rules = from_table(phrases.withColumn("label", (F.lit(9.5) - 0.5 * (F.length("phrase") % 13)).cast("string")), word=True)
+    j = p.groupBy(F.expr(_JOURNAL).alias("journal")).agg(F.count("*").alias("papers"))
+    h = rule_hits(j, F.col("journal"), rules).withColumn("tier", F.array_max(F.transform("hits", lambda x: x["label"].cast("double"))))
+    return h.select("journal", "papers", F.coalesce("tier", F.when(F.col("journal").rlike("reports|annals|letters"), 4.0).otherwise(3.0)).alias("score"))
