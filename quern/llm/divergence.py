@@ -11,11 +11,12 @@ cost a count in vain, as the threshold is asked of exact counts at every level.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,9 @@ from quern.operators.ranking import sent_whole, top_k
 LEAST_DOCUMENTS = 10
 TOP = 10
 SCALE = 1_000_000_000
-FIRST_LEVEL = 4  # bytes; each level has twice those of the one before
+FIRST_LEVEL = 8  # bytes; each level has twice those of the one before
 BITS = 1 << 26  # of the bitmap: 8 MB
 _ROWS = 32768  # bits in a row of the bitmap
-HELD = 200_000  # counts that a task adds up before it sends them
 SOURCES, TERMS = 512, 256  # sources of a tile, terms of a block
 
 #: Separators become spaces and A-Z a-z; letters and the bytes of all other characters stay.
@@ -39,17 +39,34 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text", 1 << 21):
         bags = [Counter(t.translate(_FOLD).split()) for t in batch.column("text").to_pylist()]
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bags])]), pa.int32())
-        terms = pa.ListArray.from_arrays(ends, pa.array([w for b in bags for w in b], pa.binary()))
-        counts = pa.ListArray.from_arrays(ends, pa.array([n for b in bags for n in b.values()], pa.int64()))
-        yield pa.record_batch([batch.column("lang"), batch.column("source"), terms, counts], ["lang", "source", "terms", "counts"])
+        packed = [[np.fromiter(x, np.int32, len(b)).tobytes() for x in (map(len, b), b.values())] for b in bags]
+        columns = [pa.array([b"".join(b) for b in bags], pa.binary()), *(pa.array(c, pa.binary()) for c in (list(zip(*packed)) or [(), ()]))]
+        yield pa.record_batch([batch.column("lang"), batch.column("source"), *columns], ["lang", "source", "terms", "lengths", "counts"])
 
 
 def bags(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, terms, counts) for each row of df: its distinct terms and how often it holds each."""
+    """(lang, source, terms, lengths, counts) for each row of df: its distinct terms one after another, the bytes of each, and how often it
+    holds each; both are packed numbers of 32 bits, as a row is one text."""
     plain = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
     docs = df.select(*plain).withColumn("text", F.col("text").cast("binary"))
-    return docs.mapInArrow(_bags, "lang string, source string, terms array<binary>, counts array<long>")
+    return docs.mapInArrow(_bags, "lang string, source string, terms binary, lengths binary, counts binary")
+
+
+def _numbers(packed: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all packed numbers, how many of each row)."""
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(packed.buffers()[2] or b"", np.int32)[ends[0] // 4 : ends[-1] // 4], np.diff(ends) // 4
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.DictionaryArray, np.ndarray, np.ndarray]]:
+    """(language, its rows, their terms one after another, the bytes of each distinct one, the row of each)."""
+    langs = batch.column("lang").dictionary_encode()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        rows = batch.filter(pa.compute.equal(langs.indices, k))
+        lengths, each = _numbers(rows.column("lengths"))
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        terms = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), rows.column("terms").buffers()[2]]).dictionary_encode()
+        yield lang, rows, terms, pa.compute.binary_length(terms.dictionary).to_numpy(), np.repeat(np.arange(rows.num_rows), each)
 
 
 class Survivors:
@@ -82,51 +99,36 @@ def _signed_safe(bits: int) -> int:
     return bits
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray]]:
-    """(language, its rows, their terms in a row, the row of each term)."""
-    langs = batch.column("lang").dictionary_encode()
-    code = langs.indices.to_numpy()
-    for k, lang in enumerate(langs.dictionary.to_pylist()):
-        rows = np.flatnonzero(code == k)
-        lists = batch.column("terms").take(pa.array(rows))
-        lengths = np.diff(lists.offsets.to_numpy())
-        yield lang, rows, lists.flatten(), np.repeat(np.arange(len(rows)), lengths)
-
-
 def _prefix_documents(level: int, before: int, survivors: Survivors | None):
     """(lang, prefix, n): in how many documents terms with a surviving prefix have which prefix of `level` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], int] = defaultdict(int)
         for batch in batches:
-            for lang, _, flat, doc in _by_lang(batch):
-                coded = flat.dictionary_encode()
-                alive, number, prefixes = survivors.of(lang) if survivors else None, {}, np.full(len(coded.dictionary), -1, np.int64)
-                for i, w in enumerate(coded.dictionary.to_pylist()):
-                    if alive is None or len(w) >= before and alive(w[:before]):
-                        prefixes[i] = number.setdefault((w + b"\0")[:level], len(number))
-                of = prefixes[coded.indices.to_numpy()]
-                each = np.unique((doc * max(1, len(number)) + of)[of >= 0])  # a document counts once
-                for p, n in zip(number, np.bincount(each % max(1, len(number)), minlength=len(number)).tolist(), strict=True):
-                    held[lang, p] += n
-            if len(held) > HELD:
-                yield _table(held)
-                held.clear()
-        yield _table(held)
+            for lang, _, terms, size, doc in _by_lang(batch):
+                at = np.flatnonzero(size >= before)
+                if survivors:
+                    begin = pa.compute.binary_slice(terms.dictionary.take(pa.array(at)), 0, before).to_pylist()
+                    at = at[np.fromiter(map(survivors.of(lang), begin), bool, len(at))]
+                ended = pa.compute.binary_join_element_wise(terms.dictionary.take(pa.array(at)), b"\0", b"")
+                prefixes = pa.compute.binary_slice(ended, 0, level).dictionary_encode()
+                number = np.full(len(size), -1, np.int64)
+                number[at] = prefixes.indices.to_numpy()
+                index = terms.indices.to_numpy()
+                of, wide = number[index], len(prefixes.dictionary)
+                whole = (of >= 0) & (size < level)[index]  # complete terms are distinct in a document; longer ones may share a prefix
+                n = np.bincount(of[whole], minlength=wide)
+                cut = (of >= 0) & ~whole
+                n += np.bincount(np.unique(doc[cut] * max(1, wide) + of[cut]) % max(1, wide), minlength=wide)
+                yield pa.record_batch([pa.array([lang] * wide, pa.string()), prefixes.dictionary, pa.array(n)], ["lang", "prefix", "n"])
 
     return run
 
 
-def _table(held: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-    langs, prefixes = zip(*held, strict=True) if held else ((), ())
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "prefix", "n"])
-
-
 def kept_terms(held: DataFrame, least: int = LEAST_DOCUMENTS, first: int = FIRST_LEVEL, bits: int = BITS) -> DataFrame:
     """(lang, term): the terms of bags() in at least `least` documents of a language, by levels of prefixes until all are complete."""
     level, before, survivors, done = first, 0, None, []
     while True:
-        counted = held.select("lang", "terms").mapInArrow(_prefix_documents(level, before, survivors), "lang string, prefix binary, n long")
+        counted = held.select("lang", "terms", "lengths").mapInArrow(_prefix_documents(level, before, survivors), "lang string, prefix binary, n long")
         frequent = written(counted.groupBy("lang", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
         complete = F.substring("prefix", -1, 1) == F.lit(b"\0")
         done.append(frequent.where(complete).select("lang", F.substring(F.col("prefix"), F.lit(1), F.octet_length("prefix") - 1).alias("term")))
@@ -144,35 +146,26 @@ def _occurrences(survivors: Survivors):
     """(lang, source, term, n): how often the texts of a source hold the terms that may be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, bytes], int] = defaultdict(int)
         for batch in batches:
-            counts, sources = batch.column("counts"), np.array(batch.column("source").to_pylist(), object)
-            for lang, rows, flat, doc in _by_lang(batch):
-                coded, alive = flat.dictionary_encode(), survivors.of(lang)
-                words = coded.dictionary.to_pylist()
-                may = np.fromiter(map(alive, words), bool, len(words))
-                names, source = np.unique(sources[rows], return_inverse=True)
-                index = coded.indices.to_numpy()
-                key, n = source[doc] * max(1, len(words)) + index, counts.take(pa.array(rows)).flatten().to_numpy()
-                each, at = np.unique(key[may[index]], return_inverse=True)
-                sums = np.zeros(len(each), np.int64)
-                np.add.at(sums, at, n[may[index]])
-                for k, s in zip(each.tolist(), sums.tolist(), strict=True):
-                    held[lang, str(names[k // len(words)]), words[k % len(words)]] += s
-            if len(held) > HELD:
-                yield _counts(held)
-                held.clear()
-        yield _counts(held)
+            for lang, rows, terms, size, doc in _by_lang(batch):
+                may = np.fromiter(map(survivors.of(lang), terms.dictionary.to_pylist()), bool, len(size))
+                sources = rows.column("source").dictionary_encode()
+                index = terms.indices.to_numpy()
+                key = sources.indices.to_numpy()[doc].astype(np.int64) * max(1, len(size)) + index
+                counts, held = _numbers(rows.column("counts"))[0][may[index]], key[may[index]]
+                if len(sources.dictionary) * len(size) <= 8 * len(key):
+                    sums = np.bincount(held, counts, len(sources.dictionary) * len(size))
+                    each = np.flatnonzero(sums)
+                    sums = sums[each]
+                else:
+                    each, at = np.unique(held, return_inverse=True)
+                    sums = np.bincount(at, counts, len(each))
+                term, source = (x.take(pa.array(i)) for x, i in ((terms.dictionary, each % max(1, len(size))), (sources.dictionary, each // max(1, len(size)))))
+                yield pa.record_batch([pa.array([lang] * len(each), pa.string()), source, term, pa.array(sums.astype(np.int64))], ["lang", "source", "term", "n"])
 
     return run
 
 
-def _counts(held: dict[tuple[str, str, bytes], int]) -> pa.RecordBatch:
-    columns = zip(*held, strict=True) if held else ((), (), ())
-    kinds = (pa.string(), pa.string(), pa.binary())
-    return pa.record_batch([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(held.values(), pa.int64())], ["lang", "source", "term", "n"])
-
-
 def _p(n: str, total: str) -> Column:
     """1 + floor(10**9 (n + 2) / total); decimals, as the product may pass 64 bits."""
     return F.expr(f"1 + cast({SCALE} as decimal(10,0)) * cast({n} + 2 as decimal(19,0)) div cast({total} as decimal(20,0))")
