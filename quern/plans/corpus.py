@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import noisy, normal, title
 from quern.operators.ranking import top_k
 from quern.plans.registry import registry
+from quern.sources.scratch import shared_dir
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -119,6 +120,23 @@ def upsert_latest(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("user_id", "event_type", "m.event_id", "m.value")
 
 
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_stream(spark, d):
+    """The same from a stream in several batches, whose work fails for every seventh event at first; failures are tried again until none is left."""
+    from quern.streaming.upsert import latest, retry, upserts
+
+    path, rows = shared_dir(spark), read(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    rows.repartition(4).write.parquet(f"{path}/in")
+    work = lambda r: r.withColumn("ok", (F.col("event_id") % 7 != 0) | (F.col("attempt") > 0))
+    run = upserts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), f"{path}/out", work).trigger(availableNow=True).start()
+    run.awaitTermination()
+    tried = rows.withColumn("attempt", F.lit(0)).schema
+    batch = run.lastProgress["batchId"]
+    while (then := retry(spark, f"{path}/out", tried, work, batch)) > batch:
+        batch = then
+    return latest(spark, f"{path}/out", tried, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def fetch_queue_antijoin(spark, d):
     return _docs(spark, d).join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")

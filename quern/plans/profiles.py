@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.ranking import sent_whole, top_k
 from quern.plans.registry import registry
 from quern.plans.routing import CLASSIFIED, QUESTIONS, classified, questions
+from quern.sources.scratch import shared_dir
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -235,7 +236,7 @@ def mine_patterns(spark, d):
 # --- citations of answers -----------------------------------------------------------------
 
 #: An answer with groups of references in brackets, of which four exist.
-_ANSWER = "substr(text, 1, 60) || ' [' || (turn % 5 + 1) || ',' || (conv_id % 7) || ']  and [9] then [' || (conv_id % 3 + 1) || ', ' || (turn % 4) || ' ] or [ ] end [2]'"
+_ANSWER = "text || ' [' || (turn % 5 + 1) || ',' || (conv_id % 7) || ']  and [9] then [' || (conv_id % 3 + 1) || ', ' || (turn % 4) || ' ] or [ ] end [2]'"
 _GROUP = r"\[([0-9, \t]+)\]"
 _VALID = ("1", "2", "3", "4")
 _IDS = f"list_filter(list_transform(flatten(list_transform(regexp_extract_all(a, '{_GROUP}', 1), lambda g: string_split(g, ','))), lambda n: trim(n)), lambda n: regexp_matches(n, '^[0-9]+$'))"
@@ -286,6 +287,29 @@ def citation_stream_map(spark, d):
     return _answers(spark, d).select("conv_id", "turn", rewritten(F.col("a"), F.col("seen")).alias("answer"), m.alias("citation_map"))
 
 
+#: Thoughts before an answer, and the length of a token, which cuts the separator between them anywhere.
+_THOUGHT, _TOKEN = "'It was asked [' || turn || '] <think of [3]' || role", 7
+
+
+@query(f"""WITH {_CITED} SELECT conv_id, turn, {_renumbered_sql('seen')} AS answer, array_to_string(list_transform(seen, lambda n, i: n || '>' || i), ',') AS citation_map FROM od""")
+def answer_stream(spark, d):
+    """Answers put together from a stream of tokens, without what was thought before the separator, with their map at the end."""
+    from quern.streaming.answers import SEPARATOR, assembled
+
+    path = shared_dir(spark)
+    whole = read(spark, d, "conversations").where("role = 'assistant' and text is not null").select("conv_id", "turn", F.concat(F.expr(_THOUGHT), F.lit(SEPARATOR), F.expr(_ANSWER)).alias("a"))
+    n = F.ceil(F.length("a") / _TOKEN).cast("int")
+    at = F.sequence(F.lit(0), n - 1)
+    tokens = whole.select("conv_id", "turn", "a", n.alias("n"), F.explode(at).alias("i")).select("conv_id", "turn", "i", F.col("a").substr(F.col("i") * _TOKEN + 1, F.lit(_TOKEN)).alias("token"), (F.col("i") + 1 == F.col("n")).alias("last"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("i")).alias("ts"))
+    tokens.repartition(4, "conv_id", "i").write.parquet(f"{path}/tokens")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/tokens").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/tokens")
+    run = assembled(stream).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema("conv_id long, turn long, kind string, text string").parquet(f"{path}/rows").where("kind = 'answer'").withColumn("seen", F.array_distinct(cited(F.col("text"))))
+    m = F.array_join(F.transform("seen", lambda n, i: F.concat(n, F.lit(">"), (i + 1).cast("string"))), ",")
+    return rows.select("conv_id", "turn", rewritten(F.col("text"), F.col("seen")).alias("answer"), m.alias("citation_map"))
+
+
 _KEPT = r"list_filter(list_transform(string_split(g, ','), lambda n: trim(n)), lambda n: regexp_matches(n, '^[1-3]$'))"
 
 

@@ -51,6 +51,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing will read again."""
     for t in tables:
