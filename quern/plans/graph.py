@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from quern.operators.hops import doubled, hops, inner_edges
 from quern.operators.ranking import lexical_index, quoted, sent_whole, top_k
 from quern.plans.registry import registry
 from quern.sources.scratch import written
-from quern.sources.tables import read
+from quern.sources.tables import read, stamp
 
 QUERIES, ORACLES, query = registry()
 
@@ -29,21 +30,23 @@ def _nodes(spark, d):
     return reduce(lambda x, y: x.union(y), [made("part", "P:", "p_partkey", "gene"), made("supplier", "S:", "s_suppkey", "locus"), made("nation", "N:", "n_nationkey", "place"), made("region", "R:", "r_regionkey", "zone")])
 
 
-_stores: dict[tuple[str, str], tuple] = {}
+_TABLES = ("lineitem", "supplier", "nation", "part", "region")
+_stores: dict[tuple, tuple] = {}
 
 
 def graph_store(spark, d):
-    """(nodes, edges) of the folder as stored tables; a session builds them once."""
-    key = (spark.sparkContext.applicationId, d)
+    """(nodes, edges, edges in both directions) of the folder as stored tables; built once a session and again when files have changed."""
+    key = (spark.sparkContext.applicationId, d, *(stamp(spark, d, t) for t in _TABLES))
     if key not in _stores:
-        _stores[key] = written(_nodes(spark, d)), written(_edges(spark, d))
+        edges = written(_edges(spark, d))
+        _stores[key] = written(_nodes(spark, d)), edges, written(doubled(edges))
     return _stores[key]
 
 
 @query(f"WITH {_EDGES}, {_NODES} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges")
 def kg_store(spark, d):
     """The graph as it is stored and read again."""
-    nodes, edges = graph_store(spark, d)
+    nodes, edges, _ = graph_store(spark, d)
     return nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row
 
 
@@ -69,23 +72,42 @@ h2 AS (SELECT root, z AS node FROM h1 JOIN b ON a = node UNION SELECT root, node
 @query(f"""WITH {_HOPS}, i AS (SELECT h.root, count(*) AS edges FROM h2 h JOIN e ON e.src = h.node JOIN h2 g ON g.root = h.root AND g.node = e.dst GROUP BY h.root)
 SELECT root, count(*) AS nodes, count(*) FILTER (node LIKE 'P:%') AS genes, count(*) FILTER (node LIKE 'S:%') AS loci, count(*) FILTER (node LIKE 'N:%') AS places, coalesce(max(edges), 0) AS edges FROM h2 LEFT JOIN i USING (root) GROUP BY root""")
 def kg_khop(spark, d):
-    """Two undirected hops around every hundredth part, and the edges between what they reach.
-
-    Edges are stored once; a frontier carries only (root, node), is made distinct before the next hop, and hot nodes are split by the join.
-    """
-    e = graph_store(spark, d)[1].select("src", "dst")
-    both = written(e.union(e.select("dst", "src")).toDF("node", "z").distinct())
-    zero = read(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("root")).withColumn("node", F.col("root"))
-    hop = lambda f: f.join(both, "node").select("root", F.col("z").alias("node"))
-    one = written(hop(zero).distinct())
-    seen = written(hop(one).union(one).union(zero).distinct())
-    ends = e.join(seen.select("root", F.col("node").alias("src")), "src").select("root", F.col("dst").alias("node"))
-    inside = ends.join(seen, ["root", "node"], "left_semi").groupBy("root").agg(F.count("*").alias("edges"))
-    of = lambda kind: F.count_if(F.col("node").startswith(kind))
-    n = seen.groupBy("root").agg(F.count("*").alias("nodes"), of("P:").alias("genes"), of("S:").alias("loci"), of("N:").alias("places"))
+    """Two undirected hops around every hundredth part, and the edges between what they reach."""
+    _, edges, both = graph_store(spark, d)
+    seen = written(hops(both, _roots(spark, d, 100), 2))
+    inside = inner_edges(seen, edges).groupBy("root").agg(F.count("*").alias("edges"))
+    n = seen.groupBy("root").agg(F.count("*").alias("nodes"), *_kinds())
     return n.join(inside, "root", "left").select("root", "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def _roots(spark, d, every):
+    return read(spark, d, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("root"))
+
+
+def _kinds():
+    return [F.count_if(F.col("node").startswith(kind)).alias(name) for kind, name in (("P:", "genes"), ("S:", "loci"), ("N:", "places"))]
+
+
+_DEEP = 4
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS a, dst AS z FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT 'P:' || p_partkey AS root FROM part WHERE p_partkey % 500 = 0),
+w AS (SELECT root, root AS node, 0 AS depth FROM h0 UNION SELECT w.root, b.z, w.depth + 1 FROM w JOIN b ON b.a = w.node WHERE w.depth < {_DEEP}),
+s AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY ALL), i AS (SELECT x.root, greatest(x.depth, y.depth) AS depth FROM e JOIN s x ON x.node = e.src JOIN s y ON y.node = e.dst AND y.root = x.root),
+k AS (SELECT root, k FROM h0, unnest(generate_series(1, {_DEEP})) AS t(k))
+SELECT root, k, (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k) AS nodes, (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k AND node LIKE 'P:%') AS genes,
+ (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k AND node LIKE 'S:%') AS loci, (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k AND node LIKE 'N:%') AS places,
+ (SELECT count(*) FROM i WHERE i.root = k.root AND depth <= k) AS edges FROM k""")
+def kg_khop_depths(spark, d):
+    """One to four hops around every five hundredth part: nodes by kind, and the edges between them, at each depth."""
+    _, edges, both = graph_store(spark, d)
+    seen = written(hops(both, _roots(spark, d, 500), _DEEP))
+    depths = F.explode(F.sequence(F.greatest("depth", F.lit(1)), F.lit(_DEEP))).alias("k")  # what is there at a depth is there at all further ones
+    n = seen.select("root", "node", depths).groupBy("root", "k").agg(F.count("*").alias("nodes"), *_kinds())
+    inside = inner_edges(seen, edges).groupBy("root", "depth").agg(F.count("*").alias("n")).select("root", "n", depths).groupBy("root", "k").agg(F.sum("n").alias("edges"))
+    return n.join(inside, ["root", "k"], "left").select("root", F.col("k").cast("long").alias("k"), "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 @query("""WITH e AS (SELECT DISTINCT 'supplier' AS relation, l_partkey AS p, CAST(l_suppkey AS VARCHAR) AS s FROM lineitem UNION ALL SELECT 'kind', p_partkey, p_type || '/' || p_size FROM part)
 SELECT a.p AS gene_a, b.p AS gene_b, a.relation, count(*) AS shared, min(a.s) AS first_shared FROM e a JOIN e b ON a.relation = b.relation AND a.s = b.s AND a.p <> b.p WHERE a.p % 100 = 0 GROUP BY ALL HAVING count(*) >= CASE WHEN a.relation = 'kind' THEN 1 ELSE 2 END""")
 def kg_shared(spark, d):

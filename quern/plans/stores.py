@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.registry import registry
 from quern.sources.scratch import replace_folder, shared_dir
-from quern.sources.tables import find_column, first_filled, read, read_csv, read_files, read_json
+from quern.sources.tables import find_column, first_filled, read, read_csv, read_files, read_json, read_mixed_csv
 
 QUERIES, ORACLES, query = registry()
 
@@ -20,6 +20,24 @@ def csv_read(spark, d):
     return read_csv(spark, path).drop("wide　name")
 
 
+@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'utf-8-sig' ELSE 'gb18030' END AS encoding, count(*) AS rows, CAST(sum(p_size) AS BIGINT) AS sizes, md5(string_agg(p_name || CASE p_partkey % 3 WHEN 0 THEN '' ELSE '高粱' END, '|' ORDER BY p_partkey)) AS names_md5, 0 AS bad FROM part GROUP BY 1
+UNION ALL SELECT 'latin-1', 1, 7, md5('blé'), 2""")
+def csv_mixed(spark, d):
+    """A folder of CSV files of several encodings and orders of columns, read once each; lines of the wrong length are counted."""
+    path, p = shared_dir(spark), read(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    p.where("p_partkey % 3 = 0").write.csv(f"{path}/a", header=True)
+    p.where("p_partkey % 3 <> 0").select("p_size", F.concat("p_name", F.lit("高粱")).alias("p_name"), "p_partkey").write.csv(f"{path}/b", header=True, encoding="GB18030")
+    # one file of one value: a header, a row in a third encoding, and two lines that do not fit
+    spark.range(1).select(F.lit("p_partkey,p_name,p_size\n1,blé,7\n2,x\n3,y,8,9").alias("v")).coalesce(1).write.option("quote", "").option("escape", "").option("sep", "\x01").csv(f"{path}/c", encoding="ISO-8859-1")
+    rows, bad = read_mixed_csv(spark, path)
+    key = F.col("p_partkey").cast("long")
+    name = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), "p_name"))), lambda x: x["p_name"]), "|")  # one text of names, as they are compared
+    n = rows.groupBy(F.col("_encoding").alias("encoding")).agg(F.count("*").alias("rows"), F.sum(F.col("p_size").cast("long")).alias("sizes"), F.md5(name).alias("names_md5"))
+    of = rows.select("_file", "_encoding").distinct().join(bad.groupBy("_file").agg(F.count("*").alias("bad")), "_file").groupBy(F.col("_encoding").alias("encoding")).agg(F.sum("bad").alias("bad"))
+    return n.join(of, "encoding", "left").select("encoding", "rows", "sizes", "names_md5", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
 @query("SELECT p_partkey, p_name AS title, p_type AS kind, p_retailprice AS file FROM part")
 def column_discovery(spark, d):
     """Columns by lists of names that they may go by; the file's column falls back to the last one."""
@@ -68,10 +86,10 @@ def hash_dedup_in_run(spark, d):
     return f.groupBy("h").agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("skipped")).drop("h")
 
 
-@query("SELECT vec_id, label, source, substr(text, 1, 80) AS head FROM embeddings JOIN documents ON doc_id = vec_id")
+@query("SELECT vec_id, label, source, text FROM embeddings JOIN documents ON doc_id = vec_id")
 def vector_store(spark, d):
     """Vectors with their texts."""
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.substring("text", 1, 80).alias("head"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
     return read(spark, d, "embeddings").select("vec_id", "label").join(texts, "vec_id")
 
 

@@ -54,3 +54,16 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_a_folder_of_several_encodings(spark, tmp_path):
+    from quern.sources.tables import read_mixed_csv
+
+    (tmp_path / "a.csv").write_bytes("名字,n\n高粱,1\n\"two\nlines\",2\n".encode("gb18030"))
+    (tmp_path / "b.csv").write_bytes("n,名字,more\n3,maïs,x\n4,too,many,fields\n5,few\n".encode("utf-8-sig"))
+    (tmp_path / "c.csv").write_bytes("n\né\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes(b"")
+    rows, bad = read_mixed_csv(spark, str(tmp_path))
+    got = sorted((r["_file"][-5:], r["_encoding"], r["n"], r["名字"], r["more"]) for r in rows.collect())
+    assert got == [("a.csv", "gb18030", "1", "高粱", None), ("a.csv", "gb18030", "2", "two\nlines", None), ("b.csv", "utf-8-sig", "3", "maïs", "x"), ("c.csv", "latin-1", "é", None, None)]
+    assert sorted((r["_file"][-5:], r["line"], r["text"]) for r in bad.collect()) == [("b.csv", 3, "4,too,many,fields"), ("b.csv", 4, "5,few")]
