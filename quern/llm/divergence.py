@@ -143,7 +143,7 @@ def kept_terms(held: DataFrame, least: int = LEAST_DOCUMENTS, first: int = FIRST
 
 
 def _occurrences(survivors: Survivors):
-    """(lang, source, term, n): how often the texts of a source hold the terms that may be kept."""
+    """(lang, term, sources, counts): how often the texts of which sources hold a term that may be kept, one row for a term and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +160,12 @@ def _occurrences(survivors: Survivors):
                 else:
                     each, at = np.unique(held, return_inverse=True)
                     sums = np.bincount(at, counts, len(each))
-                term, source = (x.take(pa.array(i)) for x, i in ((terms.dictionary, each % max(1, len(size))), (sources.dictionary, each // max(1, len(size)))))
-                yield pa.record_batch([pa.array([lang] * len(each), pa.string()), source, term, pa.array(sums.astype(np.int64))], ["lang", "source", "term", "n"])
+                order = np.lexsort((each // max(1, len(size)), each % max(1, len(size))))
+                word, source = each[order] % max(1, len(size)), each[order] // max(1, len(size))
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(first, len(word)), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, x) for x in (sources.dictionary.take(pa.array(source)), pa.array(sums[order].astype(np.int64))))
+                yield pa.record_batch([pa.array([lang] * len(first), pa.string()), terms.dictionary.take(pa.array(word[first])), *lists], ["lang", "term", "sources", "counts"])
 
     return run
 
@@ -182,53 +186,73 @@ def _shared_sums(wide: int, high: int):
     sources; sums stay in a matrix of the tile (of `wide` sources, or of two times as many), so pairs are sent once for a tile and not for a term.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, base, sums, terms, place, source, p = None, None, None, 0, [], [], []
-        last = None
-
-        def add() -> None:
-            nonlocal terms, place, source, p
-            if terms:
-                grid, there = np.zeros((terms, sums.shape[0]), np.int64), np.zeros((terms, sums.shape[0]), bool)
-                grid[place, source], there[place, source] = p, True
-                seen = np.flatnonzero(there.any(axis=0))
-                grid, there, zero = grid[:, seen], there[:, seen], base[seen]
-                value = lambda x, y: (x - y) ** 2 // np.maximum(x + y, 1)
-                for k, a in enumerate(seen.tolist()):
-                    rows = there[:, k]
-                    own, others = grid[rows, k][:, None], grid[rows, k + 1 :]
-                    both = value(own, others) - value(own, zero[None, k + 1 :]) - value(zero[k], others) + value(zero[k], zero[k + 1 :])[None]
-                    sums[a, seen[k + 1 :]] += (both * there[rows, k + 1 :]).sum(axis=0)
-            terms, place, source, p = 0, [], [], []
-
-        def send() -> pa.RecordBatch:
-            lang, i, j = tile
-            a, b = np.nonzero(sums)
+    value = lambda x, y: (x - y) ** 2 // np.maximum(x + y, 1)
+
+    class Tile:
+        def __init__(self, lang: str, i: int, j: int):
+            self.of, self.width = (lang, i, j), wide if i == j else 2 * wide
+            self.sums, self.base = np.zeros((self.width, self.width), np.int64), np.zeros(self.width, np.int64)
+            self.last, self.held = None, np.zeros((3, 0), np.int64)  # the last term; rows of (number of the term, place of the source, p)
+
+        def take(self, rows: pa.RecordBatch) -> None:
+            s, p, zero = (rows.column(c).to_numpy() for c in (4, 5, 6))
+            terms = rows.column(3).dictionary_encode()
+            code = terms.indices.to_numpy()
+            new = np.concatenate([[terms.dictionary[int(code[0])].as_py() != self.last], code[1:] != code[:-1]])
+            first = self.held[0, -1] if self.held.shape[1] else -1
+            _, i, j = self.of
+            at = s % wide + (wide if i != j else 0) * (s // wide == j)
+            self.base[at] = zero
+            self.held = np.concatenate([self.held, [first + np.cumsum(new), at, p]], axis=1)
+            self.last = terms.dictionary[int(code[-1])].as_py()
+            self.add(int(self.held[0, -1]) // high * high)  # the last term may go on in the next batch
+
+        def add(self, upto: int) -> None:
+            begin = int(self.held[0, 0]) if self.held.shape[1] else upto
+            for start in range(begin, upto, high):
+                a, z = np.searchsorted(self.held[0], [start, min(start + high, upto)])
+                self.block(self.held[0, a:z] - start, self.held[1, a:z], self.held[2, a:z])
+            self.held = self.held[:, np.searchsorted(self.held[0], upto) :]
+
+        def block(self, term: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+            seen, column = np.unique(at, return_inverse=True)
+            grid, there = np.zeros((high, len(seen)), np.int64), np.zeros((high, len(seen)), bool)
+            grid[term, column], there[term, column] = p, True
+            zero = self.base[seen]
+            for k, source in enumerate(seen.tolist()):
+                rows = there[:, k]
+                own, others = grid[rows, k][:, None], grid[rows, k + 1 :]
+                both = value(own, others) - value(own, zero[None, k + 1 :]) - value(zero[k], others) + value(zero[k], zero[k + 1 :])[None]
+                self.sums[source, seen[k + 1 :]] += (both * there[rows, k + 1 :]).sum(axis=0)
+
+        def rows(self) -> pa.RecordBatch:
+            if self.held.shape[1]:
+                self.add(int(self.held[0, -1]) + 1)
+            lang, i, j = self.of
+            a, b = np.nonzero(self.sums)
             if i != j:  # pairs inside one tile are another task's
                 across = (a < wide) & (b >= wide)
                 a, b = a[across], b[across]
             number = lambda x: np.where(x < wide, i * wide + x, j * wide + x - wide)
-            return pa.record_batch([pa.array([lang] * len(a), pa.string()), pa.array(number(a)), pa.array(number(b)), pa.array(sums[a, b])], ["lang", "a", "b", "value"])
+            return pa.record_batch([pa.array([lang] * len(a), pa.string()), pa.array(number(a)), pa.array(number(b)), pa.array(self.sums[a, b])], ["lang", "a", "b", "value"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
         for batch in batches:
-            for lang, i, j, term, s, x, zero in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, i, j) != tile:
+            if not batch.num_rows:
+                continue
+            langs = batch.column(0).dictionary_encode()
+            keys = np.stack([langs.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+            starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                of = (langs.dictionary[int(keys[0, a])].as_py(), int(keys[1, a]), int(keys[2, a]))
+                if tile is None or tile.of != of:
                     if tile:
-                        add()
-                        yield send()
-                    tile, last = (lang, i, j), None
-                    width = wide if i == j else 2 * wide
-                    sums, base = np.zeros((width, width), np.int64), np.zeros(width, np.int64)
-                if term != last:
-                    if terms == high:
-                        add()
-                    last, terms = term, terms + 1
-                at = s % wide + (wide if s // wide == j != i else 0)
-                base[at] = zero
-                place.append(terms - 1), source.append(at), p.append(x)
+                        yield tile.rows()
+                    tile = Tile(*of)
+                tile.take(batch.slice(a, z - a))
         if tile:
-            add()
-            yield send()
+            yield tile.rows()
 
     return run
 
@@ -268,8 +292,10 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     """
     held = written(bags(df, text, lang, source))
     kept = written(kept_terms(held, least, first, bits))
-    likely = held.mapInArrow(_occurrences(Survivors(kept, "term", _signed_safe(bits))), "lang string, source string, term binary, n long")
-    exact = likely.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
+    likely = held.mapInArrow(_occurrences(Survivors(kept, "term", _signed_safe(bits))), "lang string, term binary, sources array<string>, counts array<long>")
+    # dealt by (lang, term) once, which serves the sums, the join and the window
+    parts = likely.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    exact = parts.groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n")).join(kept, ["lang", "term"])
     in_lang = F.sum("n").over(Window.partitionBy("lang", "term"))  # one row for each source
     counted = written(exact.withColumn("lang_n", in_lang))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
