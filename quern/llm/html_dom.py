@@ -40,6 +40,7 @@ TOKEN_GROUPS = [
     {"share", "social", "sharing", "related", "recommended", "more", "popular", "trending", "tags", "links", "teaser", "trends", "read", "teilen", "partager", "compartir", "mehr"},
     {"content", "article", "main", "post", "entry", "body", "text", "story", "page", "prose", "paragraph", "inhalt", "artikel", "beitrag", "contenu", "contenido", "texte", "texto", "articulo", "haupt"},
 ]
+COMMENTS = 7  # the group of readers' comments
 
 
 class Node:
@@ -158,7 +159,7 @@ def parse(source: str) -> list[Node]:
     return nodes
 
 
-FEATURES = len(TAGS) + 2 * len(TOKEN_GROUPS) + 17
+FEATURES = len(TAGS) + 3 * len(TOKEN_GROUPS) + 19
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -173,17 +174,18 @@ _TAG_BITS = {tag: 1 << g for tag, g in (("nav", 0), ("header", 1), ("footer", 2)
 
 
 def figures(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: its tag, tokens (own and above), text and link density of its subtree, depth, siblings."""
+    """A row for each node: its tag, tokens (own, above and below), text and link density of its subtree, depth, siblings."""
     n = len(nodes)
     number = {id(x): i for i, x in enumerate(nodes)}
     parent = [number[id(x.parent)] if x.parent else 0 for x in nodes]
     chars, links, marks, blocks, paragraphs = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    own_bits, above, alike = [0] * n, [0] * n, [1] * n
+    own_bits, above, below, alike, digits = [0] * n, [0] * n, [0] * n, [1] * n, [0] * n
     for i, x in enumerate(nodes):
         for _, text, linked in x.blocks:
             size = len(text)
             chars[i] += size
             links[i] += min(linked, size)
+            digits[i] += sum(map(str.isdigit, text)) if size < 40 else 0
             marks[i] += text.count(". ") + text.endswith(".") + text.count(",")
         blocks[i] = len(x.blocks)
         paragraphs[i] = int(x.tag == "p" and blocks[i] > 0)
@@ -199,6 +201,7 @@ def figures(nodes: list[Node]) -> np.ndarray:
     own_chars, own_links, elements = np.array(chars), np.array(links), [1] * n
     for i in range(n - 1, 0, -1):  # children come after their parents
         p = parent[i]
+        below[p] |= below[i] | own_bits[i] | _TAG_BITS.get(nodes[i].tag, 0)
         chars[p] += chars[i]
         links[p] += links[i]
         marks[p] += marks[i]
@@ -213,7 +216,8 @@ def figures(nodes: list[Node]) -> np.ndarray:
     bits = np.arange(groups)
     out[:, base : base + groups] = np.array(own_bits)[:, None] >> bits & 1
     out[:, base + groups : base + 2 * groups] = np.array(above)[:, None] >> bits & 1
-    rest, up = out[:, base + 2 * groups :], np.array(parent)
+    out[:, base + 2 * groups : base + 3 * groups] = np.array(below)[:, None] >> bits & 1
+    rest, up = out[:, base + 3 * groups :], np.array(parent)
     siblings = np.array([len(x.parent.children) if x.parent else 1 for x in nodes])
     c, link, paragraph = np.array(chars), np.array(links), np.array(paragraphs)
     some = np.maximum(1, c)
@@ -232,4 +236,8 @@ def figures(nodes: list[Node]) -> np.ndarray:
     rest[:, 14] = link[up] / some[up]
     rest[:, 15] = np.log1p(paragraph[up])
     rest[:, 16] = np.arange(n) / n
+    rest[:, 17] = np.array(digits) / np.maximum(1, own_chars)
+    # a heading is known by what stands beside it: the comments' bits of its siblings
+    beside = np.array([0, *(below[parent[i]] & ~(below[i] | own_bits[i]) for i in range(1, n))])
+    rest[:, 18] = beside >> COMMENTS & 1
     return out

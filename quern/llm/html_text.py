@@ -95,7 +95,13 @@ class _Writer:
     def comments(self) -> str:
         r = self.r
         one = lambda: r.choice((f'<div class="comment" data-mark="0"><p data-mark="0">{self.sentences(1, 5)}</p></div>', f'<li class="comment" data-mark="0"><b>{self.words(1, 2)}</b> {self.sentences(1, 4)}</li>', f'<p data-mark="0">{self.sentences(1, 4)}</p>'))
-        return self.box("section", "comments", f'<h2 data-mark="0">{self.words(1, 2)}</h2>' + "".join(one() for _ in range(r.randint(1, 6))), 0)
+        head = r.choice(("h2", "h3", "h4", "p"))
+        title = r.choice((self.words(1, 2), f"{r.randint(1, 400)} {self.words(1, 1)}", f"{self.words(1, 1)} ({r.randint(0, 99)})"))
+        inside = f'<{head} data-mark="0">{title}</{head}>' + "".join(one() for _ in range(r.randint(1, 6)))
+        if r.random() < 0.2:  # the box says nothing, its comments do
+            inside = inside.replace('<p data-mark="0">', '<p class="comment" data-mark="0">')
+            return f'<div id="{self.name("comments", 1)}" data-mark="0">{inside}</div>'
+        return self.box("section", "comments", inside, 0)
 
     def footer(self) -> str:
         r = self.r
@@ -108,8 +114,9 @@ class _Writer:
     def paragraphs(self) -> str:
         r = self.r
         out = []
-        for _ in range(r.choice((1, 2, 3, 5, 8, 12, 20))):
-            k = r.random()
+        n = r.choice((1, 1, 2, 3, 5, 8, 12, 20))
+        for _ in range(n):
+            k = r.random() * (0.72 if n == 1 else 1)  # what stands alone is a paragraph
             if k < 0.72:
                 text = self.sentences(1, r.choice((1, 3, 6, 12)))
                 if r.random() < 0.3:
@@ -136,6 +143,8 @@ class _Writer:
         title = f'<h1 data-mark="1">{self.words(1, 12)}</h1>'
         if r.random() < 0.2:
             title = f'<header data-mark="1">{title}</header>'
+        if r.random() < 0.3:
+            title = ""
         inside = title + self.paragraphs()
         if r.random() < 0.25:
             inside += r.choice((self.comments, self.form, self.side))()
@@ -145,6 +154,8 @@ class _Writer:
         around = {"front": [self.notice, self.header, self.menu, self.advert, self.form], "back": [self.side, self.comments, self.advert, self.form, self.menu, self.notice]}
         front = "".join(f() for f in around["front"] if r.random() < 0.5)
         back = "".join(f() for f in around["back"] if r.random() < 0.35) + (self.footer() if r.random() < 0.85 else "")
+        if r.random() < 0.15:  # the article and no more
+            front = back = ""
         shape = r.random()
         if shape < 0.3:
             body = f'<div class="{r.choice(("wrapper", "container", "row", "page", self.name("body", 1)))}">{body}{self.side() if r.random() < 0.5 else ""}</div>'
@@ -189,7 +200,27 @@ def decode(nodes: list[Node], logits: np.ndarray) -> set[int]:
     for i in range(len(nodes)):
         if worth[i] > 0 and (i == 0 or parent[i] in kept):
             kept.add(i)
-    return kept
+    return kept - {number[id(x)] for x in _left_alone(nodes, kept, number)}
+
+
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _left_alone(nodes: list[Node], kept: set[int], number: dict[int, int]) -> list[Node]:
+    """Headings whose parts, up to the next heading, were all left out: they head something that is no article."""
+    out = []
+    for parent in nodes:
+        heading, some, gone = None, False, False
+        for x in [*parent.children, None]:
+            if x is None or x.tag in _HEADINGS:
+                if heading is not None and gone and not some:
+                    out.append(heading)
+                heading, some, gone = (x if x is not None and number[id(x)] in kept else None), False, False
+            elif number[id(x)] in kept:
+                some = True
+            else:
+                gone = True
+    return out
 
 
 def text_of(nodes: list[Node], logits: np.ndarray) -> str:

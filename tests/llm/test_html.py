@@ -37,6 +37,47 @@ def test_an_open_head_ends_where_the_page_begins():
         assert extracted(f"{head}<h1>Head</h1><p>{text}</p></article>") == f"Head\n{text}"
 
 
+_WORDS = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat sed diam voluptua".split()
+
+
+def _prose(sentences):
+    return " ".join(" ".join(_WORDS[(7 * i) % 11 : (7 * i) % 11 + 9]).capitalize() + "." for i in range(sentences))
+
+
+@pytest.mark.parametrize("head", ["", "<html><head><title>x</title>", "<head><title>x</title></head><body>"])
+@pytest.mark.parametrize("sentences", [2, 6, 20])
+@pytest.mark.parametrize("tag", ["article", "main", "div class=content"])
+def test_articles_of_one_paragraph(head, sentences, tag):
+    text = _prose(sentences)
+    assert extracted(f"{head}<{tag}><p>{text}</p></{tag.split()[0]}>") == text
+
+
+def test_articles_without_headings_among_other_parts():
+    """Layouts written by hand, not by the pages' writer."""
+    a, b = _prose(4), _prose(7)
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</ul></nav>"
+    foot = "<footer><p>&copy; 2024 Lorem Ltd. All rights reserved.</p></footer>"
+    aside = "<aside class=sidebar><h4>Related</h4><ul><li><a href=/a>One more</a></li><li><a href=/b>Another one</a></li></ul></aside>"
+    for page in (
+        f"<body>{nav}<article><p>{a}</p></article>{foot}</body>",
+        f"<body>{nav}<main><p>{a}</p><p>{b}</p></main>{aside}{foot}</body>",
+        f"<body><div class=cookie-banner><p>We use cookies. Accept them.</p></div>{nav}<div id=content><p>{a}</p></div>{foot}</body>",
+        f"<body><header><a href=/>Lorem</a></header><section class=story><p>{a}</p><p>{b}</p></section>{aside}</body>",
+    ):
+        got = extracted(page)
+        assert got == (f"{a}\n{b}" if b in page else a)
+
+
+@pytest.mark.parametrize("comment", ["<div class=comment><p>{}</p></div>", "<li class=comment-item>{}</li>", "<p class=comment-body>{}</p>"])
+@pytest.mark.parametrize("heading", ["<h3>3 Comments</h3>", "<h2>Comments (12)</h2>", "<h4>Responses</h4>"])
+def test_headings_of_comments_go_with_them(comment, heading):
+    a, b = _prose(5), _prose(8)
+    readers = "".join(comment.format(x) for x in ("Nice one, thanks.", "I do not agree. It was otherwise.", "First!"))
+    for box in ("<div id=zx9>{}</div>", "<section class=comments>{}</section>"):
+        page = f"<body><article><h1>Title of it</h1><p>{a}</p><p>{b}</p></article>{box.format(heading + readers)}</body>"
+        assert extracted(page) == f"Title of it\n{a}\n{b}"
+
+
 @pytest.mark.parametrize("page", ["<div>" * 70_000 + "</p>" * 70_000, "<svg>" * 150_000, '<a "' * 150_000, "<li><nav>" * 1000 + "<li></li>" * 60_000, "<b>" * 100_000 + "<p>" * 50_000])
 def test_time_grows_with_the_page(page):
     began = time.time()
