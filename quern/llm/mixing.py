@@ -51,11 +51,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Null texts have size 0; null sources are one source, the last; rows with one id and
     source (repeated rows) have one key and follow each other by size.  An empty table
-    gives no rows.  `row_col`, a unique key of the rows, orders those of equal size and gives rows
+    gives no rows.  Rows without an id have a key by their text.  `row_col`, a unique key of the rows, orders those of equal size and gives rows
     without an id keys of their own.  Long texts count whole; other columns are not looked at.
     """
     more = [row_col] if row_col else []
-    no_id = F.concat(F.lit("row "), F.col(row_col).cast("string")) if row_col else F.lit("")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    no_id = F.concat(F.lit("row "), F.col(row_col).cast("string")) if row_col else F.concat(F.lit("text "), F.md5(text))
     key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), no_id), F.lit(f"#{seed}")))
     rows = written(df.select(*more, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words(F.col(f"`{text_col}`").cast("string")).alias("size"), key.alias("key")))
     rows = rows.withColumn("range", F.substring("key", 1, DIGITS))
@@ -86,7 +87,7 @@ _WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST({_WORDS_SQL} AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#11') AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || '#11') AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
              source_size * 2.0::DOUBLE AS cap FROM s),

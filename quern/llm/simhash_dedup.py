@@ -5,8 +5,8 @@ tiles, boxes of the bit counts of their four quarters; the counts of two fingerp
 radius differ by at most the radius in all, so pairs of tiles whose boxes are further apart are never formed, and
 nothing is shuffled for them.  In a pair of tiles, blocks ordered by the same counts are skipped in the same way.
 
-There are about TILES tiles at most, which grow with the corpus beyond that, so that a fingerprint travels to a bounded number of
-tiles.  Tiles travel as packed rows.  A pair of tiles sends on only a spanning forest of its links, so that large groups of near
+There are about TILES tiles, which grow with the corpus up to MOST fingerprints each, so that a fingerprint travels to a bounded number of
+tiles until there are TILES x MOST (10**9) of them, and a task's memory is bounded at any size; beyond that tiles grow in number.  Tiles travel as packed rows.  A pair of tiles sends on only a spanning forest of its links, so that large groups of near
 copies stay linear; components() joins the forests.
 """
 
@@ -25,6 +25,7 @@ from quern.llm.shared import chunks, components, sent_whole, table, written
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE, BLOCK = 8192, 256
 TILES = 1024
+MOST = 1 << 20  # fingerprints in a tile, whatever the size of the corpus
 
 
 def _shingle_hashes(raw: bytes, width: int) -> list[int]:
@@ -157,11 +158,11 @@ def boxes(points: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
 def tile_plan(spark: SparkSession, counts: DataFrame, by: list[str], reach: int, size: int, tiles: int = TILES) -> tuple[DataFrame, DataFrame]:
     """((*by, t, slots), (t, near)) from (*by, count): each point's tile and how many slots that has, and the tiles within `reach`.
 
-    `by` are small whole numbers, so there is a bounded number of points; about `tiles` tiles at most weigh over half of `size`.
+    `by` are small whole numbers, so there is a bounded number of points; about `tiles` tiles at most weigh over half of `size`, until tiles of MOST are more than that.
     """
     rows = [tuple(r) for r in counts.collect()]
     points, weight = np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(by)), np.array([r[-1] for r in rows], np.int64)
-    size = max(size, int(weight.sum()) // tiles)
+    size = max(size, min(int(weight.sum()) // tiles, MOST))
     tile = boxes(points, weight, size)
     n = int(tile.max()) + 1 if len(tile) else 0
     low, high = np.full((n, len(by)), 1 << 30), np.full((n, len(by)), -1)
