@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import noisy, normal, title
 from quern.operators.ranking import top_k
+from quern.operators.rules import from_table, rule_hits
 from quern.plans.registry import registry
-from quern.sources.scratch import shared_dir
+from quern.sources.scratch import shared_dir, written
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -149,6 +150,30 @@ def eval_match_rate(spark, d):
     return g.withColumn("rate", F.round(F.col("matched") / F.col("n").cast("double"), 6))
 
 
+#: Names of files that a search gave, and those that are known: types of parts, whole, in part, or with more.
+_GIVEN = "lower(CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN substr(p_type, 1, 12) ELSE 'v2 ' || p_type || ' ' || p_size END)"
+
+
+@query(f"""WITH kn AS (SELECT DISTINCT lower(p_type) AS known FROM part WHERE p_partkey % 2 = 0), gi AS (SELECT DISTINCT {_GIVEN} AS name FROM part), un AS (SELECT name FROM gi WHERE name NOT IN (SELECT known FROM kn)),
+n AS (SELECT name, known, row_number() OVER (PARTITION BY name ORDER BY known) AS nth, count(*) OVER (PARTITION BY name) AS near FROM un JOIN kn ON contains(known, name) OR contains(name, known))
+SELECT un.name, coalesce(max(near), 0) AS near, coalesce(string_agg(known, '|' ORDER BY known) FILTER (nth <= 3), '') AS nearest FROM un LEFT JOIN n ON n.name = un.name GROUP BY un.name""")
+def eval_nearest_names(spark, d):
+    """Names without an equal known one, with up to three known ones that hold them or that they hold.
+
+    Names are tables of phrases for each other: one pass over the given names finds the known ones in them, another the other way round.
+    """
+    p = read(spark, d, "part")
+    known = p.where("p_partkey % 2 = 0").select(F.lower("p_type").alias("known")).distinct()
+    un = written(p.select(F.expr(_GIVEN).alias("name")).distinct().join(known.withColumnRenamed("known", "name"), "name", "left_anti"))
+    as_rules = lambda df, c: from_table(df.select(F.col(c).alias("phrase"), F.col(c).alias("label")))
+    held = rule_hits(un, F.col("name"), as_rules(known, "known")).select("name", F.explode("hits.phrase").alias("known"))
+    holding = rule_hits(known, F.col("known"), as_rules(un, "name")).select(F.explode("hits.phrase").alias("name"), "known")
+    pairs = held.union(holding).distinct()
+    first = top_k(pairs, ["name"], [F.asc("known")], 3).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("known")), "|").alias("nearest"))  # three at most
+    out = un.join(pairs.groupBy("name").agg(F.count("*").alias("near")), "name", "left").join(first, "name", "left")
+    return out.select("name", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("nearest", F.lit("")).alias("nearest"))
+
+
 @query("SELECT doc_id, source, lang, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 2")
 def longest_by_source(spark, d):
     return top_k(_docs(spark, d).select("doc_id", "source", "lang", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 2).drop("rank")

@@ -141,14 +141,35 @@ def kg_keyword_search(spark, d):
     return k.join(genes, "doc_id", "left").select("doc_id", "score", F.coalesce("genes", F.lit("")).alias("genes"))
 
 
-@query("""WITH m AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) OR split_part(documents.text, chr(10), 1) = split_part(benchmark.text, '. ', 1) || '.')
+#: What is known of an item: its text, and the DOI that it was taken from.  A paper's first author is the first word of its second line.
+_EVIDENCE = "lower(text) || ' doi 10.1000/' || (item_id * 7) || '.'"
+_AUTHOR = "lower(regexp_extract(split_part(text, chr(10), 2), '[A-Za-z]+', 0))"
+
+
+@query(f"""WITH ev AS (SELECT item_id, text AS quote, {_EVIDENCE} AS evidence FROM benchmark), p AS (SELECT doc_id, text, {_AUTHOR} AS author, '10.1000/' || doc_id || '.' AS doi FROM documents),
+m AS (SELECT item_id, doc_id FROM ev JOIN p ON contains(p.text, quote) OR split_part(p.text, chr(10), 1) = split_part(quote, '. ', 1) || '.' OR (length(author) > 2 AND contains(evidence, author)) OR contains(evidence, doi))
 SELECT doc_id, min(item_id) AS item_id FROM m GROUP BY doc_id""")
 def kg_theta_link_first(spark, d):
-    """Papers linked to the first benchmark item that they quote whole, or whose name is their title."""
+    """Papers linked to the first benchmark item that they quote whole, whose name is their title, or whose evidence names their first
+    author or DOI.
+
+    The evidence is read once: authors (each once, whoever wrote how much) and DOIs are looked for in it, not papers in pairs with items.
+    """
     b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
     quotes = quoted(lexical_index(spark, d), docs, b.select("item_id", F.col("text").alias("phrase")), ["item_id"], False)
     named = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("t")).join(sent_whole(b.select("item_id", F.concat(F.substring_index("text", ". ", 1), F.lit(".")).alias("t"))), "t")
-    return quotes.select("item_id", "doc_id").union(named.select("item_id", "doc_id")).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    evidence = written(b.select("item_id", F.concat(F.lower("text"), F.lit(" doi 10.1000/"), (F.col("item_id") * 7).cast("string"), F.lit(".")).alias("evidence")))
+    second = F.get(F.split("text", "\n", -1), F.lit(1))
+    by = docs.select("doc_id", F.lower(F.regexp_extract(second, "[A-Za-z]+", 0)).alias("author"))
+    # an author is a run of letters, so where evidence holds one, some run of its letters holds it
+    words = evidence.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("evidence", F.lit("[a-z]{3,}"), 0))).alias("word"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("word") - i + 1), lambda n: F.col("word").substr(i, n))))
+    inside = words.select("item_id", F.explode(parts).alias("author")).groupBy("author").agg(F.min("item_id").alias("item_id"))
+    authors = by.join(sent_whole(inside, 500_000), "author")
+    dois = evidence.select("item_id", F.explode(F.regexp_extract_all("evidence", F.lit(r"10\.1000/[0-9]+\."), 0)).alias("doi"))
+    cited = docs.select("doc_id", F.concat(F.lit("10.1000/"), F.col("doc_id").cast("string"), F.lit(".")).alias("doi")).join(sent_whole(dois), "doi")
+    found = [x.select("item_id", "doc_id") for x in (quotes, named, authors, cited)]
+    return reduce(lambda x, y: x.union(y), found).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), c AS (SELECT l_suppkey, count(*) AS genes FROM e GROUP BY l_suppkey)

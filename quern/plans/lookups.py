@@ -73,14 +73,27 @@ def locus_by_gene(spark, d):
     return top_k(j, ["p_partkey"], [F.asc("s_suppkey")], 3).select("p_partkey", "s_suppkey", "s_nationkey")
 
 
-@query("""SELECT event_type, count(DISTINCT user_id) AS samples, round(avg(value), 3) AS mean, round(min(value), 3) AS low, round(max(value), 3) AS high, string_agg(DISTINCT CAST(year(ts) AS VARCHAR), ',' ORDER BY CAST(year(ts) AS VARCHAR)) AS years FROM events GROUP BY event_type""")
+#: A trait's unit and a sample's place: events have neither.
+_UNIT, _SITE = "CASE WHEN length(event_type) > 5 THEN 'cm' ELSE 'kg' END", "'L' || CAST(user_id % 5 AS STRING)"
+
+
+@query(f"""SELECT event_type, count(DISTINCT user_id) AS samples, round(avg(value), 3) AS mean, round(min(value), 3) AS low, round(max(value), 3) AS high, min({_UNIT}) AS unit,
+ string_agg(DISTINCT {_SITE}, ',' ORDER BY {_SITE}) AS sites, string_agg(DISTINCT CAST(year(ts) AS VARCHAR), ',' ORDER BY CAST(year(ts) AS VARCHAR)) AS years FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def trait_stats(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(
+    """Samples, mean, range and unit of a trait (the least where there are several), and where and when it was measured."""
+    return trait_figures(read(spark, d, "events"))
+
+
+def trait_figures(events):
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return events.where("value is not null").groupBy("event_type").agg(
         F.count_distinct("user_id").alias("samples"),
         F.round(F.avg("value"), 3).alias("mean"),
         F.round(F.min("value"), 3).alias("low"),
         F.round(F.max("value"), 3).alias("high"),
-        F.array_join(F.sort_array(F.collect_set(F.year("ts").cast("string"))), ",").alias("years"),
+        F.min(F.expr(_UNIT)).alias("unit"),
+        listed(F.expr(_SITE)).alias("sites"),
+        listed(F.year("ts").cast("string")).alias("years"),
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.operators.ranking import sent_whole, top_k
 from quern.plans.registry import registry
-from quern.plans.routing import CLASSIFIED, QUESTIONS, classified, questions
-from quern.sources.scratch import shared_dir
+from quern.plans.lookups import trait_figures
+from quern.plans.routing import CLASSIFIED, QUESTIONS, TRAITED, classified, questions, trait_keyword_map
+from quern.sources.scratch import shared_dir, written
 from quern.sources.tables import read
 
 QUERIES, ORACLES, query = registry()
@@ -106,22 +107,51 @@ def accession_block(spark, d):
     return b.select("item_id", F.array_join(F.transform("x", lambda r: r["t"]), "\n\n").alias("block"))
 
 
-@query(f"""WITH {CLASSIFIED}, g AS (SELECT 'Genes: ' || string_agg(p_partkey || ' ' || p_name, '; ' ORDER BY p_partkey) AS t FROM part WHERE p_partkey <= 60), l AS (SELECT 'Loci: ' || string_agg(s_suppkey || '@' || s_nationkey, '; ' ORDER BY s_suppkey) AS t FROM supplier WHERE s_suppkey <= 60), t AS (SELECT 'Traits: ' || string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS t FROM events)
-SELECT item_id, substr(CASE WHEN label IN ('gene_function', 'gene_list', 'factoid') THEN g.t WHEN label = 'qtl_gwas' THEN l.t || chr(10) || t.t WHEN label = 'review' THEN t.t ELSE '' END, 1, 800) AS block FROM cl, g, l, t WHERE label NOT IN ('count', 'locate', 'boundary')""")
+#: A gene that a question names stands for the part of its last three digits; a trait's loci are those of the nation of its name's length.
+_NAMED_GENE = r"(Sobic\.[0-9]{3}G[0-9]{4,6}|Sb[0-9]{2}g[0-9]{6}|MSD[0-9]|SbAB[0-9]+)"
+_PART_OF = "CAST(regexp_extract(g, '([0-9]{1,3})$', 1) AS BIGINT) % 150 + 1"
+_MOST_CHARS, _CUT = 800, "\n...(cut)"
+_ABOUT_GENES, _ABOUT_LOCI, _ABOUT_STATS = ("gene_function", "factoid", "mechanism", "qtl_gwas"), ("qtl_gwas", "gene_function", "review"), ("review", "mechanism", "qtl_gwas")
+_STATS_SQL = "event_type || ': n=' || count(DISTINCT user_id) || ', mean ' || format('{:.3f}', round(avg(value), 3)) || ', range ' || format('{:.3f}', round(min(value), 3)) || ' to ' || format('{:.3f}', round(max(value), 3))"
+
+
+@query(f"""WITH {CLASSIFIED}, {TRAITED}, {_BRIDGE}, gs AS (SELECT item_id, label, regexp_extract_all(text, '{_NAMED_GENE}') AS gs FROM cl), gn AS (SELECT item_id, label, list_filter(gs, lambda z, i: list_position(gs, z) = i) AS gs FROM gs),
+ge AS (SELECT item_id, label, unnest(gs[1:2]) AS g, generate_subscripts(gs[1:2], 1) AS nth FROM gn), gp AS (SELECT item_id, label, nth, {_PART_OF} AS p FROM ge),
+b1 AS (SELECT item_id, nth AS place, 'Gene ' || p_partkey || ': ' || p_name AS t FROM gp JOIN part ON p = p_partkey WHERE label IN {_ABOUT_GENES}),
+lg AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY s) AS k FROM gp JOIN br USING (p) WHERE nth = 1 AND label IN {_ABOUT_LOCI} QUALIFY k <= 3),
+lt AS (SELECT item_id, nth, s_suppkey AS s FROM tk JOIN cl USING (item_id) JOIN supplier ON s_nationkey = length(trait) WHERE nth <= 2 AND label IN {_ABOUT_LOCI} AND item_id NOT IN (SELECT item_id FROM lg)),
+lf AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY s) AS k FROM lt WHERE nth = (SELECT min(x.nth) FROM lt x WHERE x.item_id = lt.item_id) QUALIFY k <= 5),
+b2 AS (SELECT item_id, 3 AS place, 'Loci: ' || string_agg(CAST(s AS VARCHAR), ', ' ORDER BY s) AS t FROM (SELECT item_id, s FROM lg UNION ALL SELECT item_id, s FROM lf) GROUP BY item_id),
+st AS (SELECT event_type, {_STATS_SQL} AS t FROM events WHERE value IS NOT NULL GROUP BY event_type), b3 AS (SELECT item_id, 4 AS place, t FROM tk JOIN cl USING (item_id) JOIN st ON event_type = trait WHERE nth = 1 AND label IN {_ABOUT_STATS}),
+bl AS (SELECT item_id, string_agg(t, chr(10) || chr(10) ORDER BY place) AS t FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3) GROUP BY item_id)
+SELECT item_id, CASE WHEN t IS NULL THEN '' WHEN length(t) > {_MOST_CHARS} THEN t[1:{_MOST_CHARS}] || chr(10) || '...(cut)' ELSE t END AS block FROM cl LEFT JOIN bl USING (item_id) WHERE label NOT IN ('count', 'locate', 'boundary')""")
 def evidence_blocks(spark, d):
-    """What the structured tables add to a question, by its label, up to 800 characters."""
-    def listed(df, name: str, order: str, t: Column):
-        x = df.agg(F.sort_array(F.collect_set(F.struct(F.col(order).alias("o"), t.alias("t")))).alias("x"))
-        return x.select(F.concat(F.lit(f"{name}: "), F.array_join(F.transform("x", lambda r: r["t"]), "; ")).alias(name.lower()))
-
-    genes = listed(read(spark, d, "part").where("p_partkey <= 60"), "Genes", "p_partkey", F.concat(_str("p_partkey"), F.lit(" "), "p_name"))
-    loci = listed(read(spark, d, "supplier").where("s_suppkey <= 60"), "Loci", "s_suppkey", F.concat(_str("s_suppkey"), F.lit("@"), _str("s_nationkey")))
-    traits = listed(read(spark, d, "events").select("event_type").distinct(), "Traits", "event_type", F.col("event_type"))
-    c = classified(spark, d).where(~F.col("label").isin("count", "locate", "boundary"))
-    for one in (genes, loci, traits):
-        c = c.join(F.broadcast(one))  # one row each
-    block = F.when(F.col("label").isin("gene_function", "gene_list", "factoid"), F.col("genes")).when(F.col("label") == "qtl_gwas", F.concat("loci", F.lit("\n"), "traits")).when(F.col("label") == "review", F.col("traits")).otherwise("")
-    return c.select("item_id", F.substring(block, 1, 800).alias("block"))
+    """What the tables hold on what a question names, by its label: its first two genes, the first one's loci or else those of its
+    first trait that has any, and figures of its first trait; up to 800 characters.
+
+    Everything starts from the questions, so the tables are joined by key to what they name.
+    """
+    c = written(classified(spark, d).select("item_id", "label", "text"))
+    g = c.select("item_id", "label", F.posexplode(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMED_GENE), 1)), 1, 2)).alias("i", "g"))
+    g = g.select("item_id", "label", (F.col("i") + 1).alias("place"), F.expr(_PART_OF).alias("p"))
+    traits = trait_keyword_map(spark, d).join(c.select("item_id", "label"), "item_id").where("nth <= 2")
+    genes = sent_whole(g.where(F.col("label").isin(*_ABOUT_GENES))).join(read(spark, d, "part"), F.col("p") == F.col("p_partkey"))
+    b1 = genes.select("item_id", "place", F.concat(F.lit("Gene "), _str("p_partkey"), F.lit(": "), "p_name").alias("t"))
+    by_gene = _bridge(spark, d).join(sent_whole(g.where((F.col("place") == 1) & F.col("label").isin(*_ABOUT_LOCI))), "p").select("item_id", "s")
+    by_gene = written(top_k(by_gene, ["item_id"], [F.asc("s")], 3))
+    by_trait = traits.where(F.col("label").isin(*_ABOUT_LOCI)).join(by_gene, "item_id", "left_anti").withColumn("nation", F.length("trait"))
+    by_trait = by_trait.join(read(spark, d, "supplier"), F.col("s_nationkey") == F.col("nation")).select("item_id", "nth", F.col("s_suppkey").alias("s"))
+    by_trait = top_k(by_trait, ["item_id"], [F.asc("nth"), F.asc("s")], 5)
+    first = by_trait.groupBy("item_id").agg(F.min("nth").alias("nth"))
+    loci = by_gene.select("item_id", "s").union(by_trait.join(first, ["item_id", "nth"]).select("item_id", "s"))
+    b2 = loci.groupBy("item_id").agg(F.concat(F.lit("Loci: "), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s.cast("string")), ", ")).alias("t"))  # five at most
+    three = lambda x: F.format_string("%.3f", x)
+    st = trait_figures(read(spark, d, "events")).select(F.col("event_type").alias("trait"), F.concat("event_type", F.lit(": n="), _str("samples"), F.lit(", mean "), three("mean"), F.lit(", range "), three("low"), F.lit(" to "), three("high")).alias("t"))
+    b3 = traits.where((F.col("nth") == 1) & F.col("label").isin(*_ABOUT_STATS)).join(st, "trait").select("item_id", F.lit(4).alias("place"), "t")
+    every = b1.unionByName(b2.select("item_id", F.lit(3).alias("place"), "t")).unionByName(b3)
+    joined = every.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), "\n\n").alias("t"))  # four parts at most
+    block = F.when(F.length("t") > _MOST_CHARS, F.concat(F.substring("t", 1, _MOST_CHARS), F.lit(_CUT))).otherwise(F.coalesce("t", F.lit("")))
+    return c.where(~F.col("label").isin("count", "locate", "boundary")).join(joined, "item_id", "left").select("item_id", block.alias("block"))
 
 
 @query(f"""WITH {_BRIDGE}, l AS (SELECT p, s, row_number() OVER (PARTITION BY p ORDER BY s) AS nth, count(*) OVER (PARTITION BY p) AS n FROM br)
@@ -181,18 +211,35 @@ def kg_enrich(spark, d):
 
 
 @query(f"""WITH {_BRIDGE}, l AS (SELECT p, s, s_nationkey, n_regionkey, row_number() OVER (PARTITION BY p ORDER BY s) AS nth, row_number() OVER (PARTITION BY p, n_regionkey ORDER BY s) AS in_region FROM br JOIN supplier ON s = s_suppkey JOIN nation ON n_nationkey = s_nationkey),
-lo AS (SELECT p, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS loci FROM l WHERE nth <= 10 GROUP BY p), r AS (SELECT p, n_regionkey, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS t FROM l WHERE in_region <= 3 GROUP BY ALL), g AS (SELECT p, string_agg(n_regionkey || ':' || t, ';' ORDER BY n_regionkey) AS by_region FROM r GROUP BY p)
-SELECT p_partkey, p_brand, p_type, coalesce(loci, '') AS loci, coalesce(by_region, '') AS by_region FROM part LEFT JOIN lo ON lo.p = p_partkey LEFT JOIN g ON g.p = p_partkey""")
+lo AS (SELECT p, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS loci FROM l WHERE nth <= 10 GROUP BY p), r AS (SELECT p, n_regionkey, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS t FROM l WHERE in_region <= 3 GROUP BY ALL), g AS (SELECT p, string_agg(n_regionkey || ':' || t, ';' ORDER BY n_regionkey) AS by_region FROM r GROUP BY p),
+an AS (SELECT DISTINCT l_partkey AS p, l_returnflag AS db, l_linestatus || l_linenumber AS f, 'GO:' || strftime(l_shipdate, '%Y%m') AS go, 'PF' || CAST(l_quantity AS BIGINT) AS pf FROM lineitem),
+fu AS (SELECT p, string_agg(db || ': ' || first || CASE WHEN n > 1 THEN ' and ' || (n - 1) || ' more' ELSE '' END, ';' ORDER BY db) AS functions FROM (SELECT p, db, min(f) AS first, count(DISTINCT f) AS n FROM an GROUP BY ALL) GROUP BY p),
+go AS (SELECT p, count(*) || ': ' || array_to_string(list(go ORDER BY go)[1:10], ',') AS go_terms FROM (SELECT DISTINCT p, go FROM an) GROUP BY p), pf AS (SELECT p, count(*) || ': ' || array_to_string(list(pf ORDER BY pf)[1:5], ',') AS pfam FROM (SELECT DISTINCT p, pf FROM an) GROUP BY p)
+SELECT p_partkey, p_brand, p_type, coalesce(loci, '') AS loci, coalesce(by_region, '') AS by_region, coalesce(functions, '') AS functions, coalesce(go_terms, '') AS go_terms, coalesce(pfam, '') AS pfam FROM part LEFT JOIN lo ON lo.p = p_partkey LEFT JOIN g ON g.p = p_partkey LEFT JOIN fu ON fu.p = p_partkey LEFT JOIN go ON go.p = p_partkey LEFT JOIN pf ON pf.p = p_partkey""")
 def kg_gene_profile(spark, d):
-    """A gene with its place, up to ten loci, and up to three of each region."""
+    """A gene with its place, up to ten loci and three of each region, its functions by database, ten GO terms and five domains.
+
+    Counts and the first terms only: each kind is made distinct before it is gathered, and no more than is shown is kept of it.
+    """
     places = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("s"), "n_regionkey")
     l = _bridge(spark, d).join(places, "s")
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     lo = l.groupBy("p").agg(text(F.slice(F.sort_array(F.collect_list("s")), 1, 10)).alias("loci"))
     r = l.groupBy("p", "n_regionkey").agg(text(F.slice(F.sort_array(F.collect_list("s")), 1, 3)).alias("t"))
     g = r.groupBy("p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_regionkey", "t"))), lambda x: F.concat(x["n_regionkey"].cast("string"), F.lit(":"), x["t"])), ";").alias("by_region"))
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("p"), "p_brand", "p_type").join(lo, "p", "left").join(g, "p", "left")
-    return p.select(F.col("p").alias("p_partkey"), "p_brand", "p_type", F.coalesce("loci", F.lit("")).alias("loci"), F.coalesce("by_region", F.lit("")).alias("by_region"))
+    li = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("db"), F.concat("l_linestatus", _str("l_linenumber")).alias("f"), F.concat(F.lit("GO:"), F.date_format("l_shipdate", "yyyyMM")).alias("go"), F.concat(F.lit("PF"), F.col("l_quantity").cast("long").cast("string")).alias("pf"))
+    fu = li.groupBy("p", "db").agg(F.min("f").alias("first"), F.count_distinct("f").alias("n"))
+    line = F.concat("db", F.lit(": "), "first", F.when(F.col("n") > 1, F.concat(F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))).otherwise(""))
+    fu = fu.groupBy("p").agg(F.array_join(F.sort_array(F.collect_list(line)), ";").alias("functions"))  # one line for each database
+
+    def first_terms(c: str, k: int, name: str):
+        each = li.select("p", c).distinct()
+        shown = top_k(each, ["p"], [F.asc(c)], k).groupBy("p").agg(F.array_join(F.sort_array(F.collect_list(c)), ",").alias("t"))
+        return each.groupBy("p").agg(F.count("*").alias("n")).join(shown, "p").select("p", F.concat(_str("n"), F.lit(": "), "t").alias(name))
+
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("p"), "p_brand", "p_type").join(lo, "p", "left").join(g, "p", "left").join(fu, "p", "left")
+    p = p.join(first_terms("go", 10, "go_terms"), "p", "left").join(first_terms("pf", 5, "pfam"), "p", "left")
+    return p.select(F.col("p").alias("p_partkey"), "p_brand", "p_type", *(F.coalesce(c, F.lit("")).alias(c) for c in ("loci", "by_region", "functions", "go_terms", "pfam")))
 
 
 @query(f"""WITH {_BRIDGE}, cu AS (SELECT p_partkey AS p, 'N' || p_size % 25 AS trait FROM part WHERE p_partkey % 10 = 0)
