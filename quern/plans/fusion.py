@@ -102,7 +102,7 @@ def selected(spark, d):
 
     The check of the limit follows the append, so that a limit of none leaves one.
     """
-    ro = reranked(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("final", "doc_id")))
+    ro = written(reranked(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("final", "doc_id"))))  # read twice below
     p = ro.groupBy("item_id", "label", "source").agg(F.round(F.avg("lex"), 6).alias("mean"), F.count("*").alias("n"), F.min("place").alias("first_place"))
     p = p.withColumns({"dense": F.expr(_DENSE_ENOUGH), "nth": F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("mean"), "first_place"))})
     p = p.withColumn("n_dense", F.count_if("dense").over(Window.partitionBy("item_id")))
@@ -135,7 +135,7 @@ def _meta(spark, d, k):
 SELECT item_id, doc_id, final, 'chunk' AS section FROM sl UNION ALL SELECT item_id, doc_id, 0.85::DOUBLE, 'abstract' FROM bf""")
 def backfill_rerank(spark, d):
     """Papers by title that gave no selected chunk come back with the fixed score 0.85, the worst there is, after and beyond the limit."""
-    sl = selected(spark, d).select("item_id", "doc_id", "final", F.lit("chunk").alias("section"))
+    sl = written(selected(spark, d).select("item_id", "doc_id", "final", F.lit("chunk").alias("section")))
     missing = _meta(spark, d, 200).join(sl.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     back = top_k(missing, ["item_id"], [F.asc("nth")], 20).select("item_id", "doc_id", F.lit(0.85).alias("final"), F.lit("abstract").alias("section"))
     return sl.unionByName(back)
