@@ -145,6 +145,18 @@ def resume_pending(spark, d):
     return c.where("conv_id is not null").select("conv_id").distinct().join(done, "conv_id", "left_anti")
 
 
+@query("""SELECT conv_id, CASE WHEN count(*) FILTER (role = 'assistant' AND length(text) > 0) > 0 THEN 1 WHEN conv_id % 2 = 0 THEN 2 ELSE 3 END AS run, count(*) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
+def resume_appended(spark, d):
+    """Answers stored over three runs: each asks only what has no stored answer yet, and appends what it gets (even ones in the second run)."""
+    c = read(spark, d, "conversations").where("conv_id is not null")
+    asked = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.coalesce(F.bool_or((F.col("role") == "assistant") & (F.length("text") > 0)), F.lit(False)).alias("easy"))
+    path, schema = shared_dir(spark), "conv_id long, run int, turns long"
+    for run, answered in ((1, F.col("easy")), (2, F.col("conv_id") % 2 == 0), (3, F.lit(True))):
+        pending = asked.join(spark.read.schema(schema).parquet(path), "conv_id", "left_anti") if run > 1 else asked
+        pending.where(answered).select("conv_id", F.lit(run).alias("run"), "turns").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 @query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN coalesce(text, '') || '!' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0),
 s AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h IS DISTINCT FROM n.h THEN 'modified' ELSE 'same' END AS status FROM o FULL JOIN n ON o.doc_id = n.doc_id)
 SELECT doc_id, status FROM s WHERE CASE WHEN (SELECT count(*) FROM s WHERE status IN ('modified', 'deleted')) > 0 THEN status <> 'deleted' ELSE status = 'added' END""")
