@@ -23,6 +23,8 @@ PIECE = 1 << 16
 MODULI = (2147483647, 2147483629)
 BASES = (1048583201, 786433711)
 ROW_GROUP = 32 << 20
+MOST_BITS = 28  # of the bitmap: 32 MB at most
+_ROW = 32768  # bits in a row of the bitmap
 
 
 def pieces(df: DataFrame, row: str, id_col: str, text: Column, piece: int = PIECE) -> DataFrame:
@@ -79,12 +81,27 @@ def _led(rows: DataFrame) -> DataFrame:
     return written(rows.join(shared, ["fp", "n_bytes"]).select("row", "doc_id", "n_bytes", "fp", "lead"))
 
 
+def _likely(cut: DataFrame, led: DataFrame) -> DataFrame:
+    """The pieces of led's rows and of few others: those whose bit is set in a bitmap of led's rows.
+
+    The bitmap has 16 bits for each row up to its bound; it only spares pieces the way through the shuffle, and where it is
+    too full to, all of them go.
+    """
+    bits = 1 << min(MOST_BITS, max(20, (16 * led.count()).bit_length()))
+    place = F.pmod(F.xxhash64("row"), F.lit(bits))
+    inner = F.pmod(place, F.lit(_ROW))
+    marks = led.groupBy(F.floor(place / _ROW).alias("k")).agg(F.bitmap_construct_agg(inner).alias("marks"))  # bits / 32768 rows at most
+    byte = F.substring(F.col("marks"), F.floor(inner / 8).cast("int") + 1, F.lit(1))
+    marked = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), F.pmod(inner, F.lit(8)).cast("int")) == 1
+    return cut.join(F.broadcast(marks), (F.floor(place / _ROW) == F.col("k")) & marked).select("row", "at", "bytes")
+
+
 def _unlike(cut: DataFrame, led: DataFrame) -> DataFrame:
     """(row): the rows of led that differ from their lead in some piece; one piece of each meets at a time.
 
     Both joins are asked to sort and merge, so that a small table takes the same way as a large one and a hot group is divided.
     """
-    shown = written(cut.select("row", "at", "bytes").join(led.select("row", "lead").hint("merge"), "row"))
+    shown = written(_likely(cut, led).join(led.select("row", "lead").hint("merge"), "row"))
     own = shown.where("row = lead").select("lead", "at", F.col("bytes").alias("first")).hint("merge")
     differ = shown.where("row <> lead").join(own, ["lead", "at"]).where(F.col("bytes") != F.col("first"))
     out = written(differ.select("row").distinct())

@@ -63,3 +63,16 @@ def test_empty_tables_and_clashing_names(spark):
     assert drop_copies(df.limit(0)).columns == df.columns
     folded = copies(spark.createDataFrame([(1, "A"), (2, "a")], SCHEMA), normalise=lambda t: __import__("pyspark").sql.functions.lower(t))
     assert {r["group_size"] for r in folded.collect()} == {2}
+
+
+def test_the_bitmap_spares_others_and_loses_none(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import quern.llm.exact_copies as m
+
+    cut = spark.range(20_000).select(F.col("id").alias("row"), F.lit(0).alias("at"), F.lit(b"x").alias("bytes"))
+    led = spark.range(0, 20_000, 50).select(F.col("id").alias("row"))
+    got = {r["row"] for r in m._likely(cut, led).collect()}
+    assert set(range(0, 20_000, 50)) <= got and len(got) < 500
+    monkeypatch.setattr(m, "MOST_BITS", 15)  # too small: more pass, none is lost
+    assert {r["row"] for r in m._likely(cut, led).collect()} >= set(range(0, 20_000, 50))
