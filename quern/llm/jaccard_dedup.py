@@ -4,8 +4,9 @@ Each text is the set of its five-word shingles.  Texts of equal sets meet by a 1
 others lie in tiles by the number of their shingles; tiles whose numbers are too far apart for the
 similarity are never paired.  In a pair of tiles, SimHash fingerprints of 64 bits are compared by
 exclusive or and bit counts, and what is near passes a second fingerprint.  Texts that candidates
-connect in a pair of tiles are gathered in blocks, and there every pair not yet joined is compared
-by its whole sets.  Only verified links, as spanning forests, go to components().
+connect in a pair of tiles are a cell.  All of a cell are compared with its first by their whole sets, which joins most of a large group of
+copies in one step, however many they are; the rest are gathered in blocks and compared with all
+of the cell, by every pair not yet joined.  Only verified links, as spanning forests, go to components().
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _candidates(radius: int, both: int):
-    """A pair of tiles (one row if a tile meets itself): members (rep, cell, block, blocks) of the groups that candidates connect."""
+    """A pair of tiles (one row if a tile meets itself): members (rep, cell, lead) of the groups that candidates connect; lead is the first of them."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         fp, gp, size, rep = (np.frombuffer(b"".join(rows.column(x).to_pylist()), "<i8") for x in _NUMBERS)
@@ -98,15 +99,10 @@ def _candidates(radius: int, both: int):
                 _merge(label, i[ok], j[ok])
         members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
         members = members[np.argsort(label[members], kind="stable")]
-        root, n = label[members], size[members]
-        before = np.cumsum(n) - n
-        opens = np.flatnonzero(np.diff(root, prepend=-1)) if len(root) else np.empty(0, np.int64)
-        group = np.cumsum(np.diff(root, prepend=-1) != 0) - 1
-        block = (before - before[opens][group]) // GATHERED if len(root) else before
-        most = np.maximum.reduceat(block, opens) + 1 if len(root) else block
+        root = label[members]
         name = ".".join(str(v) for k in key for v in k.as_py().values())
         cells = pa.array([f"{name}.{r}" for r in root.tolist()], pa.string())
-        return pa.table({"rep": pa.array(rep[members]), "cell": cells, "block": pa.array(block.astype(np.int32)), "blocks": pa.array(most[group].astype(np.int32) if len(root) else block.astype(np.int32))})
+        return pa.table({"rep": pa.array(rep[members]), "cell": cells, "lead": pa.array(rep[root])})
 
     return run
 
@@ -118,19 +114,26 @@ def _gathered(width: int):
         for batch in chunks(batches, "raw", 1 << 20):
             for rep, raw, cells in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
                 b = shingle_set(raw, width).astype("<u8").tobytes()
-                columns = ([c["cell"] for c in cells], [c["block"] for c in cells], [c["blocks"] for c in cells], [rep] * len(cells), [b] * len(cells))
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["cell", "block", "blocks", "rep", "b"])
+                columns = ([c["cell"] for c in cells], [c["lead"] for c in cells], [rep] * len(cells), [b] * len(cells))
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cell", "lead", "rep", "b"])
 
     return run
 
 
+def _with_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (cell, lead, rep, b, first): whether a member is similar to its cell's first, and how many shingles it has."""
+    for batch in batches:
+        sets = [[np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("b", "first")]
+        near = [similar(a, b) for a, b in zip(*sets, strict=True)]
+        yield pa.record_batch([*(batch.column(c) for c in ("cell", "lead", "rep")), pa.array(near, pa.bool_()), pa.array([len(x) for x in sets[0]], pa.int64())], ["cell", "lead", "rep", "near", "n"])
+
+
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
     """A block of sets as one row."""
     sets = rows.column("b").to_pylist()
     reps = rows.column("rep").to_numpy().astype("<i8").tobytes()
     sizes = np.array([len(x) for x in sets], "<i8").tobytes()
-    return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "block": pa.array([key[1].as_py()], pa.int32()), "blocks": rows.column("blocks").slice(0, 1), "reps": pa.array([reps], pa.binary()), "sizes": pa.array([sizes], pa.binary()), "sets": pa.array([b"".join(sets)], pa.binary())})
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "block": pa.array([key[1].as_py()], pa.int32()), "rest": rows.column("rest").slice(0, 1), "blocks": rows.column("blocks").slice(0, 1), "reps": pa.array([reps], pa.binary()), "sizes": pa.array([sizes], pa.binary()), "sets": pa.array([b"".join(sets)], pa.binary())})
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -144,13 +147,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(key: tuple, rows: pa.Table) -> pa.Table:
-    """A pair of blocks (one row if a block meets itself): forest edges (a, b) of texts that are similar."""
+    """A pair of blocks (one row if a block meets itself): forest edges (a, b) of texts that are similar.
+
+    The second block's texts are known to be one group if its number is not among the rest's.
+    """
     reps, sets, ends = [], [], []
+    rows = rows.sort_by("second")
     for r, z, s in zip(*(rows.column(x).to_pylist() for x in ("reps", "sizes", "sets")), strict=True):
         reps += np.frombuffer(r, "<i8").tolist()
         sets += np.split(np.frombuffer(s, "<u8"), np.cumsum(np.frombuffer(z, "<i8") // 8)[:-1])
         ends.append(len(reps))
     up = list(range(len(reps)))
+    if key[2].as_py() >= rows.column("rest")[0].as_py():
+        up[ends[0] :] = [ends[0]] * (len(reps) - ends[0])
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -168,6 +177,22 @@ def _verify(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def _rest_links(sets: DataFrame, star: DataFrame) -> DataFrame:
+    """Forest edges of the members that are not similar to their cell's first, with each other and with those that are.
+
+    Blocks of the rest are numbered before the others; pairs of blocks without any of the rest are never formed.
+    """
+    parts = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, F.col("n")).otherwise(0)) / GATHERED).cast("int")
+    counts = written(star.groupBy("cell").agg(parts(False).alias("rest"), parts(True).alias("others")).where("rest > 0"))
+    at = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
+    block = F.when(F.col("near"), F.col("rest") + at("others")).otherwise(at("rest"))
+    dealt = star.join(counts, "cell").select("cell", "rep", block.alias("block"), "rest", (F.col("rest") + F.col("others")).alias("blocks"))
+    blocks = sets.select("cell", "rep", "b").join(dealt, ["cell", "rep"]).groupBy("cell", "block").applyInArrow(_block, "cell string, block int, rest int, blocks int, reps binary, sizes binary, sets binary")
+    met = blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("rest"), F.col("blocks")).otherwise(F.col("rest")) - 1)))
+    met = met.select("cell", F.least("block", "t").alias("x"), F.greatest("block", "t").alias("y"), "rest", "reps", "sizes", "sets", (F.col("block") > F.col("t")).alias("second"))
+    return met.groupBy("cell", "x", "y").applyInArrow(_verify, "a long, b long")
+
+
 def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", width: int = WIDTH, tile: int = TILE, radius: int = RADIUS, both: int = RADIUS_BOTH) -> DataFrame:
     """(row, component) for each row of df, whose `row_col` is a unique long: the smallest row reachable by links.
 
@@ -184,13 +209,14 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", width: in
     dealt = sized.join(F.broadcast(cells), "cell").select(*_NUMBERS, "t", slot.alias("s"))
     packed = written(dealt.groupBy("t", "s").applyInArrow(_tile, "t int, s int, fp binary, gp binary, size binary, rep binary"), "none")
     pairs = tile_pairs(packed, near, *_NUMBERS)
-    asked = written(pairs.groupBy("x", "y").applyInArrow(_candidates(radius, both), "rep long, cell string, block int, blocks int"))
-
-    asked = asked.groupBy("rep").agg(F.collect_list(F.struct("cell", "block", "blocks")).alias("cells"))
-    sets = texts.join(asked, F.col("row") == F.col("rep")).select("rep", "raw", "cells").mapInArrow(_gathered(width), "cell string, block int, blocks int, rep long, b binary")
-    blocks = sets.groupBy("cell", "block").applyInArrow(_block, "cell string, block int, blocks int, reps binary, sizes binary, sets binary")
-    met = blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cell", F.least("block", "t").alias("x"), F.greatest("block", "t").alias("y"), "reps", "sizes", "sets")
-    links = written(met.groupBy("cell", "x", "y").applyInArrow(_verify, "a long, b long"))
+    asked = written(pairs.groupBy("x", "y").applyInArrow(_candidates(radius, both), "rep long, cell string, lead long"))
+
+    asked = asked.groupBy("rep").agg(F.collect_list(F.struct("cell", "lead")).alias("cells"))  # one for each pair of a text's tiles at most
+    found = texts.join(asked, F.col("row") == F.col("rep")).select("rep", "raw", "cells")
+    sets = written(found.mapInArrow(_gathered(width), "cell string, lead long, rep long, b binary"))
+    first = sets.where("rep = lead").select("cell", F.col("b").alias("first"))
+    met = sets.join(first.hint("merge"), "cell").select("cell", "lead", "rep", "b", "first")
+    star = written(met.mapInArrow(_with_lead, "cell string, lead long, rep long, near boolean, n long"))
+    links = written(star.where("near and rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).union(_rest_links(sets, star)))
     classes = reps.select("key", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
     return sketched.select("row", "key").join(classes.select("key", F.coalesce("component", "rep").alias("component")), "key").select("row", "component")

@@ -63,6 +63,8 @@ def test_verification_in_many_blocks(spark, monkeypatch):
     rng = random.Random(4)
     base = rng.choices([f"w{i}" for i in range(500)], k=200)
     rows = [(i, edited(rng, base, 2)) for i in range(120)]
+    for _ in range(60):  # a chain whose ends are far from its beginning
+        rows.append((len(rows), edited(rng, rows[-1][1].split(), 1)))
     monkeypatch.setattr(jaccard_dedup, "GATHERED", 4000)
     got = jaccard_dedup.similar_texts(frame(spark, rows), "doc_id", tile=50).collect()
     sets = [jaccard_sets(t) for _, t in rows]
