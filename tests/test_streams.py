@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quern.streaming.answers import assembled
+from quern.streaming.answers import Assembler, assembled
 from quern.streaming.rate_limit import limited
 from quern.streaming.upsert import latest, retry, upserts
 
@@ -118,3 +119,82 @@ def test_answers_of_split_tokens_over_restarts(spark, tmp_path):
     assert ends == {(1, 1): ("answer", "Because [2], [2]. </think> stays"), (1, 2): ("unseparated", ""), (2, 1): ("answer", ""), (3, 1): ("broken", "never ends"), (9, 1): ("answer", "x"), (9, 2): ("answer", "y")}
     deltas = [text for c, t, kind, text in feed.rows() if kind == "delta" and (c, t) == (1, 1)]
     assert sum(map(len, deltas)) == len("Because [2], [2]. </think> stays") and all(x in whole[1, 1].split("</think>", 1)[1] for x in deltas)
+
+
+class Counted:
+    """A state of any kind that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.items, self.keyed = 0, None, [], {}
+
+    def __getattribute__(self, name):
+        if name in ("get", "update", "appendValue", "clear", "exists", "containsKey", "updateValue", "getValue", "removeKey"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(list(self.items)) if self.items else self.value if self.value is not None else self.empty
+
+    def update(self, value):
+        self.value = value
+
+    def appendValue(self, value):
+        self.items.append(value)
+
+    def containsKey(self, key):
+        return key in self.keyed
+
+    def updateValue(self, key, value):
+        self.keyed[key] = value
+
+    def getValue(self, key):
+        return self.keyed[key]
+
+    def removeKey(self, key):
+        del self.keyed[key]
+
+    def clear(self):
+        self.value, self.items, self.keyed = None, [], {}
+
+
+class Handle:
+    def __init__(self):
+        self.states = []
+
+    def state(self, empty):
+        made = Counted()
+        made.empty = empty
+        self.states.append(made)
+        return made
+
+    def getValueState(self, name, schema):
+        return self.state(None)
+
+    def getListState(self, name, schema):
+        return self.state(())
+
+    def getMapState(self, name, *schemas):
+        return self.state(())
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_calls_to_the_state_go_by_batches_and_not_by_tokens():
+    text = "thought</think>" + "".join(f"word{i} " for i in range(700))
+    tokens = [Row(i=i, token=text[7 * i : 7 * i + 7], last=7 * i + 7 >= len(text), ts=START) for i in range(-(-len(text) // 7))]
+    order = list(range(len(tokens)))
+    random.Random(5).shuffle(order)
+    handle, one = Handle(), Assembler("</think>", 1000)
+    one.init(handle)
+    out = []
+    for a in range(0, len(tokens), 250):
+        out += one.handleInputRows((1, 2), iter([tokens[i] for i in order[a : a + 250]]), None)
+    assert [r["text"] for r in out if r["kind"] == "answer"] == [text.split("</think>", 1)[1]]
+    assert "".join(r["text"] for r in out if r["kind"] == "delta") == text.split("</think>", 1)[1]
+    assert sum(s.calls for s in handle.states) <= 8 * -(-len(tokens) // 250)
