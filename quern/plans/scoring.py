@@ -77,7 +77,7 @@ _TOP = f"WITH {_CORPUS}, tp AS (SELECT item_id, doc_id, row_number() OVER (PARTI
 
 
 def _top(spark, d, k):
-    return top_k(_scores(spark, d), ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id")
+    return top_k(_scores(spark, d, k), ["item_id"], [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id")
 
 
 @query(f"""{_TOP}, kp AS (SELECT item_id, list_filter(string_split(lower(text), '. '), lambda x: length(x) > 20) AS kps FROM benchmark),
