@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -78,43 +79,42 @@ def eval_best(spark, d):
     ).select("v", F.col("b.source").alias("best"), F.col("w.source").alias("worst"), "high", "low")
 
 
-#: Replicates of a bootstrap (fixed value).  A row's weight in each is a Poisson count of mean 1, so equal values of n rows weigh a
-#: Poisson count of mean n: up to _EXACT rows drawn as such from parts of a hash, beyond as a rounded sum of four uniform numbers
-#: with that mean and variance.
-_REPLICATES, _EXACT = 10_000, 4
+#: Replicates of a bootstrap (fixed value); a row's weight in each is a Poisson count of mean 1, drawn from a hash.
+_REPLICATES = 10_000
 _CDF = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 12) for k in range(8)]
-_DRAW = lambda u: "(" + " + ".join(f"CAST({u} >= {c}::DOUBLE AS INTEGER)" for c in _CDF) + ")"
-_UNIFORM = [f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT / 4294967296.0::DOUBLE AS u{i}" for i in range(_EXACT)]
-_SMALL = " + ".join(f"CASE WHEN n > {i} THEN {_DRAW(f'u{i}')} ELSE 0 END" for i in range(_EXACT))
+#: The least first eight hex digits of a hash whose number is at least each of the probabilities.
+_LEAST = [f"{math.ceil(Fraction(c) * 2**32):08x}" for c in _CDF if c * 2**32 <= 2**32 - 1]
+_DRAW = " + ".join(f"CAST(u >= {c}::DOUBLE AS INTEGER)" for c in _CDF)
 
 
-@query(f"""WITH x AS (SELECT role, length(text)::DOUBLE AS x, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
-h AS (SELECT role, b, x, n, md5(b || ':' || role || ':' || CAST(x AS BIGINT)) AS h FROM x, unnest(generate_series(1, {_REPLICATES})) AS t(b)), u AS (SELECT role, b, x, n, {', '.join(_UNIFORM)} FROM h),
-w AS (SELECT role, b, x, CASE WHEN n <= {_EXACT} THEN {_SMALL} ELSE greatest(0, floor(n + sqrt(3.0::DOUBLE * n) * (u0 + u1 + u2 + u3 - 2) + 0.5::DOUBLE)) END AS w FROM u),
-m AS (SELECT role, b, sum(x * w) / sum(w) AS mean FROM w GROUP BY ALL HAVING sum(w) > 0),
+@query(f"""WITH x AS (SELECT role, conv_id, turn, length(text)::DOUBLE AS x FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT role, b, x, ('0x' || substr(md5(b || ':' || conv_id || ':' || turn), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM x, unnest(generate_series(1, {_REPLICATES})) AS t(b)),
+m AS (SELECT role, b, sum(x * ({_DRAW})) / sum({_DRAW}) AS mean FROM w GROUP BY ALL HAVING sum({_DRAW}) > 0),
 q AS (SELECT role, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY role),
-a AS (SELECT role, CAST(sum(n) AS BIGINT) AS n, sum(x * n) / sum(n) AS mean FROM x GROUP BY role)
+a AS (SELECT role, count(*) AS n, avg(x) AS mean FROM x GROUP BY role)
 SELECT role, n, round(mean, 6) AS mean, round(CASE WHEN n < 5 THEN mean ELSE low END, 6) AS low, round(CASE WHEN n < 5 THEN mean ELSE high END, 6) AS high FROM a JOIN q USING (role)""")
 def eval_bootstrap_ci(spark, d):
     """95% intervals of the mean length by role; under five rows the mean stands for both ends.
 
-    Rows are counted by value first, so the replicates' work goes by distinct values and not by rows.
+    Each row has a weight of its own in each replicate.  Weights need no row numbers, so replicates are summed where the rows are and only sums are shuffled.
     """
-    x = read(spark, d, "conversations").where("text is not null and role is not null").groupBy("role", F.length("text").cast("long").alias("x")).agg(F.count("*").alias("n"))
-    return bootstrap_means(x, "role")
-
-
-def bootstrap_means(x, by):
-    """(by, n, mean, low, high) from whole values and their counts (by, x, n)."""
-    r = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(_REPLICATES))))
-    h = r.withColumn("h", F.md5(F.concat_ws(":", F.col("b").cast("string"), by, F.col("x").cast("string"))))
-    u = h.withColumns({f"u{i}": F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0 for i in range(_EXACT)})
-    draw = lambda i: sum(((F.col(f"u{i}") >= c).cast("int") for c in _CDF), F.lit(0))
-    few = sum((F.when(F.col("n") > i, draw(i)).otherwise(0) for i in range(_EXACT)), F.lit(0))
-    many = F.greatest(F.lit(0.0), F.floor(F.col("n") + F.sqrt(3.0 * F.col("n")) * (F.col("u0") + F.col("u1") + F.col("u2") + F.col("u3") - 2) + 0.5).cast("double"))
-    w = u.withColumn("w", F.when(F.col("n") <= _EXACT, few.cast("double")).otherwise(many))
-    m = w.groupBy(by, "b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"), F.sum("w").alias("w")).where("w > 0")
+    x = read(spark, d, "conversations").where("text is not null and role is not null").select("role", "conv_id", "turn", F.length("text").cast("long").alias("x"))
+    return bootstrap_means(x, "role", ["conv_id", "turn"])
+
+
+def bootstrap_means(x, by, key=None):
+    """(by, n, mean, low, high) from rows (by, x) that the columns `key` tell apart, or from whole values and their counts (by, x, n), whose rows are numbered."""
+    if key is None:
+        x, key = x.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n"), [by, "x", "nth"]
+    r = x.repartition(4 * x.sparkSession.sparkContext.defaultParallelism).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(_REPLICATES))))
+    named = [F.col(c).cast("string") for c in ("b", *key)]
+    r = r.withColumn("h", F.substring(F.md5(F.concat(named[0], *(part for c in named[1:] for part in (F.lit(":"), c)))), 1, 8))
+    weight = F.lit(len(_LEAST))
+    for i, least in reversed(list(enumerate(_LEAST))):  # hex digits are in the order of their numbers
+        weight = F.when(F.col("h") < least, i).otherwise(weight)
+    r = r.withColumn("w", F.when(F.col("h").isNotNull(), weight).cast("long"))
+    m = r.groupBy(by, "b").agg((F.sum(F.col("x") * F.col("w")).cast("double") / F.sum("w")).alias("mean"), F.sum("w").alias("w")).where("w > 0")
     q = m.groupBy(by).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
-    a = x.groupBy(by).agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    a = x.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
     end = lambda c: F.round(F.when(F.col("n") < 5, F.col("mean")).otherwise(F.col(c)), 6).alias(c)
     return a.join(q, by).select(by, "n", F.round("mean", 6).alias("mean"), end("low"), end("high"))

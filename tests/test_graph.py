@@ -1,5 +1,7 @@
 """Hops of any depth against a plain search; the counted bootstrap against one that draws rows."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -52,3 +54,20 @@ def test_intervals_are_those_of_drawn_rows(spark):
         low, high = np.quantile(means, [0.025, 0.975])
         assert abs(got[g]["low"] - low) < 0.05 * (high - low) and abs(got[g]["high"] - high) < 0.05 * (high - low)
     assert got["two"]["low"] == got["two"]["high"] == 6
+
+
+def test_each_row_has_a_weight_of_its_own(spark, tmp_path):
+    from quern.plans.measures import QUERIES
+
+    r = random.Random(8)
+    rows = [(i // 3, i % 3, "user" if i % 4 else "assistant", "x" * r.choice([10, 10, 10, 50, 90])) for i in range(60)] + [(90, 0, "user", None), (None, 1, "user", "x" * 30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    cdf = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 12) for k in range(8)]
+    for got in QUERIES["eval_bootstrap_ci"](spark, str(tmp_path)).collect():
+        own = [(c, t, len(x)) for c, t, role, x in rows if role == got["role"] and x is not None]
+        keyed = [(c, t, n) for c, t, n in own if c is not None]
+        u = np.array([[int(hashlib.md5(f"{b}:{c}:{t}".encode()).hexdigest()[:8], 16) / 2**32 for c, t, _ in keyed] for b in range(1, 10_001)])
+        w, x = np.searchsorted(cdf, u, "right"), np.array([n for *_, n in keyed])
+        means = (w * x).sum(axis=1) / w.sum(axis=1)
+        assert got["n"] == len(own) and abs(got["mean"] - np.mean([n for *_, n in own])) < 1e-5
+        assert np.allclose([got["low"], got["high"]], np.quantile(means, [0.025, 0.975]), atol=1e-5)
