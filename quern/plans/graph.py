@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quern.operators.hops import doubled, hops, inner_edges
+from quern.operators.hops import doubled, inner_counts, reach
 from quern.operators.ranking import lexical_index, quoted, sent_whole, top_k
 from quern.plans.registry import registry
 from quern.sources.scratch import written
@@ -74,10 +74,9 @@ SELECT root, count(*) AS nodes, count(*) FILTER (node LIKE 'P:%') AS genes, coun
 def kg_khop(spark, d):
     """Two undirected hops around every hundredth part, and the edges between what they reach."""
     _, edges, both = graph_store(spark, d)
-    seen = written(hops(both, _roots(spark, d, 100), 2))
-    inside = inner_edges(seen, edges).groupBy("root").agg(F.count("*").alias("edges"))
-    n = seen.groupBy("root").agg(F.count("*").alias("nodes"), *_kinds())
-    return n.join(inside, "root", "left").select("root", "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
+    nodes, inside = inner_counts(*reach(both, _roots(spark, d, 100), 2), edges, 2)
+    n = nodes.groupBy("root").agg(F.sum("nodes").alias("nodes"), *_kinds())
+    return n.join(inside.where("k = 2"), "root", "left").select("root", "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 def _roots(spark, d, every):
@@ -85,7 +84,7 @@ def _roots(spark, d, every):
 
 
 def _kinds():
-    return [F.count_if(F.col("node").startswith(kind)).alias(name) for kind, name in (("P:", "genes"), ("S:", "loci"), ("N:", "places"))]
+    return [F.sum(F.when(F.col("kind") == kind, F.col("nodes")).otherwise(0)).alias(name) for kind, name in (("P", "genes"), ("S", "loci"), ("N", "places"))]
 
 
 _DEEP = 4
@@ -101,10 +100,9 @@ SELECT root, k, (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k) AS
 def kg_khop_depths(spark, d):
     """One to four hops around every five hundredth part: nodes by kind, and the edges between them, at each depth."""
     _, edges, both = graph_store(spark, d)
-    seen = written(hops(both, _roots(spark, d, 500), _DEEP))
+    nodes, inside = inner_counts(*reach(both, _roots(spark, d, 500), _DEEP), edges, _DEEP)
     depths = F.explode(F.sequence(F.greatest("depth", F.lit(1)), F.lit(_DEEP))).alias("k")  # what is there at a depth is there at all further ones
-    n = seen.select("root", "node", depths).groupBy("root", "k").agg(F.count("*").alias("nodes"), *_kinds())
-    inside = inner_edges(seen, edges).groupBy("root", "depth").agg(F.count("*").alias("n")).select("root", "n", depths).groupBy("root", "k").agg(F.sum("n").alias("edges"))
+    n = nodes.select("root", "kind", "nodes", depths).groupBy("root", "k").agg(F.sum("nodes").alias("nodes"), *_kinds())
     return n.join(inside, ["root", "k"], "left").select("root", F.col("k").cast("long").alias("k"), "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 

@@ -56,6 +56,25 @@ def test_intervals_are_those_of_drawn_rows(spark):
     assert got["two"]["low"] == got["two"]["high"] == 6
 
 
+def test_counts_by_bits_are_those_of_a_search(spark):
+    from quern.operators.hops import inner_counts, reach as reach_bits
+
+    r = random.Random(6)
+    name = lambda i: f"{'AB'[i % 2]}:{i}"
+    edges = [(name(r.randint(0, 700)), name(r.randint(0, 700))) for _ in range(900)] + [("A:0", "A:0"), ("A:0", "A:2"), ("A:0", "A:2"), ("B:1", "B:1")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    roots, k = [name(i) for i in range(650)] + ["A:9000"], 3  # more than a block of roots
+    nodes, inside = inner_counts(*reach_bits(doubled(e), spark.createDataFrame([(x,) for x in roots], "root string"), k), e, k)
+    far = {x: reach(edges, x, k) for x in roots}
+    want = {}
+    for x in roots:
+        for n, d in far[x].items():
+            want[x, d, n[0]] = want.get((x, d, n[0]), 0) + 1
+    assert {(a["root"], a["depth"], a["kind"]): a["nodes"] for a in nodes.collect()} == want
+    counted = {(x, i): sum(far[x].get(a, 99) <= i and far[x].get(b, 99) <= i for a, b in edges) for x in roots for i in range(1, k + 1)}
+    assert {(a["root"], a["k"]): a["edges"] for a in inside.collect()} == counted
+
+
 def test_each_row_has_a_weight_of_its_own(spark, tmp_path):
     from quern.plans.measures import QUERIES
 
