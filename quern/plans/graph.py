@@ -106,17 +106,24 @@ def kg_khop_depths(spark, d):
     return n.join(inside, ["root", "k"], "left").select("root", F.col("k").cast("long").alias("k"), "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+#: Edges of asked genes for each task that counts pairs.
+_ASKED = 1000
+
+
 @query("""WITH e AS (SELECT DISTINCT 'supplier' AS relation, l_partkey AS p, CAST(l_suppkey AS VARCHAR) AS s FROM lineitem UNION ALL SELECT 'kind', p_partkey, p_type || '/' || p_size FROM part)
 SELECT a.p AS gene_a, b.p AS gene_b, a.relation, count(*) AS shared, min(a.s) AS first_shared FROM e a JOIN e b ON a.relation = b.relation AND a.s = b.s AND a.p <> b.p WHERE a.p % 100 = 0 GROUP BY ALL HAVING count(*) >= CASE WHEN a.relation = 'kind' THEN 1 ELSE 2 END""")
 def kg_shared(spark, d):
     """Terms, by relation, that the asked genes (ids divisible by 100) share with any other gene.
 
-    The asked genes' edges go to the other edges while they are few; counts are combined before the shuffle.
+    The asked genes' edges go to the other edges while they are few.  Pairs go to tasks by asked gene, as many tasks as a fixed number of
+    asked edges gives, so that what a task counts does not grow with the tables.
     """
     e = read(spark, d, "lineitem").select(F.lit("supplier").alias("relation"), F.col("l_partkey").alias("gene_b"), F.col("l_suppkey").cast("string").alias("s")).distinct()
     e = e.union(read(spark, d, "part").select(F.lit("kind"), "p_partkey", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))))
-    asked = sent_whole(e.withColumnRenamed("gene_b", "gene_a").where("gene_a % 100 = 0"), 200_000)
-    j = e.join(asked, ["relation", "s"]).where("gene_a <> gene_b")
+    e = written(e)  # read three times below
+    asked = e.withColumnRenamed("gene_b", "gene_a").where("gene_a % 100 = 0")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // _ASKED))
+    j = e.join(sent_whole(asked, 200_000), ["relation", "s"]).where("gene_a <> gene_b").repartition(parts, "gene_a")
     least = F.when(F.col("relation") == "kind", 1).otherwise(2)
     return j.groupBy("gene_a", "gene_b", "relation").agg(F.count("*").alias("shared"), F.min("s").alias("first_shared")).where(F.col("shared") >= least)
 

@@ -90,3 +90,14 @@ def test_each_row_has_a_weight_of_its_own(spark, tmp_path):
         means = (w * x).sum(axis=1) / w.sum(axis=1)
         assert got["n"] == len(own) and abs(got["mean"] - np.mean([n for *_, n in own])) < 1e-5
         assert np.allclose([got["low"], got["high"]], np.quantile(means, [0.025, 0.975]), atol=1e-5)
+
+
+def test_tasks_that_count_shared_terms_grow_in_number_with_the_asked_genes(spark, small, monkeypatch):
+    from quern.plans import graph
+
+    plan = lambda: graph.QUERIES["kg_shared"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [gene_a" in plan()
+    asked = 2  # genes 100 and 200 of this small table, of thirty edges or so each
+    monkeypatch.setattr(graph, "_ASKED", 1)
+    parts = int(next(x for x in plan().splitlines() if "RepartitionByExpression" in x).rsplit(", ", 1)[1])
+    assert parts > 4 * asked
