@@ -55,6 +55,13 @@ def inner_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(reached.select("root", F.col("node").alias("dst"), "depth"), ["root", "dst"]).select("root", "src", "dst", F.greatest("d", "depth").alias("depth"))
 
 
+def numbered(roots: DataFrame) -> DataFrame:
+    """(root, block, place): each root once, in order, by blocks of 512."""
+    size = F.length("root")
+    numbers = roots.select("root").distinct().repartitionByRange(size, "root").sortWithinPartitions(size, "root").withColumn("id", F.monotonically_increasing_id())
+    return written(numbers.select("root", F.shiftright("id", 9).alias("block"), F.col("id").bitwiseAND(511).cast("int").alias("place")))
+
+
 def reach(both: DataFrame, roots: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(numbers, reached): what each root reaches in at most k hops, as bits of 512 roots at a time.
 
@@ -62,9 +69,7 @@ def reach(both: DataFrame, roots: DataFrame, k: int) -> tuple[DataFrame, DataFra
     share rows and shuffles, so a round's rows go by edges and blocks, not by roots.  A node's neighbours are one step nearer, as far or one step
     further, so what was seen before is looked for in two rounds.
     """
-    size = F.length("root")
-    numbers = roots.select("root").distinct().repartitionByRange(size, "root").sortWithinPartitions(size, "root").withColumn("id", F.monotonically_increasing_id())
-    numbers = written(numbers.select("root", F.shiftright("id", 9).alias("block"), F.col("id").bitwiseAND(511).cast("int").alias("place")))
+    numbers = numbered(roots)
     bit = F.expr("shiftleft(1L, place % 64)")
     first = [F.when(F.floor(F.col("place") / 64) == w, bit).otherwise(F.lit(0).cast("long")).alias(b) for w, b in enumerate(_BITS)]
     rounds = [written(numbers.select(F.col("root").alias("node"), F.lit(0).alias("depth"), "block", *first))]
@@ -114,7 +119,7 @@ def _tallied(numbers: DataFrame, bits: DataFrame) -> DataFrame:
     return summed.join(numbers, ["block", "place"]).select("root", "depth", "kind", "nodes", "degree", "loops")
 
 
-def _kind(node: str):
+def kind_of(node: str):
     return F.substring_index(node, ":", 1)
 
 
@@ -128,22 +133,22 @@ def inner_counts(numbers: DataFrame, reached: DataFrame, edges: DataFrame, k: in
     loops = edges.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("loops"))
     both = edges.where("src <> dst")
     degrees = both.select(F.col("src").alias("node")).union(both.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
-    n = reached.join(degrees, "node", "left").join(loops, "node", "left").withColumn("kind", _kind("node"))
+    n = reached.join(degrees, "node", "left").join(loops, "node", "left").withColumn("kind", kind_of("node"))
     sums = written(_tallied(numbers, n.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("degree", "loops")})))
     per = sums.groupBy("root", "depth").agg(F.sum("degree").alias("degree"), F.sum("loops").alias("loops"), F.lit(0).cast("long").alias("level"))
-    at = reached.select("depth", _kind("node").alias("a")).distinct()
+    at = reached.select("depth", kind_of("node").alias("a")).distinct()
     alike = at.join(at.withColumnRenamed("a", "b"), "depth").select("a", "b").distinct()
-    ends = both.withColumns({"a": _kind("src"), "b": _kind("dst")}).join(F.broadcast(alike), ["a", "b"]).select("src", "dst")  # pairs of kinds, each once
+    ends = both.withColumns({"a": kind_of("src"), "b": kind_of("dst")}).join(F.broadcast(alike), ["a", "b"]).select("src", "dst")  # pairs of kinds, each once
     if ends.limit(1).count():
         other = reached.select("depth", "block", F.col("node").alias("dst"), *(F.col(b).alias(f"o{b}") for b in _BITS))
         near = ends.join(reached.withColumnRenamed("node", "src"), "src").join(other, ["depth", "block", "dst"])
         near = near.select("depth", "block", F.lit("").alias("kind"), F.lit(0).cast("long").alias("degree"), F.lit(0).cast("long").alias("loops"), *(F.col(b).bitwiseAND(F.col(f"o{b}")).alias(b) for b in _BITS))
         level = _tallied(numbers, near).groupBy("root", "depth").agg(F.sum("nodes").alias("found"))
         per = per.join(level, ["root", "depth"], "left").withColumn("level", F.coalesce("found", F.lit(0))).drop("found")
-    return sums.select("root", "depth", "kind", "nodes"), _inside(numbers.select("root"), per, k)
+    return sums.select("root", "depth", "kind", "nodes"), inside(numbers.select("root"), per, k)
 
 
-def _inside(roots: DataFrame, per: DataFrame, k: int) -> DataFrame:
+def inside(roots: DataFrame, per: DataFrame, k: int) -> DataFrame:
     """Edges at nodes of depth d lead to depth d - 1 (counted there), d (twice) or d + 1: what a depth adds is found from the nearest on."""
     rows = per.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("depth", F.struct("degree", "loops", "level")))).alias("at"))  # at most k + 1 of a root
     start = F.struct(F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("inside"), F.array().cast("array<bigint>").alias("out"))

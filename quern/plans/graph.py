@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quern.operators.hops import doubled, inner_counts, reach
+from quern.operators.hop_counts import hop_counts
 from quern.operators.ranking import lexical_index, quoted, sent_whole, top_k
 from quern.plans.registry import registry
 from quern.sources.scratch import written
@@ -35,18 +35,17 @@ _stores: dict[tuple, tuple] = {}
 
 
 def graph_store(spark, d):
-    """(nodes, edges, edges in both directions) of the folder as stored tables; built once a session and again when files have changed."""
+    """(nodes, edges) of the folder as stored tables; built once a session and again when files have changed."""
     key = (spark.sparkContext.applicationId, d, *(stamp(spark, d, t) for t in _TABLES))
     if key not in _stores:
-        edges = written(_edges(spark, d))
-        _stores[key] = written(_nodes(spark, d)), edges, written(doubled(edges))
+        _stores[key] = written(_nodes(spark, d)), written(_edges(spark, d))
     return _stores[key]
 
 
 @query(f"WITH {_EDGES}, {_NODES} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges")
 def kg_store(spark, d):
     """The graph as it is stored and read again."""
-    nodes, edges, _ = graph_store(spark, d)
+    nodes, edges = graph_store(spark, d)
     return nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row
 
 
@@ -73,8 +72,7 @@ h2 AS (SELECT root, z AS node FROM h1 JOIN b ON a = node UNION SELECT root, node
 SELECT root, count(*) AS nodes, count(*) FILTER (node LIKE 'P:%') AS genes, count(*) FILTER (node LIKE 'S:%') AS loci, count(*) FILTER (node LIKE 'N:%') AS places, coalesce(max(edges), 0) AS edges FROM h2 LEFT JOIN i USING (root) GROUP BY root""")
 def kg_khop(spark, d):
     """Two undirected hops around every hundredth part, and the edges between what they reach."""
-    _, edges, both = graph_store(spark, d)
-    nodes, inside = inner_counts(*reach(both, _roots(spark, d, 100), 2), edges, 2)
+    nodes, inside = hop_counts(graph_store(spark, d)[1], _roots(spark, d, 100), 2)
     n = nodes.groupBy("root").agg(F.sum("nodes").alias("nodes"), *_kinds())
     return n.join(inside.where("k = 2"), "root", "left").select("root", "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))
 
@@ -99,8 +97,7 @@ SELECT root, k, (SELECT count(*) FROM s WHERE s.root = k.root AND depth <= k) AS
  (SELECT count(*) FROM i WHERE i.root = k.root AND depth <= k) AS edges FROM k""")
 def kg_khop_depths(spark, d):
     """One to four hops around every five hundredth part: nodes by kind, and the edges between them, at each depth."""
-    _, edges, both = graph_store(spark, d)
-    nodes, inside = inner_counts(*reach(both, _roots(spark, d, 500), _DEEP), edges, _DEEP)
+    nodes, inside = hop_counts(graph_store(spark, d)[1], _roots(spark, d, 500), _DEEP)
     depths = F.explode(F.sequence(F.greatest("depth", F.lit(1)), F.lit(_DEEP))).alias("k")  # what is there at a depth is there at all further ones
     n = nodes.select("root", "kind", "nodes", depths).groupBy("root", "k").agg(F.sum("nodes").alias("nodes"), *_kinds())
     return n.join(inside, ["root", "k"], "left").select("root", F.col("k").cast("long").alias("k"), "nodes", "genes", "loci", "places", F.coalesce("edges", F.lit(0)).alias("edges"))

@@ -101,3 +101,52 @@ def test_tasks_that_count_shared_terms_grow_in_number_with_the_asked_genes(spark
     monkeypatch.setattr(graph, "_ASKED", 1)
     parts = int(next(x for x in plan().splitlines() if "RepartitionByExpression" in x).rsplit(", ", 1)[1])
     assert parts > 4 * asked
+
+
+@pytest.mark.parametrize("parts", [1, 20])
+def test_counts_by_joints_are_those_of_a_search(spark, monkeypatch, parts):
+    from quern.operators import hop_counts
+
+    r = random.Random(parts)
+    leaves = [(f"P:{r.randint(0, 300)}", f"S:{r.randint(0, 60)}") for _ in range(700)]
+    joints = [(f"S:{r.randint(0, 60)}", f"{'NSR'[r.randint(0, 2)]}:{r.randint(0, 9)}") for _ in range(30)]
+    hub = [("P:7", f"S:{i}") for i in range(200)] + [(f"P:{i}", "S:3") for i in range(0, 300, 2)]
+    edges = [*leaves, *joints, *hub, *leaves[:20], ("S:1", "S:1"), ("P:900", "P:901"), ("S:4", "P:901"), ("Q:1", "Q:1")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    roots, k = [f"P:{i}" for i in range(0, 300, 5)] + ["S:1", "N:2", "P:901", "Q:1", "P:9000"] + [f"P:x{i}" for i in range(600)], 4
+    monkeypatch.setattr(hop_counts, "EDGES", len(edges) // parts)
+    nodes, inside = hop_counts.hop_counts(e, spark.createDataFrame([(x,) for x in [*roots, "P:5"]], "root string"), k)
+    far = {x: reach(edges, x, k) for x in roots}
+    want = {}
+    for x in roots:
+        for n, d in far[x].items():
+            want[x, d, n[0]] = want.get((x, d, n[0]), 0) + 1
+    assert {(a["root"], a["depth"], a["kind"]): a["nodes"] for a in nodes.collect()} == want
+    counted = {(x, i): sum(far[x].get(a, 99) <= i and far[x].get(b, 99) <= i for a, b in edges) for x in roots for i in range(1, k + 1)}
+    assert {(a["root"], a["k"]): a["edges"] for a in inside.collect()} == counted
+
+
+def test_what_is_stored_of_hops_does_not_grow_with_leaves(spark, tmp_path, monkeypatch):
+    from quern.operators import hop_counts, hops
+    from quern.plans.graph import QUERIES
+
+    n, where = 3000, str(tmp_path)
+    spark.range(2 * n).selectExpr(f"id % {n} AS l_partkey", f"(id * 7 + id div {n}) % 6 AS l_suppkey").write.parquet(f"{where}/lineitem.parquet")
+    spark.range(n).selectExpr("id * 5 AS p_partkey").union(spark.range(n).selectExpr("id * 500 + 1000000")).write.parquet(f"{where}/part.parquet")
+    spark.range(6).selectExpr("id AS s_suppkey", "int(id % 2) AS s_nationkey").write.parquet(f"{where}/supplier.parquet")
+    spark.range(2).selectExpr("int(id) AS n_nationkey", "0 AS n_regionkey").write.parquet(f"{where}/nation.parquet")
+    spark.range(1).selectExpr("int(id) AS r_regionkey").write.parquet(f"{where}/region.parquet")
+    rows = []
+
+    def counted(df, *more, **named):
+        out = written(df, *more, **named)
+        rows.append((out.count(), out.columns))
+        return out
+
+    written = hops.written
+    monkeypatch.setattr(hops, "written", counted)
+    monkeypatch.setattr(hop_counts, "written", counted)
+    got = {(r["root"], r["k"]): r for r in QUERIES["kg_khop_depths"](spark, where).collect()}
+    assert got["P:0", 4]["genes"] == n and got["P:1000000", 4]["nodes"] == 1  # all leaves are counted
+    of_hops = [x for x, columns in rows if "block" in columns and "root" not in columns]
+    assert of_hops and max(of_hops) < 500  # not a row for each leaf and block of roots
