@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ PARAGRAPH, NATURAL, MOST = 80, 150, 2000
 #: Separators from the coarsest to none (fixed values).
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ", "")
 _BLANKS = " \t\n\r\f"
+_SIZES = {scale: (size, overlap) for scale, size, overlap in SCALES}
+_SENTENCES = re.compile(rf"(?<=[.!?])[{_BLANKS}]+")
 
 
 def kept_sections(lines: Column, skip: str) -> Column:
@@ -107,14 +111,60 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     return chunks
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge(parts: list[str], least: int) -> list[str]:
+    """merged() of a list."""
+    done: list[str] = []
+    held = ""
+    for p in parts:
+        held = f"{held}\n\n{p}" if held else p
+        if len(held) >= least:
+            done.append(held)
+            held = ""
+    if held:
+        done[-1:] = ["\n\n".join([*done[-1:], held])]
+    return done
+
+
+def pack_sentences(part: str, most: int = MOST) -> list[str]:
+    """by_sentence() of a string."""
+    done: list[str] = []
+    held = ""
+    for s in _SENTENCES.split(part):
+        if len(held) + len(s) + 1 <= most:
+            held = f"{held} {s}" if held else s
+        else:
+            done += [held] if held else []
+            held = s
+    return [*done, held] if held else done
+
+
+def cut(parts: list[str], scale: str) -> list[str]:
+    """A document's chunks of a scale, from its paragraphs: merged to a third of the size and cut where they are longer, or natural ones."""
+    if scale not in _SIZES:
+        return [c for p in merge(parts, NATURAL) for c in ([p] if len(p) <= MOST else pack_sentences(p))]
+    size, overlap = _SIZES[scale]
+    return [c for p in merge(parts, size // 3) for c in ([p] if len(p) <= size else split_recursively(p, size, overlap))]
+
+
+def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[int], list[str]]]:
+    """(scale, ids, numbers, texts) of the chunks of a batch of documents (doc_id, parts), for each scale."""
     for batch in batches:
-        scale, size, overlap, parts = (batch.column(c).to_pylist() for c in ("scale", "size", "overlap", "parts"))
-        cut = [[c for p in ps for c in ([p] if s is None or len(p) <= s else split_recursively(p, s, o))] for s, o, ps in zip(size, overlap, parts, strict=True)]
-        row = [i for i, cs in enumerate(cut) for _ in cs]
-        number = pa.array([n for cs in cut for n in range(len(cs))], pa.int64())
-        texts = pa.array([c for cs in cut for c in cs], pa.string())
-        yield pa.record_batch([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([scale[i] for i in row], pa.string()), number, texts], ["doc_id", "scale", "chunk", "text"])
+        ids, flat = batch.column("doc_id").to_numpy(), batch.column("parts").flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *batch.column("parts").value_lengths().to_numpy()]).tolist()
+        parts = [flat[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)]
+        for scale in (*_SIZES, "para"):
+            each = [cut(p, scale) for p in parts]
+            yield scale, np.repeat(ids, [len(cs) for cs in each]), [n for cs in each for n in range(len(cs))], [c for cs in each for c in cs]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for scale, ids, numbers, texts in cuts(batches):
+        yield pa.record_batch([pa.array(ids), pa.array([scale] * len(ids), pa.string()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "scale", "chunk", "text"])
+
+
+def divided(docs: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, parts): the paragraphs of documents that have some."""
+    return docs.select("doc_id", paragraphs(text).alias("parts")).where(F.size("parts") > 0)
 
 
 def chunked(docs: DataFrame, text: Column) -> DataFrame:
@@ -122,7 +172,4 @@ def chunked(docs: DataFrame, text: Column) -> DataFrame:
 
     Each document is cut where it is read; nothing is shuffled.  Null texts and texts without a paragraph of 80 characters have no chunks.
     """
-    sized = [F.struct(F.lit(n).alias("scale"), F.lit(s).alias("size"), F.lit(o).alias("overlap"), merged(paragraphs(text), s // 3).alias("parts")) for n, s, o in SCALES]
-    whole = F.struct(F.lit("para").alias("scale"), F.lit(None).cast("int").alias("size"), F.lit(0).alias("overlap"), natural(text).alias("parts"))
-    rows = docs.select("doc_id", F.inline(F.array(*sized, whole)))
-    return rows.where(F.size("parts") > 0).mapInArrow(_cut, "doc_id long, scale string, chunk long, text string")
+    return divided(docs, text).mapInArrow(_cut, "doc_id long, scale string, chunk long, text string")
